@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, oracles, pii
+from . import exact_dedup, line_dedup, mixing, oracles, packing, pii, secret_scan
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(documents(spark, sf_dir).select("doc_id", "text"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("findings", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    base = F.filter("findings", lambda s: s["kind"].isin(*secret_scan.BASE))
+    return found.select("doc_id", *[count(k) for k in secret_scan.BASE], F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("findings")).alias("spans"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan_mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -33,7 +45,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op5_mixing": op5_mixing, "op7_pii": op7_pii, "op8_line_dedup": op8_line_dedup, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_packing": op1_packing, "op2_secret_scan": op2_secret_scan, "op5_mixing": op5_mixing, "op7_pii": op7_pii, "op8_line_dedup": op8_line_dedup, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
