@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, oracles, packing, pii, secret_scan
+from . import exact_dedup, fingerprint, lang_id, line_dedup, lm_scoring, mixing, oracles, packing, pii, secret_scan
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +24,26 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in secret_scan.BASE], F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("findings")).alias("spans"))
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return lm_scoring.score(docs, lm_scoring.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan_mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", lang_id.held_out().alias("held_out"))
+    model = lang_id.fit(docs.where(~F.col("held_out")))
+    return lang_id.identify(docs.select("doc_id", "text", "held_out"), model).drop("text")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(documents(spark, sf_dir).select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -45,7 +60,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_secret_scan": op2_secret_scan, "op5_mixing": op5_mixing, "op7_pii": op7_pii, "op8_line_dedup": op8_line_dedup, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_packing": op1_packing, "op2_secret_scan": op2_secret_scan, "op3_fingerprint": op3_fingerprint, "op4_lm_scoring": op4_lm_scoring, "op5_mixing": op5_mixing, "op6_lang_id": op6_lang_id, "op7_pii": op7_pii, "op8_line_dedup": op8_line_dedup, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
