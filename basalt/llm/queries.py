@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprint, lang_id, line_dedup, lm_scoring, mixing, oracles, packing, pii, secret_scan
+from . import exact_dedup, fingerprint, lang_id, line_dedup, lm_scoring, mixing, near_dedup, oracles, packing, pii, secret_scan
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,13 +55,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_secret_scan": op2_secret_scan, "op3_fingerprint": op3_fingerprint, "op4_lm_scoring": op4_lm_scoring, "op5_mixing": op5_mixing, "op6_lang_id": op6_lang_id, "op7_pii": op7_pii, "op8_line_dedup": op8_line_dedup, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_packing": op1_packing, "op2_secret_scan": op2_secret_scan, "op3_fingerprint": op3_fingerprint, "op4_lm_scoring": op4_lm_scoring, "op5_mixing": op5_mixing, "op6_lang_id": op6_lang_id, "op7_pii": op7_pii, "op8_line_dedup": op8_line_dedup, "op9_near_dedup": op9_near_dedup, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": oracles.MIXING, "op8_line_dedup": oracles.LINES, "op10_exact_dedup": oracles.EXACT}
+    return {"op5_mixing": oracles.MIXING, "op8_line_dedup": oracles.LINES, "op9_near_dedup": oracles.NEAR, "op10_exact_dedup": oracles.EXACT}
