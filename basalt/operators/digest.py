@@ -57,5 +57,5 @@ def digest_markdown(docs: DataFrame, term: str = "the") -> DataFrame:
 
 def activity_track(events: DataFrame) -> DataFrame:
     """day, event_type, n, delta: daily counts and the change from the day before. Fidelity: stand-in (no dated text)."""
-    daily = events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    daily = events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return daily.withColumn("delta", F.col("n") - F.lag("n").over(Window.partitionBy("event_type").orderBy("day")))

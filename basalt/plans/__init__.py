@@ -93,12 +93,12 @@ CASE WHEN w.item_id IS NOT NULL THEN 'verbatim' WHEN n_docs > 0 THEN 'partial' E
         "dedupe_exact": "SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY text",
         "near_duplicates": f"""WITH s AS (SELECT doc_id, list_sort({_shingles("w")}) AS s FROM (SELECT doc_id, {TOKENS} AS w FROM documents)),
 r AS (SELECT min(doc_id) AS id, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s), e AS (SELECT id, n, unnest(s) AS h FROM r),
-p AS (SELECT x.id AS a, y.id AS b, x.n AS na, y.n AS nb, count(*) AS both FROM e x JOIN e y ON x.h = y.h AND x.id < y.id GROUP BY ALL)
-SELECT a, b, round(both / (na + nb - both), 6) AS jaccard FROM p WHERE both / (na + nb - both) >= 0.8""",
+p AS (SELECT x.id AS a, y.id AS b, x.n AS na, y.n AS nb, count(*) AS shared FROM e x JOIN e y ON x.h = y.h AND x.id < y.id GROUP BY ALL)
+SELECT a, b, round(shared / (na + nb - shared), 6) AS jaccard FROM p WHERE shared / (na + nb - shared) >= 0.8""",
         "search_top": f"WITH {TOP} SELECT * FROM top",
         "digest_markdown": f"""WITH {TOP}, l AS (SELECT source, string_agg('- document ' || doc_id || ': ' || tf, chr(10) ORDER BY rank) AS lines FROM top GROUP BY source)
 SELECT d.source, '## ' || d.source || chr(10) || chr(10) || count(*) || ' documents, ' || sum(length(text)) || ' characters' || chr(10) || chr(10) || 'Most `the`:' || chr(10) || coalesce(any_value(lines), '- none') AS markdown FROM documents d LEFT JOIN l USING (source) GROUP BY d.source""",
-        "activity_track": "SELECT day, event_type, n, n - lag(n) OVER (PARTITION BY event_type ORDER BY day) AS delta FROM (SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY ALL)",
+        "activity_track": "SELECT day, event_type, n, n - lag(n) OVER (PARTITION BY event_type ORDER BY day) AS delta FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL)",
         "links_mermaid": """SELECT page_id, array_to_string(list_concat(['graph LR' || chr(10) || '  p["' || url || '"]'], list_transform(regexp_extract_all(html, '<a href="([^"]*)">', 1), lambda t, i: '  p --> n' || (i - 1) || '["' || t || '"]')), chr(10)) AS mermaid FROM pages""",
         "hierarchy_mermaid": """SELECT r_regionkey, 'graph TD' || chr(10) || '  r["' || r_name || '"]' || coalesce(chr(10) || string_agg('  r --> n' || n_nationkey || '["' || n_name || '"]', chr(10) ORDER BY n_nationkey), '') AS mermaid FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name""",
         "fragments": f"WITH {FRAGMENTS} SELECT * FROM f",
