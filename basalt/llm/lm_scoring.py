@@ -57,7 +57,7 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     keys = (s[:-2] * V + s[1:-1]) * V + s[2:]
     lengths = np.array([len(t) + 1 for t in texts])
     keep = np.ones(len(keys), dtype=bool)
-    keep[starts[1:] - 2] = False  # the second end before the next text is no token
+    keep[starts + lengths - 2] = False  # the second end before the next text is no token
     return keys[keep], lengths
 
 
