@@ -7,7 +7,7 @@ tokens of the loss under the target less the loss under the background; lower is
 
 Trigrams of all documents are counted in their own tasks, batch by batch, and summed by key in one shuffle. The
 vocabulary bounds the table by 257^3 rows whatever the corpus, and in text it is far smaller; that is the
-only thing collected. Labels join by shuffle or broadcast as their size at run time asks.
+only thing collected. Labels join by a shuffle on the identifier.
 
 Defined cases: null and empty text is the end token alone; a document labelled several times has its best label;
 labels without a document do nothing; with no target document the target model is uniform; repeated rows are
@@ -139,7 +139,8 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality") -> Models:
     good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).alias("id")).distinct().withColumn("good", F.lit(True))
     rows = docs.select(F.col(id_col).alias("id"), common.body(F.col(text_col)).alias("text"))
-    counted = count_trigrams(rows.join(good, "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("target"))).toArrow()  # 257^3 rows at most
+    # labels grow with the documents, so both are dealt by identifier at every size
+    counted = count_trigrams(rows.join(good.hint("shuffle_hash"), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("target"))).toArrow()  # 257^3 rows at most
     keys = counted.column("key").to_numpy()
     order = np.argsort(keys)
     return Models(keys[order], counted.column("background").to_numpy()[order], counted.column("target").to_numpy()[order])
