@@ -10,14 +10,15 @@ both. Either way four values make a band and 32 bands a signature: a pair at 0.7
 of (1 - 0.75^4)^32, about 5 in a million.
 
 Candidates. In each bucket the member that shares most buckets is the centre, and only its edges to the members are
-candidates, so pairs grow with members, not with their square. Each member is first confirmed against its best
-centre; edges to other centres are tried only between what is not yet connected. What is left are buckets that hold
-several components: further rounds draw other centres there, and at last the pairs between different components of a
-bucket are taken whole, so no link between components that share a bucket is lost.
-
-Confirmation. Pairs whose signatures agree in under half (sets of ``SMALL`` and more; the chance at 0.75 is below 1e-9)
-are skipped; for the others both texts' full sets are built again and compared. A centre with many members
-is dealt to several tasks of ``SPREAD`` members with a copy of its set each. Links become components by alternating
+candidates, so pairs grow with members, not with their square; each member is first confirmed against its best
+centre. In buckets that then still hold several components, members of different components are weighed in
+memory, block against block of ``BLOCK`` members, by ``VALUES`` further one-permutation values each, and only pairs
+that agree in ``LIKELY`` of them are candidates (at a similarity of 0.75 fewer agree with a chance of about one
+in a million). So no pair within a group is emitted unless it is about to be a link, and no link is lost to the
+choice of centres.
+
+Confirmation. Both texts' full sets are built again and compared. A centre with many members is dealt to several
+tasks of ``SPREAD`` members with a copy of its set each. Links become components by alternating
 large-star and small-star steps on DataFrames; neither links nor components reach the driver.
 
 Defined cases: null text and text without words have the empty set and stand alone; rows that repeat an identifier are
@@ -40,7 +41,9 @@ from . import common
 WORDS = 5
 SMALL = 48
 SPREAD = 256
-ROUNDS = 4
+BLOCK = 1024
+VALUES = 512
+LIKELY = 0.66
 CHUNK = 1 << 20
 FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
 SPACE = np.array([c in b"\x20\t\n\x0b\x0c\r" for c in range(256)])
@@ -133,48 +136,98 @@ def bands(values: np.ndarray, tag: int) -> np.ndarray:
     return mix((rows * randoms(4, 15)[None, :]).sum(axis=1, dtype=np.uint64) + randoms(n, 16 + tag)).view(np.int64)
 
 
-def signature(s: np.ndarray) -> tuple[list[int], bytes | None]:
-    """Bucket keys, and a byte of each value of the large form."""
-    keys, sketch = [], None
-    if not len(s):
-        return keys, sketch
+def signature(s: np.ndarray) -> list[int]:
+    """Bucket keys."""
+    keys = []
     if len(s) >= SMALL:
-        v = one_permutation(s, 8, 16)
-        keys += bands(v, 0).tolist()
-        sketch = (v & np.uint64(255)).astype(np.uint8).tobytes()
-    if len(s) * 3 < SMALL * 4:
+        keys += bands(one_permutation(s, 8, 16), 0).tolist()
+    if len(s) and len(s) * 3 < SMALL * 4:
         keys += bands(one_permutation(s, 32, 4), 1).tolist()
-    return keys, sketch
+    return keys
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """A byte of each of VALUES values in the form for large sets, then in that for small ones; zeros for a form not used."""
+    low = lambda v: (v & np.uint64(255)).astype(np.uint8).tobytes()
+    large = low(one_permutation(s, VALUES // 32, 32)) if len(s) >= SMALL else bytes(VALUES)
+    small = low(one_permutation(s, VALUES // 4, 4)) if len(s) * 3 < SMALL * 4 else b""
+    return large + small
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """doc, n, digest (null for the empty set), keys, sketch from rows of doc, text."""
-    names = ["doc", "n", "digest", "keys", "sketch"]
+    """doc, n, digest (null for the empty set), keys from rows of doc, text."""
+    names = ["doc", "n", "digest", "keys"]
 
     def work(batches):
         for b in batches:
             sets = shingle_sets([t.encode() for t in b.column("text").to_pylist()])
-            keys, sketches = zip(*map(signature, sets), strict=True) if sets else ((), ())
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=names)
-
-    return rows.mapInArrow(work, "doc long, n long, digest binary, keys array<long>, sketch binary")
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([signature(s) for s in sets], pa.list_(pa.int64()))], names=names)
+
+    return rows.mapInArrow(work, "doc long, n long, digest binary, keys array<long>")
+
+
+def likely_pairs(group: list[tuple[int, int, int, int, bytes]]) -> set[tuple[int, int]]:
+    """Pairs of different components that may be links, from rows of side, doc, n, comp, sketch of two blocks.
+
+    Side 0 and 1 are two blocks, compared with one another; with side 0 alone, a block with itself.
+    """
+    side, doc, n, comp = (np.array([r[k] for r in group], dtype=np.int64) for k in range(4))
+    found: set[tuple[int, int]] = set()
+    two = side.any()
+    for form in (0, 1):
+        has = n >= SMALL if form == 0 else 3 * n < 4 * SMALL
+        x, y = np.flatnonzero(has & (side == 0)), np.flatnonzero(has & (side == (1 if two else 0)))
+        if not len(x) or not len(y):
+            continue
+        least = VALUES * (LIKELY if form == 0 else 0.5)
+        values = lambda at: np.frombuffer(b"".join(group[i][4][form * VALUES : (form + 1) * VALUES] for i in at), np.uint8).reshape(len(at), VALUES)
+        vx, vy = values(x), values(y)
+        for i in range(len(x)):
+            size, own = n[x[i]], n[y]
+            near = np.flatnonzero((comp[y] != comp[x[i]]) & (100 * np.minimum(own, size) >= 75 * np.maximum(own, size)) & ((y > x[i]) if not two else True) & (doc[y] != doc[x[i]]))
+            if form == 1:
+                near = near[(own[near] < SMALL) | (size < SMALL)]
+            if len(near):
+                for j in near[(vy[near] == vx[i]).sum(axis=1) >= least]:
+                    p, q = int(doc[x[i]]), int(doc[y[j]])
+                    found.add((min(p, q), max(p, q)))
+    return found
+
+
+def weighed(rows: DataFrame, left: DataFrame) -> DataFrame:
+    """Likely pairs a, b of different components within buckets. ``left``: key, rep, n, comp in cut form."""
+    wanted = common.cut(left.select(F.col("rep").alias("doc")).distinct())
+    texts = rows.join(common.checked_broadcast(wanted, wanted.count(), 24), "doc")
 
+    def build(batches):
+        for b in batches:
+            sets = shingle_sets([t.encode() for t in b.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else b"" for s in sets], pa.binary())], names=["rep", "n", "sketch"])
 
-def screened(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs a, b but those whose sketches agree in under half."""
-    x = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
-    y = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb")
+    sketches = texts.select("doc", "text").mapInArrow(build, "rep long, n long, sketch binary").where("n > 0")
+    blocks = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = left.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
+    against = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("lo"), F.greatest("own", o).alias("hi"))))
+    placed = placed.withColumn("meet", against).select("key", "meet.lo", "meet.hi", (F.col("own") > F.col("meet.lo")).cast("int").alias("side"), "rep", "n", "comp")
+    dealt = placed.join(sketches, ["rep", "n"]).select("key", "lo", "hi", "side", "rep", "n", "comp", "sketch").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "rep")
 
-    def work(batches):
-        for t in batches:
-            keep = []
-            for p, q in zip(t.column("sa").to_pylist(), t.column("sb").to_pylist(), strict=True):
-                keep.append(p is None or q is None or 2 * int(np.count_nonzero(np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8))) >= len(p))
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def compare(batches):
+        at, group, seen = None, [], set()
+        for b in batches:
+            found = set()
+            for key, lo, hi, *row in zip(*(b.column(c).to_pylist() for c in ("key", "lo", "hi", "side", "rep", "n", "comp", "sketch")), strict=True):
+                if (key, lo, hi) != at:
+                    found |= likely_pairs(group) if len(group) > 1 else set()
+                    at, group = (key, lo, hi), []
+                group.append(tuple(row))
+            found -= seen
+            seen = (seen | found) if len(seen) < 1 << 18 else found  # only spares repeats
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], names=["a", "b"])
+        found = likely_pairs(group) if len(group) > 1 else set()
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], names=["a", "b"])
 
-    return both.mapInArrow(work, "a long, b long").distinct()
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 def confirmed(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -243,67 +296,36 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def labelled(shared: DataFrame, comps: DataFrame, count: int) -> DataFrame:
-    """Bucket rows with the component of their representative."""
-    labels = common.checked_broadcast(comps.select(F.col("node").alias("rep"), "comp"), count, 40)
-    return shared.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-
-
 def alike(x: str, y: str):
     """Sizes that allow the similarity."""
     return (100 * F.least(x, y)) >= (75 * F.greatest(x, y))
 
 
+def several(rows: DataFrame, comps: DataFrame, count: int) -> DataFrame:
+    """Rows (key, rep, n) of buckets that hold several components, with comp."""
+    labels = common.checked_broadcast(comps.select(F.col("node").alias("rep"), "comp"), count, 40)
+    rows = rows.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return rows.join(mixed, "key").select("key", "rep", "n", "comp")
+
+
 def links(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """node, comp over representatives. ``rows``: doc, text; ``reps``: rep, n, keys, sketch, in cut form."""
-    sketches = reps.select("rep", "sketch")
+    """node, comp over representatives. ``rows``: doc, text; ``reps``: rep, n, keys, in cut form."""
     buckets = reps.select("rep", "n", F.explode("keys").alias("key"))
     counts = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = buckets.join(counts, "key")
+    shared = common.cut(buckets.join(counts, "key"))
     weight = shared.groupBy("rep").agg(F.sum("size").alias("weight"))
-    shared = common.cut(shared.join(weight, "rep").select("key", "rep", "n", "weight", "size"))
-
-    def stars(from_rows: DataFrame, order) -> DataFrame:
-        """a (centre), b, weight of the centre: each bucket's members against one of them."""
-        head = from_rows.groupBy("key").agg(F.max(F.struct(order.alias("o"), (-F.col("rep")).alias("r"), F.col("n").alias("n"))).alias("c"))
-        found = from_rows.join(head, "key").where((F.col("rep") != -F.col("c.r")) & alike("n", "c.n"))
-        return found.select((-F.col("c.r")).alias("a"), F.col("rep").alias("b"), F.col("c.o").alias("o")).groupBy("a", "b").agg(F.max("o").alias("o"))
-
-    star = common.cut(stars(shared, F.col("weight")))
-    best = star.groupBy("b").agg(F.max(F.struct("o", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
-    good = common.cut(confirmed(rows, common.cut(screened(best, sketches))))
+    weighted = shared.join(weight, "rep")
+    head = weighted.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"), "n")).alias("c"))
+    star = weighted.join(head, "key").where((F.col("rep") != -F.col("c.r")) & alike("n", "c.n"))
+    best = star.groupBy("rep").agg(F.max("c").alias("c")).select((-F.col("c.r")).alias("a"), F.col("rep").alias("b"))
+    good = common.cut(confirmed(rows, common.cut(best)))
     comps = common.cut(components(good))
-    node_count = comps.count()
-
-    tried = best
-    pairs = labelled(star.select("a", F.col("b").alias("rep")), comps, node_count).withColumnRenamed("comp", "cb").withColumnRenamed("rep", "b")
-    pairs = labelled(pairs.select(F.col("a").alias("rep"), "b", "cb"), comps, node_count).where("comp <> cb").select(F.col("rep").alias("a"), "b")
-    pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    for turn in range(ROUNDS):
-        pairs = common.cut(screened(pairs, sketches))
-        if not pairs.isEmpty():
-            good = good.unionByName(common.cut(confirmed(rows, pairs)))
-            comps = common.cut(components(good))
-            node_count = comps.count()
-        # buckets that still hold several components
-        rest = labelled(shared.select("key", "rep", "n", "weight"), comps, node_count)
-        mixed = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        rest = common.cut(rest.join(mixed, "key").select("key", "rep", "n", "comp"))
-        if rest.isEmpty():
-            break
-        per = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
-        cross, members = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).head()
-        if turn == ROUNDS - 1 or cross <= 4 * members:
-            x, y = rest.alias("x"), rest.alias("y")
-            pairs = x.join(y, "key").where(F.expr("x.rep < y.rep AND x.comp <> y.comp")).where(alike("x.n", "y.n")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-            pairs = common.cut(screened(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), sketches))
-            if not pairs.isEmpty():
-                good = good.unionByName(common.cut(confirmed(rows, pairs)))
-                comps = common.cut(components(good))
-            break
-        head = rest.groupBy("key").agg(F.max(F.struct(F.xxhash64(F.lit(turn), "rep").alias("o"), F.col("rep").alias("rep"), F.col("n").alias("n"), F.col("comp").alias("comp"))).alias("c"))
-        pairs = rest.join(head, "key").where((F.col("comp") != F.col("c.comp")) & alike("n", "c.n")).select(F.col("c.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    return comps
+    left = common.cut(several(shared.select("key", "rep", "n"), comps, comps.count()))
+    more = common.cut(weighed(rows, left))
+    if more.isEmpty():
+        return comps
+    return common.cut(components(good.unionByName(confirmed(rows, more))))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,7 +336,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = signed.where("digest IS NOT NULL AND doc IS NOT NULL").groupBy("digest").agg(F.min("doc").alias("rep"))
     placed = signed.join(classes, "digest", "left")
     members = placed.select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("rep"))
-    reps = common.cut(placed.where("doc = rep").select("rep", "n", "keys", "sketch").dropDuplicates(["rep", "n", "keys"]))
+    reps = common.cut(placed.where("doc = rep").select("rep", "n", "keys").dropDuplicates(["rep", "n", "keys"]))
     comps = links(rows.where("doc IS NOT NULL"), reps)
     labels = common.checked_broadcast(comps.select(F.col("node").alias("rep"), "comp"), comps.count(), 40)
     found = members.join(labels, "rep", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
