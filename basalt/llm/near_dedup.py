@@ -167,11 +167,19 @@ def signatures(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "doc long, n long, digest binary, keys array<long>")
 
 
-def likely_pairs(group: list[tuple[int, int, int, int, bytes]]) -> set[tuple[int, int]]:
-    """Pairs of different components that may be links, from rows of side, doc, n, comp, sketch of two blocks.
+def likely_pairs(key: int, group: list[tuple[int, int, int, int, bytes, list[int]]]) -> set[tuple[int, int]]:
+    """Pairs of different components that may be links, from rows of side, doc, n, comp, sketch, keys of two blocks.
 
-    Side 0 and 1 are two blocks, compared with one another; with side 0 alone, a block with itself.
+    Side 0 and 1 are two blocks, compared with one another; with side 0 alone, a block with itself. A pair
+    belongs to the smallest key that both have, and only that bucket gives it.
     """
+    keys: dict[int, frozenset] = {}
+
+    def own_keys(i: int) -> frozenset:
+        if i not in keys:
+            keys[i] = frozenset(group[i][5])
+        return keys[i]
+
     side, doc, n, comp = (np.array([r[k] for r in group], dtype=np.int64) for k in range(4))
     found: set[tuple[int, int]] = set()
     two = side.any()
@@ -190,8 +198,9 @@ def likely_pairs(group: list[tuple[int, int, int, int, bytes]]) -> set[tuple[int
                 near = near[(own[near] < SMALL) | (size < SMALL)]
             if len(near):
                 for j in near[(vy[near] == vx[i]).sum(axis=1) >= least]:
-                    p, q = int(doc[x[i]]), int(doc[y[j]])
-                    found.add((min(p, q), max(p, q)))
+                    if min(own_keys(x[i]) & own_keys(y[j])) == key:
+                        p, q = int(doc[x[i]]), int(doc[y[j]])
+                        found.add((min(p, q), max(p, q)))
     return found
 
 
@@ -210,22 +219,21 @@ def weighed(rows: DataFrame, left: DataFrame) -> DataFrame:
     placed = left.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
     against = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("lo"), F.greatest("own", o).alias("hi"))))
     placed = placed.withColumn("meet", against).select("key", "meet.lo", "meet.hi", (F.col("own") > F.col("meet.lo")).cast("int").alias("side"), "rep", "n", "comp")
-    dealt = placed.join(sketches, ["rep", "n"]).select("key", "lo", "hi", "side", "rep", "n", "comp", "sketch").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "rep")
+    keys = left.groupBy("rep").agg(F.collect_set("key").alias("keys"))
+    dealt = placed.join(sketches.join(keys, "rep"), ["rep", "n"]).select("key", "lo", "hi", "side", "rep", "n", "comp", "sketch", "keys").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "rep")
 
     def compare(batches):
-        at, group, seen = None, [], set()
+        at, group = None, []
+        pairs = lambda found: pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], names=["a", "b"])
         for b in batches:
-            found = set()
-            for key, lo, hi, *row in zip(*(b.column(c).to_pylist() for c in ("key", "lo", "hi", "side", "rep", "n", "comp", "sketch")), strict=True):
+            found = []
+            for key, lo, hi, *row in zip(*(b.column(c).to_pylist() for c in ("key", "lo", "hi", "side", "rep", "n", "comp", "sketch", "keys")), strict=True):
                 if (key, lo, hi) != at:
-                    found |= likely_pairs(group) if len(group) > 1 else set()
+                    found += likely_pairs(at[0], group) if len(group) > 1 else ()
                     at, group = (key, lo, hi), []
                 group.append(tuple(row))
-            found -= seen
-            seen = (seen | found) if len(seen) < 1 << 18 else found  # only spares repeats
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], names=["a", "b"])
-        found = likely_pairs(group) if len(group) > 1 else set()
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], names=["a", "b"])
+            yield pairs(found)
+        yield pairs(likely_pairs(at[0], group) if len(group) > 1 else [])
 
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
