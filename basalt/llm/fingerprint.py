@@ -5,7 +5,7 @@ several too) are hashed; a paragraph that occurs again gets a
 digest of its own, so a text is a set of digests. Each digest goes to three cells, one in each third of the table;
 a cell holds a count, the xor of its digests and the xor of their checks. Two versions' cells subtract, and
 peeling cells that hold one digest recovers the digests that differ; if cells stay, both sides are sketched again
-four times larger. The likeness is the share of common digests among all. Beyond ``LARGEST`` cells the
+four times larger. A sixteenth of the digests, compared directly, tells the size to begin with. The likeness is the share of common digests among all. Beyond ``LARGEST`` cells the
 difference is taken from the digests themselves.
 
 To meet its neighbour, a document must stand next to it without a sort of the corpus in one task: identifiers
@@ -37,6 +37,7 @@ PARTS = 1024
 PIECE = re.compile(r"[^\s.!?,;]+(?:[^\S\n]+[^\s.!?,;]+){0,3}")
 NO_ID = -9223372036854775808
 C1, C2, C3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+SAMPLED = np.uint64(1 << 60)  # a sixteenth of the digests
 TURNS = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -72,6 +73,7 @@ class Sketch:
 
     def __init__(self, text: str):
         self.keys, self._by_size = digests(text), {}
+        self.sample = self.keys[self.keys < SAMPLED]
 
     def table(self, size: int):
         if size not in self._by_size:
@@ -114,8 +116,8 @@ def peel(count: np.ndarray, key: np.ndarray, check: np.ndarray) -> tuple[np.ndar
 
 def difference(a: Sketch, b: Sketch) -> tuple[np.ndarray, np.ndarray, int]:
     """Digests of each text alone, and the size of the sketch that gave them (0: none did)."""
-    size = SMALLEST
-    while size < LARGEST and abs(len(a.keys) - len(b.keys)) > 0.75 * size:
+    size, likely = SMALLEST, max(abs(len(a.keys) - len(b.keys)), 16 * len(np.setxor1d(a.sample, b.sample, assume_unique=True)))
+    while size < LARGEST and likely > 0.7 * size:
         size *= 4
     while size <= LARGEST:
         x, y = a.table(size), b.table(size)
