@@ -84,6 +84,9 @@ class Sketch:
             self._by_size[size] = count, key, check
         return self._by_size[size]
 
+    def forget(self) -> None:
+        self._by_size.clear()
+
     def text(self) -> str:
         """The cells of the smallest size and the number of digests."""
         count, key, check = self.table(SMALLEST)
@@ -144,7 +147,7 @@ def with_neighbour(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text, part, flag in partitions sorted so that a part's rows follow one another, flag 1 being the next part's first."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), common.body(F.col(text_col)).alias("text"))
-    parts = min(PARTS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(PARTS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     got = rows.select(F.percentile_approx("id", [i / parts for i in range(1, parts)], 4 * parts).alias("b")).head()["b"]
     bounds = sorted(set(got or []))
     part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("id"))) if bounds else F.lit(0)
@@ -160,7 +163,7 @@ def with_neighbour(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    common.small_batches(docs.sparkSession, 500)
+    common.small_batches(docs.sparkSession, 200)
     rows = with_neighbour(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -177,6 +180,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     changed = Sketch(edited)
                     for o, v in zip(out, (held[0], len(held[1]), hashlib.sha256(edited.encode()).hexdigest(), held[2].text(), changed.text(), likeness(held[2], changed), likeness(held[2], own[2])), strict=True):
                         o.append(v)
+                    held[2].forget()
                 held = None if flag else own
             if out[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(o, t or b.schema.field("doc_id").type) for o, t in zip(out, types, strict=True)], names=names)
