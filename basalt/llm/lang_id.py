@@ -30,7 +30,7 @@ DIM = 1 << 16
 PER_LANG = 400
 MAX_LANGS = 256
 SCALE = 30.0
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 ADDED = ["lang_pred", "score"]
 SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -152,7 +152,7 @@ def ftrl(rows, classes: int, epochs: int = 4, alpha: float = 0.3, beta: float =
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the rows of ``docs`` whose language is not null."""
-    common.small_batches(docs.sparkSession)
+    common.small_batches(docs.sparkSession, 250)
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id"))
 
     def frequencies(batches):
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score, from the text alone."""
     spark = docs.sparkSession
-    common.small_batches(spark)
+    common.small_batches(spark, 250)
     own = [c for c in docs.columns if c not in ADDED]
     given = spark.sparkContext.broadcast(model)
     rows = common.with_columns_of(docs, own)
