@@ -1,17 +1,21 @@
 """Language-model scoring by cross-entropy difference.
 
-Two matched trigram models, of a target and of a background, share one closed vocabulary: the 256 bytes and
-the text's end, so no token is unknown and both have the same order and Witten-Bell smoothing. The background is every
-document; the target is the documents labelled of good quality. A document's score is the mean over its
-tokens of the loss under the target less the loss under the background; lower is closer to the target.
-
-Trigrams of all documents are counted in their own tasks, batch by batch, and summed by key in one shuffle. The
-vocabulary bounds the table by 257^3 rows whatever the corpus, and in text it is far smaller; that is the
-only thing collected. Labels join by a shuffle on the identifier.
-
-Defined cases: null and empty text is the end token alone; a document labelled several times has its best label;
-labels without a document do nothing; with no target document the target model is uniform; repeated rows are
-counted and scored each; an empty table gives an empty result; only the identifier is carried along.
+Two matched models, of a target and of a background, share one vocabulary of words (runs of other than white
+space). The background is every document; the target is the documents labelled of good quality. A word's
+probability mixes, with fixed weight, its share of the model's words and its spelling by byte trigrams with
+Witten-Bell smoothing in the text before it, up to the byte that ends it, so that no word is unknown and new words,
+copies and rare words are told apart by both. A document's score is the mean over its words of the loss under the
+target less the loss under the background; lower is closer to the target.
+
+Words and trigrams of all documents are counted in their own tasks, batch by batch, and summed by key in one
+shuffle. The counts of words grow with the corpus and stay a distributed table. Only the trigrams, 257^3 rows
+at most whatever the corpus, are collected and sent to the workers. To be scored, documents are dealt in chunks of
+about ``CHUNK_BYTES``; a chunk asks for each of its words once, and meets the answers in one task, so a
+frequent word is one row a chunk. Labels are broadcast if counted small and joined by a shuffle otherwise.
+
+Defined cases: null, empty and white text has no word, losses 0 and score 0; a document labelled several times has its
+best label; labels without a document do nothing; with no target document the target model is uniform over bytes;
+repeated rows are counted and scored each; an empty table gives an empty result; only the identifier is carried along.
 """
 
 from __future__ import annotations
@@ -22,9 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .near_dedup import K3, SPACE, mix, randoms
 
 V = 257
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+CHUNK_BYTES = 8 << 20
+#: Weight of a word's spelling against its count.
+SPELLED = 0.1
 
 
 def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,15 +69,36 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[keep], lengths
 
 
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text, start and end of each word; places as in the losses of ``trigrams``, an end being the place of what ends the word."""
+    raw = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)
+    space = SPACE[raw]
+    edge = np.diff(np.concatenate([[1], space.view(np.int8), [1]]))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(starts):
+        return np.zeros(0, np.int64), starts, starts, starts
+    lengths = ends - starts
+    at = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
+    times = randoms(1 << int(max(10, int(lengths.max() - 1).bit_length())), 21)[place]
+    hashes = mix(np.add.reduceat((raw[~space].astype(np.uint64) + np.uint64(1)) * times, at) + lengths.astype(np.uint64) * K3)
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return hashes.view(np.int64), np.searchsorted(begins, starts, "right") - 1, starts, ends
+
+
 class Models:
-    """Losses of both models for any trigram."""
+    """Losses of both models: trigrams here, and the counts of words as the table ``known`` (key, background, target)."""
 
-    def __init__(self, keys: np.ndarray, background: np.ndarray, target: np.ndarray):
+    def __init__(self, keys: np.ndarray, background: np.ndarray, target: np.ndarray, known: DataFrame | None = None):
         self.keys, self.counts = keys.astype(np.int64), (background.astype(np.float64), target.astype(np.float64))
-        self._table = None
+        self.known, self._table = known, None
+        before, last = self.keys // V % V, self.keys % V
+        white = np.concatenate([[True], SPACE])
+        ends = ~white[before] & white[last]
+        self.n_words = tuple(float(n[ends].sum()) for n in self.counts)
 
     def __getstate__(self):
-        return {"keys": self.keys, "counts": self.counts, "_table": None}
+        return {"keys": self.keys, "counts": self.counts, "n_words": self.n_words, "known": None, "_table": None}
 
     def _lower(self, n: np.ndarray):
         """P(c|b), and the weight of the lower order and the total of each context ab."""
@@ -104,58 +133,91 @@ class Models:
             self._table = place, width, out
         return self._table
 
-    def losses(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, and summed loss under target and background, of each text."""
-        place, width, (background, target) = self.table()
+    def losses(self, texts: list[bytes], keys: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words, and summed loss under target and background, of each text. ``keys`` ascend; ``counts``: of these words, as in ``known``."""
+        place, width, tables = self.table()
         tokens, sums = np.zeros(len(texts), dtype=np.int64), np.zeros((2, len(texts)))
         for part in chunks(texts):
-            keys, n = trigrams([texts[i] for i in part])
-            index = (place[keys // (V * V)] * width + place[keys // V % V]) * width + place[keys % V]
-            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-            for k, losses in enumerate((target, background)):
-                sums[k, part] = np.add.reduceat(losses[index], starts, dtype=np.float64)
-            tokens[part] = n
-        return tokens, sums[0], sums[1]
-
-
-def count_trigrams(docs: DataFrame) -> DataFrame:
-    """key, background, target from rows of text, target (boolean)."""
+            some = [texts[i] for i in part]
+            hashes, owner, starts, ends = words(some)
+            if not len(hashes):
+                continue
+            grams, _ = trigrams(some)
+            index = (place[grams // (V * V)] * width + place[grams // V % V]) * width + place[grams % V]
+            at = np.searchsorted(keys, hashes)
+            seen = np.append(keys, 0)[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
+            seen &= at < len(keys)
+            for k, (losses, n, total) in enumerate(zip(tables, counts, self.n_words, strict=True)):
+                run = np.concatenate([[0.0], np.cumsum(losses[index], dtype=np.float64)])
+                spelled = run[starts] - run[ends + 1]
+                if total:
+                    own = np.where(seen, np.append(n, 0)[at], 0)
+                    with np.errstate(divide="ignore"):
+                        spelled = np.logaddexp(np.log((1 - SPELLED) * own / total), np.log(SPELLED) + spelled)
+                sums[k, part] = np.bincount(owner, -spelled, len(part))
+            tokens[part] = np.bincount(owner, minlength=len(part))
+        return tokens, sums[1], sums[0]
+
+
+def count_grams(docs: DataFrame) -> DataFrame:
+    """word (false: a trigram), key, background, target from rows of text, target (boolean)."""
     common.small_batches(docs.sparkSession)
+    names = ["word", "key", "background", "target"]
+
+    def sums(word, keys, good):
+        ids, where, total = np.unique(keys, return_inverse=True, return_counts=True)
+        good = np.bincount(where, good, len(ids)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), word)), pa.array(ids, pa.int64()), pa.array(total, pa.int64()), pa.array(good, pa.int64())], names=names)
 
     def work(batches):
         for b in batches:
             texts = [t.encode() for t in b.column("text").to_pylist()]
             chosen = np.array(b.column("target").to_pylist(), dtype=bool)
             for part in chunks(texts):
-                keys, n = trigrams([texts[i] for i in part])
-                ids, where, total = np.unique(keys, return_inverse=True, return_counts=True)
-                good = np.bincount(where, np.repeat(chosen[part], n), len(ids)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total, pa.int64()), pa.array(good, pa.int64())], names=["key", "background", "target"])
+                some = [texts[i] for i in part]
+                keys, n = trigrams(some)
+                yield sums(False, keys, np.repeat(chosen[part], n))
+                hashes, owner, *_ = words(some)
+                yield sums(True, hashes, chosen[part][owner])
 
-    found = docs.select("text", "target").mapInArrow(work, "key int, background long, target long")
-    return found.groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    found = docs.select("text", "target").mapInArrow(work, "word boolean, key long, background long, target long")
+    return found.groupBy("word", "key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality") -> Models:
     good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).alias("id")).distinct().withColumn("good", F.lit(True))
     rows = docs.select(F.col(id_col).alias("id"), common.body(F.col(text_col)).alias("text"))
-    # labels grow with the documents, so both are dealt by identifier at every size
-    counted = count_trigrams(rows.join(good.hint("shuffle_hash"), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("target"))).toArrow()  # 257^3 rows at most
+    rows = rows.join(common.checked_broadcast(good, good.count(), 40), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("target"))
+    every = common.cut(count_grams(rows))
+    counted = every.where(~F.col("word")).drop("word").toArrow()  # 257^3 rows at most
     keys = counted.column("key").to_numpy()
     order = np.argsort(keys)
-    return Models(keys[order], counted.column("background").to_numpy()[order], counted.column("target").to_numpy()[order])
+    return Models(keys[order], counted.column("background").to_numpy()[order], counted.column("target").to_numpy()[order], every.where("word").drop("word"))
 
 
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, loss_target, loss_background (means a token) and score, their difference."""
+    """doc_id, n_tokens (words), loss_target, loss_background (means a word) and score, their difference."""
     spark = docs.sparkSession
-    common.small_batches(spark)
     given = spark.sparkContext.broadcast(models)
     rows = docs.select(F.col(id_col).alias("doc_id"), common.body(F.col(text_col)).alias("text"))
-
-    def work(batches):
-        for b in batches:
-            n, target, background = given.value.losses([t.encode() for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in (target / n, background / n, (target - background) / n))], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, loss_target double, loss_background double, score double")
+    size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit("lm"), "doc_id", F.xxhash64("text")), F.lit(1 + size // CHUNK_BYTES)))
+    by_chunk = dealt.groupBy("chunk")
+
+    def ask(t: pa.Table) -> pa.Table:
+        texts = [x.encode() for x in t.column("text").to_pylist()]
+        keys = np.unique(np.concatenate([np.unique(words([texts[i] for i in part])[0]) for part in chunks(texts)]))
+        return pa.table({"chunk": pa.array(np.full(len(keys), t.column("chunk")[0].as_py()), pa.int64()), "key": pa.array(keys, pa.int64())})
+
+    asked = by_chunk.applyInArrow(ask, "chunk long, key long")
+    answers = asked.join(models.known, "key").select("chunk", "key", "background", "target")
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, background, target = (right.column(c).to_numpy() for c in ("key", "background", "target"))
+        order = np.argsort(keys)
+        n, loss_target, loss_background = given.value.losses([x.encode() for x in left.column("text").to_pylist()], keys[order], (background[order], target[order]))
+        each = np.maximum(n, 1)
+        return pa.table({"doc_id": left.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), **{k: pa.array(x, pa.float64()) for k, x in (("loss_target", loss_target / each), ("loss_background", loss_background / each), ("score", (loss_target - loss_background) / each))}})
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(work, f"doc_id {kind}, n_tokens long, loss_target double, loss_background double, score double")

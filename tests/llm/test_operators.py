@@ -168,6 +168,50 @@ def test_trigrams_by_hand():
     assert lm_scoring.trigrams(texts)[0].tolist() == want
 
 
+def test_words_by_hand():
+    texts = [b"ab  c\x0bab", b"", b" \n", b"c", b"\xc3\xa9 ab "]
+    hashes, owner, starts, ends = lm_scoring.words(texts)
+    raw = b" ".join([*texts, b""])
+    assert [raw[x:y] for x, y in zip(starts, ends, strict=True)] == [b"ab", b"c", b"ab", b"c", b"\xc3\xa9", b"ab"]
+    assert owner.tolist() == [0, 0, 0, 3, 4, 4]
+    assert len(set(hashes.tolist())) == 3 and hashes[0] == hashes[2] == hashes[5] and hashes[1] == hashes[3]
+
+
+def brute_losses(corpora, texts):
+    """Summed word losses of each text under a model of each corpus, from the definition with plain counters."""
+    out = []
+    for corpus in corpora:
+        one, two, three, kinds1, kinds2, kinds3 = (collections.Counter() for _ in range(6))
+        said = collections.Counter(w for t in corpus for w in re.findall(rb"[^\x20\x09-\x0D]+", t))
+        for t in corpus:
+            s = [0, 0, *(c + 1 for c in t), 0]
+            three.update(zip(s, s[1:], s[2:], strict=False))
+        for (a, b, c), n in three.items():
+            kinds3[a, b] += 1
+            two[b, c] += n
+            kinds3[a, b, "n"] += n
+        for (b, c), n in two.items():
+            kinds2[b] += 1
+            kinds2[b, "n"] += n
+            one[c] += n
+        n, total = sum(one.values()), sum(said.values())
+
+        def p(a, b, c):
+            x = (one[c] + len(one) / 257) / (n + len(one)) if n else 1 / 257
+            x = (two[b, c] + kinds2[b] * x) / (kinds2[b, "n"] + kinds2[b]) if kinds2[b] else x
+            return (three[a, b, c] + kinds3[a, b] * x) / (kinds3[a, b, "n"] + kinds3[a, b]) if kinds3[a, b] else x
+
+        losses = []
+        for t in texts:
+            s, loss = [0, 0, *(c + 1 for c in t), 0], 0.0
+            for m in re.finditer(rb"[^\x20\x09-\x0D]+", t):
+                spelled = np.prod([p(*s[i : i + 3]) for i in range(m.start(), m.end() + 1)])
+                loss -= np.log(0.9 * said[m.group()] / total + 0.1 * spelled if total else spelled)
+            losses.append(loss)
+        out.append(losses)
+    return out
+
+
 def test_lm_scoring(spark, odd):
     docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
     models = lm_scoring.fit(docs, labels)
@@ -176,14 +220,37 @@ def test_lm_scoring(spark, odd):
     for r in labels.collect():
         by_label[r.quality].append(rows[r.doc_id].score)
     assert np.mean(by_label[1]) < np.mean(by_label[0])
-    counts = collections.Counter()
-    for r in docs.collect():
-        s = [0, 0, *(c + 1 for c in r.text.encode()), 0]
-        counts.update((s[i - 2] * 257 + s[i - 1]) * 257 + s[i] for i in range(2, len(s)))
-    assert dict(zip(models.keys.tolist(), models.counts[0].astype(int).tolist(), strict=True)) == counts
+    texts = {r.doc_id: r.text.encode() for r in docs.collect()}
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    some = sorted(i for i in texts if len(texts[i]) < 3000)[:25]
+    want = brute_losses([[texts[i] for i in good], list(texts.values())], [texts[i] for i in some])
+    for k, i in enumerate(some):
+        n = len(re.findall(rb"[^\x20\x09-\x0D]+", texts[i]))
+        assert rows[i].n_tokens == n
+        assert np.allclose([rows[i].loss_target, rows[i].loss_background], [w[k] / n for w in want], rtol=1e-4)
+        assert np.isclose(rows[i].score, rows[i].loss_target - rows[i].loss_background)
+    said = collections.Counter(w for t in texts.values() for w in re.findall(rb"[^\x20\x09-\x0D]+", t))
+    assert models.known.count() == len(said) and models.n_words[0] == sum(said.values())
+    assert models.known.agg(F.sum("background")).head()[0] == sum(said.values())
+
+
+def test_lm_odd(spark, odd):
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     none = labels.where("false")
-    assert lm_scoring.score(odd, lm_scoring.fit(odd, none)).count() == len(ODD)
-    assert lm_scoring.score(odd.limit(0), lm_scoring.fit(odd.limit(0), none)).count() == 0
+    rows = lm_scoring.score(odd, lm_scoring.fit(odd, none)).collect()
+    assert len(rows) == len(ODD)
+    for r in rows:
+        assert np.isfinite([r.loss_target, r.loss_background, r.score]).all()
+        if r.doc_id in (1, 2, 3):
+            assert (r.n_tokens, r.loss_target, r.loss_background, r.score) == (0, 0.0, 0.0, 0.0)
+    assert len({(r.loss_target, r.loss_background) for r in rows if r.doc_id in (4, 5, None)}) == 1
+    assert lm_scoring.score(odd.limit(0), lm_scoring.fit(odd.limit(0), labels)).count() == 0
+    # words the fitted corpus lacks, and labels given more than once
+    other = spark.createDataFrame([(1, "stone river"), (2, "qq")], "doc_id long, text string")
+    twice = spark.createDataFrame([(4, 1), (4, 0), (4, 1), (99, 1)], "doc_id long, quality int")
+    model = lm_scoring.fit(odd, twice)
+    assert model.n_words == (6.0 * 4 + 60000 + 2, 6.0)  # U+2028 is part of a word
+    assert lm_scoring.score(other, model).where("n_tokens > 0").count() == 2
 
 
 # 5 mixing
