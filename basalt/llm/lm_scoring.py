@@ -1,11 +1,11 @@
 """Language-model scoring by cross-entropy difference.
 
-Two matched models, of a target and of a background, share one vocabulary of words (runs of other than white
-space). The background is every document; the target is the documents labelled of good quality. A word's
-probability mixes, with fixed weight, its share of the model's words and its spelling by byte trigrams with
-Witten-Bell smoothing in the text before it, up to the byte that ends it, so that no word is unknown and new words,
-copies and rare words are told apart by both. A document's score is the mean over its words of the loss under the
-target less the loss under the background; lower is closer to the target.
+Two matched models, of a target and of a background, share one vocabulary, the words (runs of other than white
+space) of the target. The background is every document; the target is the documents labelled of good quality. A
+word's probability mixes, with fixed weight, its share of the model's words, 0 outside the vocabulary, and its spelling
+by byte trigrams with Witten-Bell smoothing in the text before it, up to the byte that ends it, so that no word is
+unknown and both models can only spell those that the vocabulary lacks. A document's score is the mean over its
+words of the loss under the target less the loss under the background; lower is closer to the target.
 
 Words and trigrams of all documents are counted in their own tasks, batch by batch, and summed by key in one
 shuffle. The counts of words grow with the corpus and stay a distributed table. Only the trigrams, 257^3 rows
@@ -14,7 +14,7 @@ about ``CHUNK_BYTES``; a chunk asks for each of its words once, and meets the an
 frequent word is one row a chunk. Labels are broadcast if counted small and joined by a shuffle otherwise.
 
 Defined cases: null, empty and white text has no word, losses 0 and score 0; a document labelled several times has its
-best label; labels without a document do nothing; with no target document the target model is uniform over bytes;
+best label; labels without a document do nothing; with no target document both models spell alone, the target's over uniform bytes;
 repeated rows are counted and scored each; an empty table gives an empty result; only the identifier is carried along.
 """
 
@@ -32,7 +32,7 @@ V = 257
 CHUNK = 1 << 20
 CHUNK_BYTES = 8 << 20
 #: Weight of a word's spelling against its count.
-SPELLED = 0.1
+SPELLED = 0.5
 
 
 def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +87,7 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 class Models:
-    """Losses of both models: trigrams here, and the counts of words as the table ``known`` (key, background, target)."""
+    """Losses of both models: trigrams here, and the counts of the vocabulary's words as the table ``known`` (key, background, target)."""
 
     def __init__(self, keys: np.ndarray, background: np.ndarray, target: np.ndarray, known: DataFrame | None = None):
         self.keys, self.counts = keys.astype(np.int64), (background.astype(np.float64), target.astype(np.float64))
@@ -150,7 +150,7 @@ class Models:
             for k, (losses, n, total) in enumerate(zip(tables, counts, self.n_words, strict=True)):
                 run = np.concatenate([[0.0], np.cumsum(losses[index], dtype=np.float64)])
                 spelled = run[starts] - run[ends + 1]
-                if total:
+                if all(self.n_words):
                     own = np.where(seen, np.append(n, 0)[at], 0)
                     with np.errstate(divide="ignore"):
                         spelled = np.logaddexp(np.log((1 - SPELLED) * own / total), np.log(SPELLED) + spelled)
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counted = every.where(~F.col("word")).drop("word").toArrow()  # 257^3 rows at most
     keys = counted.column("key").to_numpy()
     order = np.argsort(keys)
-    return Models(keys[order], counted.column("background").to_numpy()[order], counted.column("target").to_numpy()[order], every.where("word").drop("word"))
+    return Models(keys[order], counted.column("background").to_numpy()[order], counted.column("target").to_numpy()[order], every.where("word AND target > 0").drop("word"))
 
 
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
