@@ -36,6 +36,16 @@ def shingles(words: Column, n: int = SHINGLE) -> Column:
     return F.get(F.transform(F.array(words), of), 0)
 
 
+def shingle_hashes(words: Column, n: int = SHINGLE) -> Column:
+    """64-bit hashes of the distinct runs of n words, made from the words' hashes without joining text."""
+
+    def of(w):
+        every = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+        return F.when(F.size(w) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<bigint>"))
+
+    return F.get(F.transform(F.array(F.transform(words, lambda x: F.xxhash64(x))), of), 0)
+
+
 def is_function_word(word: Column, lang: Column) -> Column:
     return F.coalesce(*[F.when(lang == k, word.isin(v)) for k, v in FUNCTION_WORDS.items()], F.lit(False))
 

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 from hypothesis import given, settings
@@ -72,6 +74,30 @@ def test_near_duplicates_and_links(spark):
     assert [tuple(r) for r in knowledge.fragment_links(short).collect()] == [(2, 1, 2)]
 
 
+def test_near_duplicates_against_brute_force(spark):
+    """A passage that all documents share, families just above and below the limit, repeated shingles."""
+    rng, texts = random.Random(5), []
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    shared = [word() for _ in range(60)]
+    for _ in range(60):
+        texts.append([word() for _ in range(rng.randint(5, 60))] + shared)
+    for size in (12, 40, 150):
+        base = [word() for _ in range(size)]
+        for _ in range(20):
+            texts.append([word() if rng.random() < rng.choice([0.0, 0.005, 0.02]) else w for w in base] + rng.choice([[], shared, base[:5]]))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = {}
+    for i, t in enumerate(texts):
+        sets.setdefault(frozenset(tuple(t[k : k + 5]) for k in range(len(t) - 4)), i)
+    reps, want = [(i, s) for s, i in sets.items() if s], {}
+    for i, s in reps:
+        for j, t in reps:
+            if i < j and len(s & t) / len(s | t) >= 0.8:
+                want[i, j] = round(len(s & t) / len(s | t), 6)
+    assert len(want) > 20
+    assert {(r.a, r.b): r.jaccard for r in digest.near_duplicates(docs).collect()} == want
+
+
 def test_mermaid_quotes_labels(spark):
     pages = spark.createDataFrame([(1, "u", '<a href="/a,b">a,b</a>')], "page_id long, url string, html string")
     assert graph.links_mermaid(pages).head()["mermaid"] == 'graph LR\n  p["u"]\n  p --> n0["/a,b"]'
