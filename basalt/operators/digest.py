@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bounded, shingle_hashes, tokens
+from ..sources import written
 
 
 def source_digest(docs: DataFrame) -> DataFrame:
@@ -23,14 +24,17 @@ def dedupe_exact(docs: DataFrame) -> DataFrame:
 
 
 def _hash_sets(docs: DataFrame) -> DataFrame:
-    """id, s, n: each different set of shingle hashes (ascending) and its lowest doc_id."""
-    sets = docs.select("doc_id", F.sort_array(shingle_hashes(tokens(F.col("text")))).alias("s")).where(F.size("s") > 0)
-    return sets.groupBy("s").agg(F.min("doc_id").alias("id")).withColumn("n", F.size("s"))
+    """id, s, n: each different set of shingle hashes (ascending) and its lowest doc_id, written to shared storage."""
+    texts = docs.groupBy(F.sha2("text", 256).alias("t")).agg(F.min("doc_id").alias("doc_id")).where("t IS NOT NULL").select("doc_id")
+    first = docs.select("doc_id", "text").join(bounded(texts), "doc_id")
+    sets = first.select("doc_id", F.sort_array(shingle_hashes(tokens(F.col("text")))).alias("s")).where(F.size("s") > 0)
+    return written(sets.groupBy("s").agg(F.min("doc_id").alias("id")).withColumn("n", F.size("s")))
 
 
-def _frequent(docs: DataFrame, one_in: int = 16, least: int = 4) -> DataFrame:
-    """h: shingle hashes found in ``least`` sets of one in ``one_in`` documents."""
-    return _hash_sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0)).select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("h")
+def _frequent(reps: DataFrame, one_in: int = 16, least: int = 4) -> DataFrame:
+    """h: shingle hashes found in ``least`` of one in ``one_in`` sets."""
+    some = reps.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).select(F.explode("s").alias("h"))
+    return some.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("h")
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -38,12 +42,12 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
     A set's representative is its lowest doc_id; the others' membership follows from equal sets. Under any one order of the
     shingles, sets of that similarity share one of their first n - ceil(least * n) + 1, so only those are joined on. The
-    order puts shingles that a sample of documents finds frequent last, so that a passage which many documents hold
+    order puts shingles that a sample of the sets finds frequent last, so that a passage which many documents hold
     gives few pairs; the sample decides the order alone, never the result. Of the pairs, only those go on to
     the comparison of whole sets whose shared first shingles, and all behind the last of these, could suffice.
     """
     reps = _hash_sets(docs)
-    late = reps.select("id", F.explode("s").alias("h")).join(bounded(_frequent(docs)), "h").groupBy("id").agg(F.sort_array(F.collect_list("h")).alias("late"))
+    late = reps.select("id", F.explode("s").alias("h")).join(bounded(_frequent(reps)), "h").groupBy("id").agg(F.sort_array(F.collect_list("h")).alias("late"))
     ordered = F.when(F.col("late").isNull(), F.col("s")).otherwise(F.concat(F.array_except("s", "late"), "late"))
     first = F.slice(ordered, F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))
     prefix = reps.join(late, "id", "left").select("id", "n", F.posexplode(first).alias("at", "h"))
@@ -52,8 +56,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     met = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count(F.lit(1)).alias("c"), F.max("x.at").alias("xa"), F.max("y.at").alias("ya"))
     most = F.col("c") + F.least(F.col("na") - F.col("xa"), F.col("nb") - F.col("ya")) - 1
     # the bound is loosened by one, as it is in floating point
-    pairs = met.where((most + 1) * (1 + least) >= least * (F.col("na") + F.col("nb"))).select("a", "b")
-    left, right = reps.select(F.col("id").alias("a"), F.col("s").alias("sa")), reps.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    pairs = written(met.where((most + 1) * (1 + least) >= least * (F.col("na") + F.col("nb"))).select("a", "b"))
+    with_pair = reps.join(bounded(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id")
+    left, right = with_pair.select(F.col("id").alias("a"), F.col("s").alias("sa")), with_pair.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard"))
     return scored.where(F.col("jaccard") >= least).withColumn("jaccard", F.round("jaccard", 6))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,3 +15,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def write_markdown(df: DataFrame, path: str, column: str = "markdown") -> None:
     """Write a column of Markdown as text files, one part a task."""
     df.select(df[column].alias("value")).write.text(path)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Compute now and keep the result as a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
+
+    Only a local session without that setting gets a temporary folder.
+    """
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="basalt-"))
+    return df.checkpoint(eager=True)
