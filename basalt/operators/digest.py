@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import bounded, shingle_hashes, tokens
+from ..functions import BROADCAST_ROWS, bounded, shingle_hashes, tokens
 from ..sources import written
 
 
@@ -24,11 +24,18 @@ def dedupe_exact(docs: DataFrame) -> DataFrame:
 
 
 def _hash_sets(docs: DataFrame) -> DataFrame:
-    """id, s, n: each different set of shingle hashes (ascending) and its lowest doc_id, written to shared storage."""
+    """id, s, n: each different set of shingle hashes (ascending) and its lowest doc_id, written to shared storage.
+
+    Equal sets are found by two hashes of the whole set, so that sets stay where they are while the lowest are few.
+    """
     texts = docs.groupBy(F.sha2("text", 256).alias("t")).agg(F.min("doc_id").alias("doc_id")).where("t IS NOT NULL").select("doc_id")
     first = docs.select("doc_id", "text").join(bounded(texts), "doc_id")
     sets = first.select("doc_id", F.sort_array(shingle_hashes(tokens(F.col("text")))).alias("s")).where(F.size("s") > 0)
-    return written(sets.groupBy("s").agg(F.min("doc_id").alias("id")).withColumn("n", F.size("s")))
+    kept = written(sets.select(F.col("doc_id").alias("id"), "s", F.size("s").alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit("second"), "s").alias("h2")))
+    lowest = written(kept.groupBy("h1", "h2").agg(F.min("id").alias("id")))
+    if lowest.count() <= BROADCAST_ROWS:
+        return kept.join(F.broadcast(lowest), ["h1", "h2", "id"]).select("id", "s", "n")
+    return written(kept.join(lowest, ["h1", "h2", "id"]).select("id", "s", "n"))
 
 
 def _frequent(reps: DataFrame, one_in: int = 16, least: int = 4) -> DataFrame:
