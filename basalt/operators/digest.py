@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import BROADCAST_ROWS, bounded, shingle_hashes, tokens
@@ -44,6 +44,18 @@ def _frequent(reps: DataFrame, one_in: int = 16, least: int = 4) -> DataFrame:
     return some.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("h")
 
 
+def _of_pairs(reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets that stand in a pair a, b."""
+    return reps.join(bounded(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id")
+
+
+def _parities(s: Column) -> Column:
+    """1024 bits, each the parity of the number of hashes that fall on it. Two sets' bits differ in no more places than the sets in hashes."""
+    part = lambda k: F.filter(s, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(15)) == k)
+    flip = lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
+    return F.array(*[F.aggregate(part(k), F.lit(0).cast("long"), flip) for k in range(16)])
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """a, b, jaccard between representatives of equal shingle sets. Fidelity: partial.
 
@@ -51,7 +63,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     shingles, sets of that similarity share one of their first n - ceil(least * n) + 1, so only those are joined on. The
     order puts shingles that a sample of the sets finds frequent last, so that a passage which many documents hold
     gives few pairs; the sample decides the order alone, never the result. Of the pairs, only those go on to
-    the comparison of whole sets whose shared first shingles, and all behind the last of these, could suffice.
+    the comparison of whole sets whose shared first shingles, and all behind the last of these, could suffice, and whose
+    bits of parity don't differ in more places than the sets may.
     """
     reps = _hash_sets(docs)
     late = reps.select("id", F.explode("s").alias("h")).join(bounded(_frequent(reps)), "h").groupBy("id").agg(F.sort_array(F.collect_list("h")).alias("late"))
@@ -63,9 +76,13 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     met = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count(F.lit(1)).alias("c"), F.max("x.at").alias("xa"), F.max("y.at").alias("ya"))
     most = F.col("c") + F.least(F.col("na") - F.col("xa"), F.col("nb") - F.col("ya")) - 1
     # the bound is loosened by one, as it is in floating point
-    pairs = written(met.where((most + 1) * (1 + least) >= least * (F.col("na") + F.col("nb"))).select("a", "b"))
-    with_pair = reps.join(bounded(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id")
-    left, right = with_pair.select(F.col("id").alias("a"), F.col("s").alias("sa")), with_pair.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    pairs = written(met.where((most + 1) * (1 + least) >= least * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb"))
+    bits = _of_pairs(reps, pairs).select("id", _parities(F.col("s")).alias("bits"))
+    differ = F.aggregate(F.zip_with("ba", "bb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    pairs = pairs.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("ba")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("bb")), "b")
+    pairs = written(pairs.where(differ * (1 + least) <= (F.col("na") + F.col("nb")) * (1 - least) + 1).select("a", "b"))
+    last = _of_pairs(reps, pairs)
+    left, right = last.select(F.col("id").alias("a"), F.col("s").alias("sa")), last.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard"))
     return scored.where(F.col("jaccard") >= least).withColumn("jaccard", F.round("jaccard", 6))
