@@ -38,7 +38,7 @@ def _hash_sets(docs: DataFrame) -> DataFrame:
     return written(kept.join(lowest, ["h1", "h2", "id"]).select("id", "s", "n"))
 
 
-def _frequent(reps: DataFrame, one_in: int = 16, least: int = 4) -> DataFrame:
+def _frequent(reps: DataFrame, one_in: int = 16, least: int = 32) -> DataFrame:
     """h: shingle hashes found in ``least`` of one in ``one_in`` sets."""
     some = reps.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).select(F.explode("s").alias("h"))
     return some.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("h")
