@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import content_words
+from ..functions import bounded, content_words
+from ..sources import written
 
 
 def fragments(docs: DataFrame, below: int = 200) -> DataFrame:
@@ -34,3 +35,28 @@ def fragment_links(docs: DataFrame) -> DataFrame:
     found = rows.join(hubs, "pair").where("doc_id <> linked_doc").select("doc_id", "linked_doc").distinct()
     hub_words = words.select(F.col("doc_id").alias("linked_doc"), F.col("words").alias("hub_words"))
     return found.join(words, "doc_id").join(hub_words, "linked_doc").select("doc_id", "linked_doc", F.size(F.array_intersect("words", "hub_words")).cast("long").alias("n_shared"))
+
+
+def fragment_links_full(docs: DataFrame, most: int = 256) -> DataFrame:
+    """doc_id, linked_doc, n_shared, same_set: every link of fragments that share two keywords or more. Fidelity: partial.
+
+    Fragments of equal keyword sets (two words or more) form a class, represented by its lowest doc_id. Rows with ``same_set``
+    give each other fragment of a class its representative; the others are all links between representatives, the lower
+    doc_id second. Two fragments are thus linked if and only if they are of one class or their classes are linked.
+
+    Classes meet by pair of keywords, and of the pairs that two share only the lowest counts, so no link is made twice. A
+    pair that more than ``most`` classes hold is dealt in parts: its left rows by hash, its right rows to each part.
+    """
+    words = written(fragment_keywords(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list("word")).alias("words")).where(F.size("words") > 1))
+    classes = written(words.groupBy("words").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("c")))
+    several = classes.where("c > 1").select("words", F.col("id").alias("linked_doc"))
+    members = words.join(bounded(several), "words").where("doc_id <> linked_doc").select("doc_id", "linked_doc", F.size("words").cast("long").alias("n_shared"), F.lit(True).alias("same_set"))
+    pairs = F.flatten(F.transform("words", lambda x: F.transform(F.filter("words", lambda y: y > x), lambda y: F.array(x, y))))
+    rows = classes.select("id", "words", F.explode(pairs).alias("pair"))
+    parts = rows.groupBy("pair").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts")).where("parts > 1")
+    rows = rows.join(bounded(parts), "pair", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    left = rows.select("pair", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("doc_id"), "words")
+    right = rows.select("pair", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("linked_doc"), F.col("words").alias("other"))
+    met = left.join(right, ["pair", "part"]).where("doc_id > linked_doc").withColumn("both", F.array_intersect("words", "other"))
+    links = met.where(F.slice("both", 1, 2) == F.col("pair")).select("doc_id", "linked_doc", F.size("both").cast("long").alias("n_shared"), F.lit(False).alias("same_set"))
+    return links.unionByName(members)

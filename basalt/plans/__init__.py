@@ -27,6 +27,7 @@ WHAT = {
     "fragments": (knowledge.fragments, ["documents"]),
     "fragment_keywords": (knowledge.fragment_keywords, ["documents"]),
     "fragment_links": (knowledge.fragment_links, ["documents"]),
+    "fragment_links_full": (knowledge.fragment_links_full, ["documents"]),
 }
 
 
@@ -106,4 +107,8 @@ SELECT d.source, '## ' || d.source || chr(10) || chr(10) || count(*) || ' docume
         "fragment_links": f"""WITH {KEYWORDS}, pr AS (SELECT a.doc_id, a.word AS x, b.word AS y FROM kw a JOIN kw b ON a.doc_id = b.doc_id AND a.word < b.word),
 hub AS (SELECT x, y, min(doc_id) AS linked_doc FROM pr GROUP BY x, y HAVING count(*) > 1), l AS (SELECT DISTINCT doc_id, linked_doc FROM pr JOIN hub USING (x, y) WHERE doc_id <> linked_doc)
 SELECT l.doc_id, linked_doc, count(*) AS n_shared FROM l JOIN kw a ON a.doc_id = l.doc_id JOIN kw b ON b.doc_id = linked_doc AND b.word = a.word GROUP BY ALL""",
+        "fragment_links_full": f"""WITH {KEYWORDS}, ks AS (SELECT doc_id, list_sort(list(word)) AS words FROM kw GROUP BY doc_id HAVING count(*) > 1),
+c AS (SELECT doc_id, len(words) AS n, min(doc_id) OVER (PARTITION BY words) AS rep FROM ks), r AS (SELECT doc_id, word FROM kw WHERE doc_id IN (SELECT rep FROM c))
+SELECT a.doc_id, b.doc_id AS linked_doc, count(*) AS n_shared, false AS same_set FROM r a JOIN r b ON a.word = b.word AND a.doc_id > b.doc_id GROUP BY a.doc_id, b.doc_id HAVING count(*) > 1
+UNION ALL SELECT doc_id, rep, n, true FROM c WHERE doc_id <> rep""",
     }

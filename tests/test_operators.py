@@ -98,6 +98,25 @@ def test_near_duplicates_against_brute_force(spark):
     assert {(r.a, r.b): r.jaccard for r in digest.near_duplicates(docs).collect()} == want
 
 
+@pytest.mark.parametrize("most", [3, 256])
+def test_every_fragment_link(spark, most):
+    """All pairs by brute force, those of one class included, with a pair of keywords that most fragments hold."""
+    rng, pool = random.Random(3), ["river", "stone", "hill", "lake", "wood", "field"]
+    texts = {i: ["river", "stone", *rng.sample(pool, rng.randint(0, 3))] if i % 3 else rng.sample(pool, rng.randint(1, 4)) for i in range(40)}
+    short = spark.createDataFrame([(i, "en", " ".join(t), 50) for i, t in texts.items()], "doc_id long, lang string, text string, n_chars long")
+    rows = knowledge.fragment_links_full(short, most).collect()
+    sets = {i: set(t) for i, t in texts.items()}
+    rep = {r.doc_id: r.linked_doc for r in rows if r.same_set}
+    linked = {(r.doc_id, r.linked_doc): r.n_shared for r in rows if not r.same_set}
+    assert len(rep) + len(linked) == len(rows) and rep and linked
+    for i in sets:
+        for j in range(i):
+            a, b, n = rep.get(i, i), rep.get(j, j), len(sets[i] & sets[j])
+            got = len(sets[i]) if a == b else linked.get((max(a, b), min(a, b)), 0)
+            assert got == (n if n > 1 else 0)
+            assert (a == b) == (sets[i] == sets[j] and n > 1)
+
+
 def test_mermaid_quotes_labels(spark):
     pages = spark.createDataFrame([(1, "u", '<a href="/a,b">a,b</a>')], "page_id long, url string, html string")
     assert graph.links_mermaid(pages).head()["mermaid"] == 'graph LR\n  p["u"]\n  p --> n0["/a,b"]'
