@@ -88,6 +88,14 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     return scored.where(F.col("jaccard") >= least).withColumn("jaccard", F.round("jaccard", 6))
 
 
+def near_duplicate_members(docs: DataFrame) -> DataFrame:
+    """doc_id, rep: each document with a shingle and its representative in ``near_duplicates``, itself if it is the lowest. Fidelity: partial."""
+    sets = docs.select("doc_id", F.sort_array(shingle_hashes(tokens(F.col("text")))).alias("s")).where(F.size("s") > 0)
+    kept = written(sets.select("doc_id", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit("second"), "s").alias("h2")))
+    several = kept.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    return kept.join(bounded(written(several)), ["h1", "h2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+
+
 def search_top(docs: DataFrame, term: str = "the", k: int = 3) -> DataFrame:
     """source, doc_id, tf, rank: a source's k documents in which a word occurs most. Fidelity: partial."""
     hits = docs.select("source", "doc_id", F.size(F.filter(tokens(F.col("text")), lambda w: w == term)).cast("long").alias("tf")).where("tf > 0")

@@ -19,6 +19,7 @@ WHAT = {
     "source_digest": (digest.source_digest, ["documents"]),
     "dedupe_exact": (digest.dedupe_exact, ["documents"]),
     "near_duplicates": (digest.near_duplicates, ["documents"]),
+    "near_duplicate_members": (digest.near_duplicate_members, ["documents"]),
     "search_top": (digest.search_top, ["documents"]),
     "digest_markdown": (digest.digest_markdown, ["documents"]),
     "activity_track": (digest.activity_track, ["events"]),
@@ -96,6 +97,8 @@ CASE WHEN w.item_id IS NOT NULL THEN 'verbatim' WHEN n_docs > 0 THEN 'partial' E
 r AS (SELECT min(doc_id) AS id, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s), e AS (SELECT id, n, unnest(s) AS h FROM r),
 p AS (SELECT x.id AS a, y.id AS b, x.n AS na, y.n AS nb, count(*) AS shared FROM e x JOIN e y ON x.h = y.h AND x.id < y.id GROUP BY ALL)
 SELECT a, b, round(shared / (na + nb - shared), 6) AS jaccard FROM p WHERE shared / (na + nb - shared) >= 0.8""",
+        "near_duplicate_members": f"""WITH s AS (SELECT doc_id, list_sort({_shingles("w")}) AS s FROM (SELECT doc_id, {TOKENS} AS w FROM documents))
+SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS rep FROM s WHERE len(s) > 0""",
         "search_top": f"WITH {TOP} SELECT * FROM top",
         "digest_markdown": f"""WITH {TOP}, l AS (SELECT source, string_agg('- document ' || doc_id || ': ' || tf, chr(10) ORDER BY rank) AS lines FROM top GROUP BY source)
 SELECT d.source, '## ' || d.source || chr(10) || chr(10) || count(*) || ' documents, ' || sum(length(text)) || ' characters' || chr(10) || chr(10) || 'Most `the`:' || chr(10) || coalesce(any_value(lines), '- none') AS markdown FROM documents d LEFT JOIN l USING (source) GROUP BY d.source""",

@@ -74,6 +74,13 @@ def test_near_duplicates_and_links(spark):
     assert [tuple(r) for r in knowledge.fragment_links(short).collect()] == [(2, 1, 2)]
 
 
+def test_near_duplicate_members(spark):
+    """Copies, and texts that differ in case, digits and punctuation, are found again; texts without a shingle are in no class."""
+    texts = ["one two three four five six", "other words of a longer text here", "One, two, three 3 four five six!", "one two three four five six", "too short", None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in digest.near_duplicate_members(docs).collect()) == [(0, 0), (1, 1), (2, 0), (3, 0)]
+
+
 def test_near_duplicates_against_brute_force(spark):
     """A passage that all documents share, families just above and below the limit, repeated shingles."""
     rng, texts = random.Random(5), []
