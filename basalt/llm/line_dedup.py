@@ -4,7 +4,8 @@ A store holds runs: Parquet tables of (128-bit hash of a line's key, owner docum
 hash. A batch pre-aggregates its lines by hash, merge-joins the runs, keeps what no run holds and adds
 that as a run of level 0; when a level has ``fanout`` runs they are merged into one run of the next level.
 A key belongs to the document that first brought it; within a batch, to the smallest identifier. A whole
-corpus is taken as batches of ascending identifiers, so a key belongs to its smallest identifier.
+corpus is taken as batches of ascending identifiers, so a key belongs to its smallest identifier. There is one batch
+more than ``fanout``, so that runs are merged at any size, and one more for each doubling beyond ``BATCH_ROWS`` rows.
 
 Only hashes are shuffled. A line that stands in a third of all documents becomes one row a map task before
 the shuffle by hash, and the join that finds its losing places is an ordinary shuffle join that Spark splits
@@ -17,6 +18,7 @@ empty result; the added columns replace columns of the same names.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,7 @@ from . import common
 
 ADDED = ["n_lines", "n_dropped"]
 NO_ID = 9223372036854775807
+BATCH_ROWS = 250_000
 
 
 def line_key(line: F.Column) -> F.Column:
@@ -105,10 +108,15 @@ class LineStore:
         common.remove(self.spark, self.path)
 
 
-def lost_positions(docs: DataFrame, batches: int, min_chars: int, id_col: str, text_col: str, store: LineStore | None) -> tuple[DataFrame, int]:
+def batches_for(rows: int, fanout: int) -> int:
+    return fanout + 1 + max(0, math.ceil(math.log2(max(rows, 1) / BATCH_ROWS)))
+
+
+def lost_positions(docs: DataFrame, batches: int | None, min_chars: int, id_col: str, text_col: str, store: LineStore | None) -> tuple[DataFrame, int]:
     """doc, rid, lost (ascending positions) of documents that lose lines, and their count of bytes."""
     spark = docs.sparkSession
     runs = store or LineStore(spark)
+    batches = batches or batches_for(docs.count(), runs.fanout)
     folder = f"{common.shared_dir(spark)}/hashes-{uuid.uuid4().hex}"
     bounds = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [i / batches for i in range(1, batches)], 1000).alias("b")).head()["b"] if batches > 1 else []
     batch = sum((F.col("doc") > b).cast("int") for b in sorted(set(bounds or []))) if bounds else F.lit(0)
@@ -133,7 +141,7 @@ def keep_lines(lines: F.Column, lost: F.Column) -> F.Column:
     return F.filter(F.arrays_zip(lines.alias("line"), flags.alias("flag")), lambda z: ~F.coalesce(z["flag"], F.lit("0")).eqNullSafe("1"))
 
 
-def dedup_lines(docs: DataFrame, batches: int = 3, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", store: LineStore | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, batches: int | None = None, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", store: LineStore | None = None) -> DataFrame:
     """``docs`` with their kept text, n_lines (before) and n_dropped."""
     own = [c for c in docs.columns if c not in ADDED]
     lost, size = lost_positions(docs, batches, min_chars, id_col, text_col, store)

@@ -338,6 +338,14 @@ def test_line_store_keeps_and_compacts(spark, tmp_path):
     assert {k: len(v) for k, v in store.runs().items()} == {0: 1, 1: 1}
 
 
+def test_line_dedup_compacts_as_registered(spark, monkeypatch):
+    levels, add = [], line_dedup.LineStore.add
+    monkeypatch.setattr(line_dedup.LineStore, "add", lambda self, rows, level=0: levels.append(level) or add(self, rows, level))
+    queries.op8_line_dedup(spark, FOLDER).count()
+    assert levels == [0, 0, 0, 0, 1, 0]
+    assert [line_dedup.batches_for(n, 4) for n in (0, 250_000, 250_001, 1_000_000)] == [5, 5, 6, 7]
+
+
 # 9 near copies
 
 
