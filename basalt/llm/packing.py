@@ -41,12 +41,12 @@ def tokenizer_files() -> tuple[str, str]:
 
 @cache
 def encoder(json_path: str, ranks_path: str | None):
-    """A function from text to ids. The ranks form of the vocabulary gives the same ids faster; very long texts
-    and texts it can't take go through the other library."""
+    """A function from text to ids. The ranks form of the vocabulary gives the same ids faster; very long texts,
+    texts it can't take and texts that hold an added token, which is one id, go through the other library."""
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(json_path)
-    slow.encode_special_tokens = True
+    added = [t.content for t in slow.get_added_tokens_decoder().values()]
     if ranks_path is None:
         return lambda text: slow.encode(text, add_special_tokens=False).ids
     import base64
@@ -59,7 +59,7 @@ def encoder(json_path: str, ranks_path: str | None):
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str):
-        if len(text) <= LONG_TEXT:
+        if len(text) <= LONG_TEXT and not any(t in text for t in added):
             try:
                 return fast.encode_ordinary(text)
             except ValueError:

@@ -83,6 +83,18 @@ def test_packing_odd(spark, odd):
     assert packing.pack_documents(odd.limit(0)).count() == 0
 
 
+def test_packing_takes_the_marker_as_one_id(spark):
+    from tokenizers import Tokenizer
+
+    json_path, ranks = packing.tokenizer_files()
+    plain = Tokenizer.from_file(json_path)
+    for text in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>", "é <|endoftext|\n", "no marker"):
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert packing.encoder(json_path, ranks)(text) == packing.encoder(json_path, None)(text) == want
+    row = packing.pack_documents(spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")).head()
+    assert np.frombuffer(row.ids, "<u4").tolist() == [64, 220, 50256, 275, 1] and row.doc_tokens == 5
+
+
 def test_first_fit_decreasing_is_first_fit():
     sizes = np.random.default_rng(1).integers(1, 100, 300).tolist()
     room, want = [], []
