@@ -10,7 +10,7 @@ Prediction reads the whole text; as the score is linear in the counts it is a su
 table is built. The model is DIM x languages numbers at most, whatever the corpus.
 
 Defined cases: null text and text without a letter are ``und`` with score 0; with no row to learn from all are
-``und``; null languages are never learned; at most ``MAX_LANGS`` languages, the most frequent, are learned; repeated rows
+``und``; null languages are never learned; every other language is, whatever their number; repeated rows
 count as often as they come; an empty table gives an empty result; other columns pass through and the added ones
 replace columns of the same names.
 """
@@ -28,9 +28,9 @@ from . import common
 
 DIM = 1 << 16
 PER_LANG = 400
-MAX_LANGS = 256
 SCALE = 30.0
 CHUNK = 1 << 18
+CHUNK_LANGS = 256
 ADDED = ["lang_pred", "score"]
 SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -84,7 +84,8 @@ class Model:
         self.langs, self.weights, self.bias, self.temperature = langs, weights, bias, temperature
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Texts are scored several at a time, in chunks of about CHUNK characters."""
+        """Texts are scored several at a time, in chunks of about CHUNK characters, fewer beyond CHUNK_LANGS languages."""
+        chunk = CHUNK * CHUNK_LANGS // max(CHUNK_LANGS, len(self.langs))
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         part, size = [], 0
         for i, t in enumerate(texts):
@@ -92,7 +93,7 @@ class Model:
             if points is not None and self.langs:
                 part.append((i, points))
                 size += len(points)
-            if part and (size >= CHUNK or i == len(texts) - 1):
+            if part and (size >= chunk or i == len(texts) - 1):
                 self._score(part, langs, scores)
                 part, size = [], 0
         if part:
@@ -175,7 +176,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_
     counts, df = {}, np.zeros(DIM)
     for r in sums.where("lang is null").collect():  # DIM rows at most
         df[r["feature"]] = r["n"]
-    for r in sums.where("lang is not null").orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect():
+    for r in sums.where("lang is not null").orderBy(F.desc("n"), "lang").collect():
         counts[r["lang"]] = r["n"]
     langs = sorted(counts)
     if not langs:

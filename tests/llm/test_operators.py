@@ -298,6 +298,16 @@ def test_language_odd(spark, odd):
     assert lang_id.identify(odd, lang_id.fit(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_more_languages_than_256_are_all_learned(spark):
+    rng = np.random.default_rng(2)
+    name = lambda k: f"l{k:03d}"
+    words = {k: ["".join(chr(0x4E00 + 40 * k + c) for c in rng.integers(0, 40, 4)) for _ in range(6)] for k in range(260)}
+    rows = [(1000 * k + i, " ".join(rng.permutation(words[k])), name(k)) for k in words for i in range(4 + (k < 256))]
+    model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == [name(k) for k in range(260)]
+    assert model.predict([" ".join(words[k]) for k in range(250, 260)])[0] == [name(k) for k in range(250, 260)]
+
+
 # 7 personal data
 
 
