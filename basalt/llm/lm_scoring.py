@@ -1,21 +1,23 @@
 """Language-model scoring by cross-entropy difference.
 
-Two matched models, of a target and of a background, share one vocabulary, the words (runs of other than white
-space) of the target. The background is every document; the target is the documents labelled of good quality. A
-word's probability mixes, with fixed weight, its share of the model's words, 0 outside the vocabulary, and its spelling
-by byte trigrams with Witten-Bell smoothing in the text before it, up to the byte that ends it, so that no word is
-unknown and both models can only spell those that the vocabulary lacks. A document's score is the mean over its
-words of the loss under the target less the loss under the background; lower is closer to the target.
-
-Words and trigrams of all documents are counted in their own tasks, batch by batch, and summed by key in one
-shuffle. The counts of words grow with the corpus and stay a distributed table. Only the trigrams, 257^3 rows
-at most whatever the corpus, are collected and sent to the workers. To be scored, documents are dealt in chunks of
-about ``CHUNK_BYTES``; a chunk asks for each of its words once, and meets the answers in one task, so a
-frequent word is one row a chunk. Labels are broadcast if counted small and joined by a shuffle otherwise.
-
-Defined cases: null, empty and white text has no word, losses 0 and score 0; a document labelled several times has its
-best label; labels without a document do nothing; with no target document both models spell alone, the target's over uniform bytes;
-repeated rows are counted and scored each; an empty table gives an empty result; only the identifier is carried along.
+Two matched models, of a target and of a background, share one vocabulary: the 256 bytes and the end of a text. Both are
+n-gram models of ``ORDER`` symbols with Witten-Bell smoothing down to the uniform distribution, so for each context each
+model's probabilities sum to 1 over the vocabulary. The background is every document; the target is the documents
+labelled of good quality. A document's score is the mean over its symbols of the loss under the target less the loss
+under the background; lower is closer to the target.
+
+Documents are dealt to ``FOLDS`` folds by a hash of their text, and a document is scored by a target model without its
+fold, so neither it nor a copy of it speaks for itself there. The background holds all documents, whoever is scored.
+
+N-grams are counted in their own tasks, added up there, and summed by key in one shuffle; the counts grow with the corpus
+and stay a distributed table, as do the losses, which are made from them by joins with their shorter n-grams. Nothing
+of the models reaches the driver or is broadcast. To be scored, documents are dealt in chunks of about ``CHUNK_BYTES``;
+a chunk asks for each of its n-grams once, and meets the answers in one task, so a frequent n-gram is one row a chunk.
+Labels are broadcast if counted small and joined by a shuffle otherwise. Texts are read whole, in pieces of ``CHUNK`` symbols.
+
+Defined cases: null and empty text has no symbol, losses 0 and score 0; a document labelled several times is good if
+one label says so; labels without a document do nothing; with no target document the target is uniform; repeated
+rows are counted and scored each; an empty table gives an empty result; only the identifier is carried along.
 """
 
 from __future__ import annotations
@@ -26,198 +28,174 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .near_dedup import K3, SPACE, mix, randoms
 
 V = 257
-CHUNK = 1 << 20
-CHUNK_BYTES = 8 << 20
-#: Weight of a word's spelling against its count.
-SPELLED = 0.5
+ORDER = 5
+FOLDS = 4
+CHUNK = 2 << 20
+CHUNK_BYTES = 16 << 20
+#: Different n-grams that a task adds up before it sends them on.
+HELD = 1 << 20
 
 
-def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of several texts in one array, two ends before each and one after; where each begins. Byte + 1, end 0."""
-    lengths = np.array([len(t) + 2 for t in texts])
-    starts = np.concatenate([[2], 2 + np.cumsum(lengths)[:-1]]).astype(np.int64)
-    out = np.zeros(int(lengths.sum()) + 2, dtype=np.int32)
-    for s, t in zip(starts, texts, strict=True):
-        out[s : s + len(t)] = np.frombuffer(t, dtype=np.uint8)
-        out[s : s + len(t)] += 1
-    return out, starts
+def pieces(texts: list[bytes], order: int):
+    """Lists of (text number, symbols) of about CHUNK symbols together: byte + 1, 0 for what precedes a text and for its end.
 
-
-def chunks(texts: list[bytes]):
-    """Indices of texts that together have about CHUNK bytes."""
+    A text longer than that comes in several pieces, each with the order - 1 symbols before it.
+    """
     part, size = [], 0
     for i, t in enumerate(texts):
-        part.append(i)
-        size += len(t)
-        if size >= CHUNK:
-            yield part
-            part, size = [], 0
+        if not t:
+            continue
+        s = np.zeros(len(t) + order, dtype=np.int16)
+        s[order - 1 : -1] = np.frombuffer(t, dtype=np.uint8)
+        s[order - 1 : -1] += 1
+        for at in range(0, len(t) + 1, CHUNK):
+            p = s[at : at + CHUNK + order - 1]
+            part.append((i, p))
+            size += len(p)
+            if size >= CHUNK:
+                yield part
+                part, size = [], 0
     if part:
         yield part
 
 
-def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all trigrams that end in a token, text after text, and the number in each text."""
-    s, starts = symbols(texts)
-    keys = (s[:-2] * V + s[1:-1]) * V + s[2:]
-    lengths = np.array([len(t) + 1 for t in texts])
+def ngrams(part: list[tuple[int, np.ndarray]], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram that ends at each symbol of the pieces as a number, and the text it is of."""
+    s = np.concatenate([p for _, p in part])
+    keys = np.zeros(len(s) - order + 1, dtype=np.int64)
+    for k in range(order):
+        keys *= V
+        keys += s[k : len(s) - order + 1 + k]
+    lengths = np.array([len(p) for _, p in part])
     keep = np.ones(len(keys), dtype=bool)
-    keep[starts + lengths - 2] = False  # the second end before the next text is no token
-    return keys[keep], lengths
-
-
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text, start and end of each word; places as in the losses of ``trigrams``, an end being the place of what ends the word."""
-    raw = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)
-    space = SPACE[raw]
-    edge = np.diff(np.concatenate([[1], space.view(np.int8), [1]]))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(starts):
-        return np.zeros(0, np.int64), starts, starts, starts
-    lengths = ends - starts
-    at = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
-    times = randoms(1 << int(max(10, int(lengths.max() - 1).bit_length())), 21)[place]
-    hashes = mix(np.add.reduceat((raw[~space].astype(np.uint64) + np.uint64(1)) * times, at) + lengths.astype(np.uint64) * K3)
-    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return hashes.view(np.int64), np.searchsorted(begins, starts, "right") - 1, starts, ends
+    for k in range(1, order):
+        keep[np.cumsum(lengths)[:-1] - k] = False  # windows over two pieces
+    return keys[keep], np.repeat([i for i, _ in part], lengths - order + 1)
 
 
-class Models:
-    """Losses of both models: trigrams here, and the counts of the vocabulary's words as the table ``known`` (key, background, target)."""
-
-    def __init__(self, keys: np.ndarray, background: np.ndarray, target: np.ndarray, known: DataFrame | None = None):
-        self.keys, self.counts = keys.astype(np.int64), (background.astype(np.float64), target.astype(np.float64))
-        self.known, self._table = known, None
-        before, last = self.keys // V % V, self.keys % V
-        white = np.concatenate([[True], SPACE])
-        ends = ~white[before] & white[last]
-        self.n_words = tuple(float(n[ends].sum()) for n in self.counts)
-
-    def __getstate__(self):
-        return {"keys": self.keys, "counts": self.counts, "n_words": self.n_words, "known": None, "_table": None}
-
-    def _lower(self, n: np.ndarray):
-        """P(c|b), and the weight of the lower order and the total of each context ab."""
-        a, b, c = self.keys // (V * V), self.keys // V % V, self.keys % V
-        two = np.bincount(b * V + c, n, V * V).reshape(V, V)
-        one = two.sum(axis=0)
-        kinds = (one > 0).sum()
-        p1 = (one + kinds / V) / (one.sum() + kinds) if kinds else np.full(V, 1.0 / V)
-        kinds2, all2 = (two > 0).sum(axis=1, keepdims=True), two.sum(axis=1, keepdims=True)
-        p2 = np.where(all2 > 0, (two + kinds2 * p1) / np.maximum(all2 + kinds2, 1), p1)
-        ctx = a * V + b
-        kinds3, all3 = np.bincount(ctx, n > 0, V * V), np.bincount(ctx, n, V * V)
-        back = np.where(all3 > 0, kinds3 / np.maximum(all3 + kinds3, 1), 1.0)
-        return p2, back, all3 + kinds3
-
-    def table(self):
-        """Losses in dense tables over the symbols that occur, built once a worker; the last index is any other symbol."""
-        if self._table is None:
-            parts = np.stack([self.keys // (V * V), self.keys // V % V, self.keys % V])
-            seen = np.unique(np.append(parts, 0))
-            place = np.full(V, len(seen), dtype=np.int64)
-            place[seen] = np.arange(len(seen))
-            rest = int(np.setdiff1d(np.arange(V), seen)[0]) if len(seen) < V else 0
-            names = np.append(seen, rest)
-            width, out = len(names), []
-            for n in self.counts:
-                p2, back, total = self._lower(n)
-                dense = (back.reshape(V, V)[np.ix_(names, names)][:, :, None] * p2[np.ix_(names, names)][None, :, :]).astype(np.float32)
-                at = place[parts]
-                dense[at[0], at[1], at[2]] += n / np.maximum(total[self.keys // V], 1)
-                out.append(-np.log(dense).reshape(-1))
-            self._table = place, width, out
-        return self._table
-
-    def losses(self, texts: list[bytes], keys: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words, and summed loss under target and background, of each text. ``keys`` ascend; ``counts``: of these words, as in ``known``."""
-        place, width, tables = self.table()
-        tokens, sums = np.zeros(len(texts), dtype=np.int64), np.zeros((2, len(texts)))
-        for part in chunks(texts):
-            some = [texts[i] for i in part]
-            hashes, owner, starts, ends = words(some)
-            if not len(hashes):
-                continue
-            grams, _ = trigrams(some)
-            index = (place[grams // (V * V)] * width + place[grams // V % V]) * width + place[grams % V]
-            at = np.searchsorted(keys, hashes)
-            seen = np.append(keys, 0)[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
-            seen &= at < len(keys)
-            for k, (losses, n, total) in enumerate(zip(tables, counts, self.n_words, strict=True)):
-                run = np.concatenate([[0.0], np.cumsum(losses[index], dtype=np.float64)])
-                spelled = run[starts] - run[ends + 1]
-                if all(self.n_words):
-                    own = np.where(seen, np.append(n, 0)[at], 0)
-                    with np.errstate(divide="ignore"):
-                        spelled = np.logaddexp(np.log((1 - SPELLED) * own / total), np.log(SPELLED) + spelled)
-                sums[k, part] = np.bincount(owner, -spelled, len(part))
-            tokens[part] = np.bincount(owner, minlength=len(part))
-        return tokens, sums[1], sums[0]
-
-
-def count_grams(docs: DataFrame) -> DataFrame:
-    """word (false: a trigram), key, background, target from rows of text, target (boolean)."""
-    common.small_batches(docs.sparkSession)
-    names = ["word", "key", "background", "target"]
-
-    def sums(word, keys, good):
-        ids, where, total = np.unique(keys, return_inverse=True, return_counts=True)
-        good = np.bincount(where, good, len(ids)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), word)), pa.array(ids, pa.int64()), pa.array(total, pa.int64()), pa.array(good, pa.int64())], names=names)
+def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    ids, where = np.unique(np.concatenate(keys), return_inverse=True)
+    return ids, np.bincount(where, np.concatenate(counts), len(ids)).astype(np.int64)
+
+
+def fold(text) -> F.Column:
+    """Equal texts have equal folds."""
+    return F.pmod(F.xxhash64(F.lit("fold"), text), F.lit(FOLDS)).cast("int")
+
+
+def count_ngrams(rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """key, n0 (in all documents) and n1.. (in the target documents of other folds than 0..) from rows of text, part: 0, or 1 + fold for a target document."""
+    common.small_batches(rows.sparkSession)
+    names = ["key", "part", "n"]
 
     def work(batches):
-        for b in batches:
-            texts = [t.encode() for t in b.column("text").to_pylist()]
-            chosen = np.array(b.column("target").to_pylist(), dtype=bool)
-            for part in chunks(texts):
-                some = [texts[i] for i in part]
-                keys, n = trigrams(some)
-                yield sums(False, keys, np.repeat(chosen[part], n))
-                hashes, owner, *_ = words(some)
-                yield sums(True, hashes, chosen[part][owner])
+        keys, counts, held = [], [], 0
 
-    found = docs.select("text", "target").mapInArrow(work, "word boolean, key long, background long, target long")
-    return found.groupBy("word", "key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+        def flush():
+            codes, n = added(keys, counts)
+            return pa.RecordBatch.from_arrays([pa.array(codes // (FOLDS + 1), pa.int64()), pa.array((codes % (FOLDS + 1)).astype(np.int32)), pa.array(n, pa.int64())], names=names)
+
+        for b in batches:
+            labels = b.column("part").to_numpy()
+            for part in pieces([t.encode() for t in b.column("text").to_pylist()], order):
+                grams, owner = ngrams(part, order)
+                ids, n = np.unique(grams * (FOLDS + 1) + labels[owner], return_counts=True)
+                keys.append(ids)
+                counts.append(n)
+                held += len(ids)
+                if held > 2 * HELD:
+                    ids, n = added(keys, counts)
+                    keys[:], counts[:], held = [ids], [n], len(ids)
+                    if held > HELD:
+                        yield flush()
+                        keys[:], counts[:], held = [], [], 0
+        if held:
+            yield flush()
+
+    found = rows.select("text", "part").mapInArrow(work, "key long, part int, n long")
+    other = [F.sum(F.when((F.col("part") > 0) & (F.col("part") != f + 1), F.col("n")).otherwise(0)).alias(f"n{f + 1}") for f in range(FOLDS)]
+    return found.groupBy("key").agg(F.sum("n").alias("n0"), *other)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality") -> Models:
+class Models:
+    """The background (0) and the target without each fold (1..) as the table ``counts`` of their n-grams."""
+
+    def __init__(self, counts: DataFrame, order: int = ORDER):
+        self.counts, self.order = counts, order
+
+    def probabilities(self, keys: DataFrame | None = None) -> DataFrame:
+        """key, p0, p1..: of the last symbol after those before it, for ``keys`` (of the corpus or not) or all n-grams counted."""
+        numbers = range(FOLDS + 1)
+        wanted = self.counts if keys is None else keys.select("key").distinct().join(self.counts, "key", "left").na.fill(0)
+        lower = None
+        for m in range(1, self.order + 1):
+            end = lambda n: F.col("key") % F.lit(V**n)
+            total = lambda df: df.groupBy(end(m).alias("key")).agg(*[F.sum(f"n{j}").alias(f"n{j}") for j in numbers])  # noqa: B023, E731
+            counted = self.counts if m == self.order else total(self.counts)
+            context = counted.groupBy(F.expr(f"key div {V}").alias("ctx")).agg(*[F.sum(f"n{j}").alias(f"all{j}") for j in numbers], *[F.count_if(F.col(f"n{j}") > 0).alias(f"kinds{j}") for j in numbers])
+            if m == self.order:
+                here = wanted
+            else:
+                here = counted if keys is None else wanted.select(end(m).alias("key")).distinct().join(counted, "key", "left").na.fill(0)
+            rows = here.withColumn("ctx", F.expr(f"key div {V}")).join(context, "ctx", "left")
+            if lower is None:
+                rows = rows.withColumns({f"p{j}": F.lit(1.0 / V) for j in numbers})
+            else:
+                rows = rows.withColumn("end", end(m - 1)).join(lower.withColumnRenamed("key", "end"), "end")
+            mixed = lambda j: F.when(F.col(f"all{j}") > 0, (F.col(f"n{j}") + F.col(f"kinds{j}") * F.col(f"p{j}")) / (F.col(f"all{j}") + F.col(f"kinds{j}"))).otherwise(F.col(f"p{j}"))
+            lower = rows.select("key", *[mixed(j).alias(f"p{j}") for j in numbers])
+        return lower
+
+
+def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality") -> Models:
+    """Models of all ``docs`` and of those labelled 1."""
     good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).alias("id")).distinct().withColumn("good", F.lit(True))
     rows = docs.select(F.col(id_col).alias("id"), common.body(F.col(text_col)).alias("text"))
-    rows = rows.join(common.checked_broadcast(good, good.count(), 40), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("target"))
-    every = common.cut(count_grams(rows))
-    counted = every.where(~F.col("word")).drop("word").toArrow()  # 257^3 rows at most
-    keys = counted.column("key").to_numpy()
-    order = np.argsort(keys)
-    return Models(keys[order], counted.column("background").to_numpy()[order], counted.column("target").to_numpy()[order], every.where("word AND target > 0").drop("word"))
-
-
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens (words), loss_target, loss_background (means a word) and score, their difference."""
-    spark = docs.sparkSession
-    given = spark.sparkContext.broadcast(models)
-    rows = docs.select(F.col(id_col).alias("doc_id"), common.body(F.col(text_col)).alias("text"))
+    rows = rows.join(common.checked_broadcast(good, good.count(), 40), "id", "left")
+    rows = rows.select("text", F.when(F.col("good"), 1 + fold("text")).otherwise(0).alias("part"))
+    return Models(common.cut(count_ngrams(rows, order)), order)
+
+
+def score(docs: DataFrame, models: Models, counted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens (bytes and the end), loss_target, loss_background (means a token) and score, their difference.
+
+    ``counted`` says that the models have counted all of ``docs``, which saves a pass over them for n-grams that they lack.
+    """
+    order = models.order
+    rows = docs.select(F.col(id_col).alias("doc_id"), common.body(F.col(text_col)).alias("text")).withColumn("fold", fold("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit("lm"), "doc_id", F.xxhash64("text")), F.lit(1 + size // CHUNK_BYTES)))
-    by_chunk = dealt.groupBy("chunk")
+    # the partition is part of the hash, so that rows that repeat identifier and text are dealt to several chunks
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit("lm"), "doc_id", F.xxhash64("text"), F.spark_partition_id()), F.lit(1 + size // (FOLDS * CHUNK_BYTES))))
+    by_chunk = dealt.groupBy("fold", "chunk")
 
     def ask(t: pa.Table) -> pa.Table:
         texts = [x.encode() for x in t.column("text").to_pylist()]
-        keys = np.unique(np.concatenate([np.unique(words([texts[i] for i in part])[0]) for part in chunks(texts)]))
-        return pa.table({"chunk": pa.array(np.full(len(keys), t.column("chunk")[0].as_py()), pa.int64()), "key": pa.array(keys, pa.int64())})
+        keys = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(ngrams(p, order)[0]) for p in pieces(texts, order))]))
+        same = lambda c, kind: pa.array(np.full(len(keys), t.column(c)[0].as_py()), kind)
+        return pa.table({"fold": same("fold", pa.int32()), "chunk": same("chunk", pa.int64()), "key": pa.array(keys, pa.int64())})
 
-    asked = by_chunk.applyInArrow(ask, "chunk long, key long")
-    answers = asked.join(models.known, "key").select("chunk", "key", "background", "target")
+    asked = by_chunk.applyInArrow(ask, "fold int, chunk long, key long")
+    known = common.cut(models.probabilities(None if counted else asked))
+    loss = lambda c: (-F.log(c)).cast("float")
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("fold"), loss(F.col(f"p{f + 1}")).alias("target")) for f in range(FOLDS)]))
+    answers = known.select("key", loss(F.col("p0")).alias("background"), each.alias("x")).select("key", "x.fold", "x.target", "background")
+    answers = asked.join(answers, ["fold", "key"]).select("fold", "chunk", "key", "background", "target")
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, background, target = (right.column(c).to_numpy() for c in ("key", "background", "target"))
-        order = np.argsort(keys)
-        n, loss_target, loss_background = given.value.losses([x.encode() for x in left.column("text").to_pylist()], keys[order], (background[order], target[order]))
-        each = np.maximum(n, 1)
-        return pa.table({"doc_id": left.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), **{k: pa.array(x, pa.float64()) for k, x in (("loss_target", loss_target / each), ("loss_background", loss_background / each), ("score", (loss_target - loss_background) / each))}})
+        place = np.argsort(keys)
+        keys, losses = keys[place], (target[place], background[place])
+        texts = [x.encode() for x in left.column("text").to_pylist()]
+        sums, n = np.zeros((2, len(texts))), np.array([len(x) + 1 if x else 0 for x in texts], dtype=np.int64)
+        for part in pieces(texts, order):
+            grams, owner = ngrams(part, order)
+            at = np.searchsorted(keys, grams)
+            for k in (0, 1):
+                sums[k] += np.bincount(owner, losses[k][at], len(texts))
+        mean = sums / np.maximum(n, 1)
+        return pa.table({"doc_id": left.column("doc_id"), "n_tokens": pa.array(n), **{c: pa.array(x) for c, x in (("loss_target", mean[0]), ("loss_background", mean[1]), ("score", mean[0] - mean[1]))}})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(work, f"doc_id {kind}, n_tokens long, loss_target double, loss_background double, score double")
+    return by_chunk.cogroup(answers.groupBy("fold", "chunk")).applyInArrow(work, f"doc_id {kind}, n_tokens long, loss_target double, loss_background double, score double")

@@ -30,7 +30,7 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return lm_scoring.score(docs, lm_scoring.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")))
+    return lm_scoring.score(docs, lm_scoring.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")), counted=True)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,99 +172,108 @@ def test_fingerprints_odd(spark, odd):
 # 4 language models
 
 
-def test_trigrams_by_hand():
-    texts, want = [b"abc", b"", b"a\x00\xff", b"zz"], []
-    for t in texts:
+@pytest.mark.parametrize("chunk", [4, 1 << 20])
+def test_ngrams_by_hand(monkeypatch, chunk):
+    """A text that comes in several pieces has the n-grams of the whole."""
+    monkeypatch.setattr(lm_scoring, "CHUNK", chunk)
+    texts, want = [b"abcdefghijk", b"", b"a\x00\xff", b"zz"], []
+    for i, t in enumerate(texts):
         s = [0, 0, *(c + 1 for c in t), 0]
-        want += [(s[i - 2] * 257 + s[i - 1]) * 257 + s[i] for i in range(2, len(s))]
-    assert lm_scoring.trigrams(texts)[0].tolist() == want
-
-
-def test_words_by_hand():
-    texts = [b"ab  c\x0bab", b"", b" \n", b"c", b"\xc3\xa9 ab "]
-    hashes, owner, starts, ends = lm_scoring.words(texts)
-    raw = b" ".join([*texts, b""])
-    assert [raw[x:y] for x, y in zip(starts, ends, strict=True)] == [b"ab", b"c", b"ab", b"c", b"\xc3\xa9", b"ab"]
-    assert owner.tolist() == [0, 0, 0, 3, 4, 4]
-    assert len(set(hashes.tolist())) == 3 and hashes[0] == hashes[2] == hashes[5] and hashes[1] == hashes[3]
-
-
-def brute_losses(corpora, texts):
-    """Summed word losses of each text under a model of each corpus, from the definition with plain counters."""
-    out = []
-    vocabulary = {w for t in corpora[0] for w in re.findall(rb"[^\x20\x09-\x0D]+", t)}
-    for corpus in corpora:
-        one, two, three, kinds2, kinds3 = (collections.Counter() for _ in range(5))
-        said = collections.Counter(w for t in corpus for w in re.findall(rb"[^\x20\x09-\x0D]+", t))
-        for t in corpus:
-            s = [0, 0, *(c + 1 for c in t), 0]
-            three.update(zip(s, s[1:], s[2:], strict=False))
-        for (a, b, c), n in three.items():
-            kinds3[a, b] += 1
-            two[b, c] += n
-            kinds3[a, b, "n"] += n
-        for (b, c), n in two.items():
-            kinds2[b] += 1
-            kinds2[b, "n"] += n
-            one[c] += n
-        n, total = sum(one.values()), sum(said.values())
-
-        def p(a, b, c):
-            x = (one[c] + len(one) / 257) / (n + len(one)) if n else 1 / 257
-            x = (two[b, c] + kinds2[b] * x) / (kinds2[b, "n"] + kinds2[b]) if kinds2[b] else x
-            return (three[a, b, c] + kinds3[a, b] * x) / (kinds3[a, b, "n"] + kinds3[a, b]) if kinds3[a, b] else x
-
-        losses = []
-        for t in texts:
-            s, loss = [0, 0, *(c + 1 for c in t), 0], 0.0
-            for m in re.finditer(rb"[^\x20\x09-\x0D]+", t):
-                spelled = np.prod([p(*s[i : i + 3]) for i in range(m.start(), m.end() + 1)])
-                loss -= np.log(0.5 * (m.group() in vocabulary) * said[m.group()] / total + 0.5 * spelled)
-            losses.append(loss)
-        out.append(losses)
-    return out
-
-
-def test_lm_scoring(spark, odd):
-    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
-    models = lm_scoring.fit(docs, labels)
-    rows = {r.doc_id: r for r in lm_scoring.score(docs, models).collect()}
-    by_label = collections.defaultdict(list)
-    for r in labels.collect():
-        by_label[r.quality].append(rows[r.doc_id].score)
-    assert np.mean(by_label[1]) < np.mean(by_label[0])
-    texts = {r.doc_id: r.text.encode() for r in docs.collect()}
-    good = {r.doc_id for r in labels.collect() if r.quality == 1}
-    some = sorted(i for i in texts if len(texts[i]) < 3000)[:25]
-    want = brute_losses([[texts[i] for i in good], list(texts.values())], [texts[i] for i in some])
-    for k, i in enumerate(some):
-        n = len(re.findall(rb"[^\x20\x09-\x0D]+", texts[i]))
-        assert rows[i].n_tokens == n
-        assert np.allclose([rows[i].loss_target, rows[i].loss_background], [w[k] / n for w in want], rtol=1e-4)
-        assert np.isclose(rows[i].score, rows[i].loss_target - rows[i].loss_background)
-    said = collections.Counter(w for t in texts.values() for w in re.findall(rb"[^\x20\x09-\x0D]+", t))
-    vocabulary = {w for i in good for w in re.findall(rb"[^\x20\x09-\x0D]+", texts[i])}
-    assert models.known.count() == len(vocabulary) and models.n_words[0] == sum(said.values())
-    assert models.known.agg(F.sum("background")).head()[0] == sum(said[w] for w in vocabulary)
+        want += [((s[k - 2] * 257 + s[k - 1]) * 257 + s[k], i) for k in range(2, len(s))] if t else []
+    got = [(int(k), int(i)) for part in lm_scoring.pieces(texts, 3) for k, i in zip(*lm_scoring.ngrams(part, 3), strict=True)]
+    assert got == want
+
+
+def witten_bell(corpus, order):
+    """The probability of a symbol after others in a model of the texts, from plain counters."""
+    n, kinds = collections.Counter(), collections.Counter()
+    for t in filter(None, corpus):
+        s = (0,) * (order - 1) + tuple(c + 1 for c in t) + (0,)
+        for i in range(order - 1, len(s)):
+            for m in range(order):
+                context = s[i - m : i]
+                kinds[context] += not n[context, s[i]]
+                n[context, s[i]] += 1
+                n[context] += 1
+
+    def p(context, c):
+        shorter = p(context[1:], c) if context else 1 / 257
+        return (n[context, c] + kinds[context] * shorter) / (n[context] + kinds[context]) if n[context] else shorter
+
+    return p
+
+
+def folds(spark, texts):
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").fillna("")
+    return {r.doc_id: r.f for r in df.select("doc_id", lm_scoring.fold("text").alias("f")).collect()}
+
+
+def check_scores(spark, rows, texts, good, some, order=lm_scoring.ORDER):
+    dealt, raw = folds(spark, texts), {d: (t or "").encode() for d, t in texts.items()}
+    background = witten_bell(raw.values(), order)
+    targets = [witten_bell([raw[d] for d in good if dealt[d] != f], order) for f in range(lm_scoring.FOLDS)]
+    for d in some:
+        s = (0,) * (order - 1) + tuple(c + 1 for c in raw[d]) + (0,)
+        n = len(raw[d]) + 1 if raw[d] else 0
+        assert rows[d].n_tokens == n
+        for got, p in ((rows[d].loss_target, targets[dealt[d]]), (rows[d].loss_background, background)):
+            want = -sum(np.log(p(s[i - order + 1 : i], s[i])) for i in range(order - 1, len(s))) / n if n else 0.0
+            assert np.isclose(got, want, rtol=1e-5)
+        assert np.isclose(rows[d].score, rows[d].loss_target - rows[d].loss_background)
+
+
+def test_lm_scoring(spark, texts):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+    rows = {r.doc_id: r for r in queries.op4_lm_scoring(spark, FOLDER).collect()}
+    assert len(rows) == len(texts)
+    mean = lambda q: np.mean([rows[d].score for d, x in labels.items() if x == q])
+    assert mean(1) < mean(0)
+    some = [*sorted(texts, key=lambda d: len(texts[d]))[:12], *[d for d in sorted(labels) if len(texts[d]) < 3000][:12]]
+    check_scores(spark, rows, texts, [d for d, q in labels.items() if q == 1], some)
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    """Over the whole vocabulary, after contexts that are known, known to one model alone, and unknown."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["stone and river", "stone", "the river of stone", "qqq", ""])], "doc_id long, text string")
+    model = lm_scoring.fit(docs, spark.createDataFrame([(0, 1), (2, 1)], "doc_id long, quality int"), order=3)
+    contexts = [0, 1, 257, (ord("s") + 1) * 257 + ord("t") + 1, (ord("q") + 1) * 258, 200 * 257 + 3]
+    keys = spark.createDataFrame([(c * 257 + x,) for c in contexts for x in range(257)], "key long")
+    ps = [f"p{j}" for j in range(lm_scoring.FOLDS + 1)]
+    got = model.probabilities(keys).groupBy(F.expr("key div 257")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(p).alias(p) for p in ps]).collect()
+    assert len(got) == len(contexts)
+    for r in got:
+        assert r.n == 257 and np.allclose([r[p] for p in ps], 1.0)
+
+
+def test_lm_other_documents(spark):
+    """Documents that the models have not counted, among them n-grams and bytes that they lack."""
+    held = {0: "stone and river", 1: "stone", 2: "the river of stone", 3: "stone and river"}
+    docs = spark.createDataFrame(list(held.items()), "doc_id long, text string")
+    model = lm_scoring.fit(docs, spark.createDataFrame([(0, 1), (2, 1), (3, 0), (0, 0), (99, 1)], "doc_id long, quality int"))
+    other = {10: "stone bridge", 11: "\u00e9\u4e2d", 12: None, 13: "stone and river"}
+    rows = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(list(other.items()), "doc_id long, text string"), model).collect()}
+    dealt, own = folds(spark, held), folds(spark, other)
+    background = witten_bell([t.encode() for t in held.values()], lm_scoring.ORDER)
+    for d, t in other.items():
+        raw = (t or "").encode()
+        target = witten_bell([held[g].encode() for g in (0, 2) if dealt[g] != own[d]], lm_scoring.ORDER)
+        s = (0,) * 4 + tuple(c + 1 for c in raw) + (0,)
+        for got, p in ((rows[d].loss_target, target), (rows[d].loss_background, background)):
+            assert np.isclose(got, -sum(np.log(p(s[i - 4 : i], s[i])) for i in range(4, len(s))) / (len(raw) + 1) if raw else 0.0, rtol=1e-5)
 
 
 def test_lm_odd(spark, odd):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
-    none = labels.where("false")
-    rows = lm_scoring.score(odd, lm_scoring.fit(odd, none)).collect()
+    rows = lm_scoring.score(odd, lm_scoring.fit(odd, labels.where("false")), counted=True).collect()
     assert len(rows) == len(ODD)
     for r in rows:
         assert np.isfinite([r.loss_target, r.loss_background, r.score]).all()
-        if r.doc_id in (1, 2, 3):
+        assert np.isclose(r.loss_target, np.log(257) if r.n_tokens else 0.0)
+        if r.doc_id in (1, 2):
             assert (r.n_tokens, r.loss_target, r.loss_background, r.score) == (0, 0.0, 0.0, 0.0)
     assert len({(r.loss_target, r.loss_background) for r in rows if r.doc_id in (4, 5, None)}) == 1
-    assert lm_scoring.score(odd.limit(0), lm_scoring.fit(odd.limit(0), labels)).count() == 0
-    # words the fitted corpus lacks, and labels given more than once
-    other = spark.createDataFrame([(1, "stone river"), (2, "qq")], "doc_id long, text string")
-    twice = spark.createDataFrame([(4, 1), (4, 0), (4, 1), (99, 1)], "doc_id long, quality int")
-    model = lm_scoring.fit(odd, twice)
-    assert model.n_words == (6.0 * 4 + 60000 + 2, 6.0)  # U+2028 is part of a word
-    assert lm_scoring.score(other, model).where("n_tokens > 0").count() == 2
+    empty = lm_scoring.fit(odd.limit(0), labels)
+    assert lm_scoring.score(odd.limit(0), empty, counted=True).count() == lm_scoring.score(odd.limit(0), empty).count() == 0
 
 
 # 5 mixing
