@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,16 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_BYTES = 24 << 20
 
 
+K1, K2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Scramble 64-bit numbers, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * K1
+    x = (x ^ (x >> np.uint64(27))) * K2
+    return x ^ (x >> np.uint64(31))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
@@ -65,7 +76,7 @@ def body(text) -> F.Column:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches that Python workers hold."""
+    """Bound the rows of the Arrow batches that Python workers hold; their bytes are bounded by spark.sql.execution.arrow.maxBytesPerBatch."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

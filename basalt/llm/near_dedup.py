@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .common import mix
 
 WORDS = 5
 SMALL = 48
@@ -47,13 +48,7 @@ LIKELY = 0.66
 CHUNK = 1 << 20
 FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
 SPACE = np.array([c in b"\x20\t\n\x0b\x0c\r" for c in range(256)])
-K1, K2, K3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * K1
-    x = (x ^ (x >> np.uint64(27))) * K2
-    return x ^ (x >> np.uint64(31))
+K3 = np.uint64(0x9E3779B97F4A7C15)
 
 
 @cache

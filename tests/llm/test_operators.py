@@ -169,6 +169,40 @@ def test_fingerprints_odd(spark, odd):
     assert fingerprint.fingerprint_documents(odd.where("doc_id = 4")).head()["near_next"] == 1.0
 
 
+def test_sketches_are_peeled_again_larger(monkeypatch):
+    """From far too small a size on, the digests that differ are recovered, several pairs at once."""
+    rng, sizes = np.random.default_rng(4), (0, 1, 40, 3000)
+    draw = lambda n: np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    pairs = []
+    for n in sizes:
+        both, a, b = draw(50), draw(n), draw(2 * n)
+        pairs.append((np.sort(np.concatenate([both, a])), np.sort(np.concatenate([both, b]))))
+    pairs.append((pairs[-1][0], pairs[-1][0]))
+    monkeypatch.setattr(fingerprint, "first_size", lambda a, b: fingerprint.SMALLEST)
+    monkeypatch.setattr(fingerprint, "CELLS", 2 * fingerprint.SMALLEST)
+    for (a, b), (left, right, size) in zip(pairs, fingerprint.differences(pairs), strict=True):
+        assert sorted(left) == sorted(np.setdiff1d(a, b)) and sorted(right) == sorted(np.setdiff1d(b, a))
+        assert size >= len(left) + len(right)
+    assert fingerprint.differences(pairs)[3][2] > 18 * 4**3
+
+
+def test_fingerprint_parts_split_a_hot_identifier(spark):
+    """Half of the rows have no identifier, many of them one text; every row is there once, and no part holds most of them."""
+    rows = [(None, f"text {i % 40 if i % 2 else 0} of many words, and more") for i in range(4000)] + [(i, f"other text {i}, of words") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    placed = fingerprint.with_neighbour(df, "doc_id", "text")
+    sizes = [r["count"] for r in placed.where("flag = 0").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 8000 and max(sizes) < 2000
+    assert placed.where("flag = 1").count() < 1200
+    assert fingerprint.fingerprint_documents(df).count() == 8000
+
+
+def test_below(spark):
+    bounds = [-5, -5, 0, 3, 3, 3, 9]
+    got = {r.id: r.n for r in spark.range(-7, 12).select("id", fingerprint.below(F.col("id"), bounds).alias("n")).collect()}
+    assert got == {i: sum(b < i for b in bounds) for i in range(-7, 12)}
+
+
 # 4 language models
 
 
