@@ -384,6 +384,52 @@ def test_pii_by_hand(spark, odd):
     assert pii.find_pii(odd).count() == len(ODD) and pii.find_pii(odd.limit(0)).count() == 0
 
 
+#: Sentences written by hand, none of them from the sentences that the trees learn from; the kind that is there, if any.
+HAND = [
+    ("Kontonummer DE89370400440532013000", "account"), ("the IBAN is GB29 NWBK 6016 1331 9268 19, thanks", "account"), ("IBAN GB28 NWBK 6016 1331 9268 19", None),
+    ("amex 378282246310005 ok", "short_card"), ("she read me 3530111333300000, wrongly", None), ("order 378282246310004", None),
+    ("My number is 202-555-0147", "local_phone"), ("please call (202) 555-0147 today", "local_phone"), ("Meine Handynummer: 0176-555-3344", "local_phone"),
+    ("invoice 202-555-0147 sent", None), ("version 202.555.0147", None), ("ISBN 978-3-16-148410-0", None),
+    ("jane (at) example (dot) com", "spelled_email"), ("we meet (at) noon.then home", None),
+    ("Her social security number is 536-22-8726.", "identity"), ("part no. 536-22-8726 in stock", None), ("the code 000-12-3456 is wrong", None),
+]
+
+
+def test_pii_selects_by_hand(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(HAND)], "doc_id long, text string")
+    got = {r.doc_id: {s.kind for s in r.pii} & set(pii.FURTHER) for r in pii.find_pii(df).collect()}
+    assert got == {i: {k} - {None} for i, (_, k) in enumerate(HAND)}
+
+
+def test_pii_trees(spark):
+    """Held-out precision and recall, checks among the features used, and the expression against plain evaluation."""
+    model = pii.fitted(spark)
+    used, todo = set(), list(model.trees)
+    while todo:
+        if isinstance(t := todo.pop(), tuple):
+            used.add(pii.FEATURES[t[0]])
+            todo += t[2:]
+    assert {"luhn", "mod97", "shape", "kind", "contact", "against"} <= used
+    x, y, _ = pii.measured(spark, pii.labelled(1500, seed=99))
+    want = model.score(x)
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i int, f array<double>")
+    got = {r.i: r.p for r in rows.select("i", F.expr(model.sql("f")).alias("p")).collect()}
+    assert np.allclose([got[i] for i in range(len(x))], want)
+
+    def plain(tree, row):
+        while isinstance(tree, tuple):
+            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    for row, p in zip(x[:50], want, strict=False):
+        a, b = model.calibration[pii.KINDS[int(row[0])]]
+        assert np.isclose(p, 1 / (1 + np.exp(-(a * sum(plain(t, row) for t in model.trees) + b))))
+    for k, kind in enumerate(pii.KINDS):
+        if kind in pii.FURTHER:
+            own, t = x[:, 0] == k, model.thresholds[kind]
+            assert t < 1 and y[own & (want >= t)].mean() > 0.85 and y[own & (want >= t)].sum() > 0.4 * y[own].sum()
+
+
 # 8 lines
 
 
