@@ -1,7 +1,7 @@
 """Packing token sequences: first-fit decreasing over a tournament tree, in randomised groups.
 
 Texts are tokenised in their own tasks and cut every ``seq_len`` ids. Whole pieces are sequences by themselves;
-what remains of each document is an item to pack. Pieces are dealt by a hash of the row, so that each task
+what remains of each document is an item to pack. Pieces are dealt by a hash of the row and its copy, so that each task
 packs a random part of the corpus, and taken in the order of that hash in groups of at most ``group_docs``
 items. In a group the items go, longest first, to the first sequence with room: the leaves of a tournament
 tree hold the free room of each sequence and its inner nodes the largest below, so that the first fit is found
@@ -10,7 +10,8 @@ in one descent. A task holds one group's ids at a time, whatever the size of the
 The emptiest sequences of a group are then dissolved into the gaps of the others, as documents may be cut.
 
 Defined cases: null and empty text is one piece with the end id alone; repeated rows are packed as separate
-documents; an empty table gives an empty result; only the identifier is carried along, so other columns cannot
+documents, told apart by ``copy``, a number of each row made from its hash, its input partition and its count among equal rows there, so
+that copies are dealt apart too; an empty table gives an empty result; only the identifier is carried along, so other columns cannot
 clash. Order within a task follows the hash, start and identifier, so a retried task repeats its result.
 """
 
@@ -25,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .common import mix
 
 SEQ_LEN = 2048
 GROUP_DOCS = 4096
 END_ID = 1
+#: Code points beyond which the other library, which takes texts of any length, makes the same ids.
 LONG_TEXT = 1_000_000
+NTH = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokenizer_files() -> tuple[str, str]:
@@ -125,7 +129,7 @@ def fill_gaps(bins: list[list[tuple[int, int, int]]], room: int) -> list[list[tu
 
 
 def pack_documents(docs: DataFrame, seq_len: int = SEQ_LEN, group_docs: int = GROUP_DOCS, end_id: int = END_ID, files: tuple[str, str | None] | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
-    """doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian 32 bits) of each piece."""
+    """doc_id, copy, start, length, doc_tokens, sequence_id, offset, ids (little-endian 32 bits) of each piece."""
     common.small_batches(docs.sparkSession, 500)
     files = files or tokenizer_files()
     rows = docs.select(F.col(id_col).alias("doc_id"), common.body(F.col(text_col)).alias("text"))
@@ -134,10 +138,15 @@ def pack_documents(docs: DataFrame, seq_len: int = SEQ_LEN, group_docs: int = GR
     head = f"doc_id {kind}, start long, length long, doc_tokens long"
 
     def cut(batches):
-        encode = encoder(*files)
+        encode, seen = encoder(*files), {}
+        place = mix(np.array([TaskContext.get().partitionId()], dtype=np.uint64))
         for b in batches:
-            out = [[] for _ in range(6)]
-            for i, (text, deal) in enumerate(zip(b.column("text").to_pylist(), b.column("deal").to_pylist(), strict=True)):
+            out, nth = [[] for _ in range(6)], []
+            for h in b.column("deal").to_pylist():
+                nth.append(seen.get(h, 0))
+                seen[h] = nth[-1] + 1
+            deals = mix(mix(b.column("deal").to_numpy().view(np.uint64) + np.array(nth, dtype=np.uint64) * NTH) + place).view(np.int64).tolist()
+            for i, (text, deal) in enumerate(zip(b.column("text").to_pylist(), deals, strict=True)):
                 ids = encode(text)
                 ids.append(end_id)
                 raw = np.array(ids, dtype="<u4").tobytes()
@@ -152,22 +161,22 @@ def pack_documents(docs: DataFrame, seq_len: int = SEQ_LEN, group_docs: int = GR
 
     def pack(batches):
         task, n, items = TaskContext.get().partitionId() << 40, 0, []
-        names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+        names = ["doc_id", "copy", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
         ints = pa.int64()
 
         def batch(found, id_type):
             cols = list(zip(*found, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), *(pa.array(c, ints) for c in cols[1:6]), pa.array(cols[6], pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), *(pa.array(c, ints) for c in cols[1:7]), pa.array(cols[7], pa.binary())], names=names)
 
         def group():
             nonlocal n
-            bins = [[(i, 0, items[i][2]) for i in b] for b in first_fit_decreasing([x[2] for x in items], seq_len)]
+            bins = [[(i, 0, items[i][3]) for i in b] for b in first_fit_decreasing([x[3] for x in items], seq_len)]
             found = []
             for b in fill_gaps(bins, seq_len):
                 at = 0
                 for i, begin, length in b:
-                    doc, start, _, total, raw = items[i]
-                    found.append((doc, start + begin, length, total, task | n, at, raw[4 * begin : 4 * (begin + length)]))
+                    doc, copy, start, _, total, raw = items[i]
+                    found.append((doc, copy, start + begin, length, total, task | n, at, raw[4 * begin : 4 * (begin + length)]))
                     at += length
                 n += 1
             items.clear()
@@ -176,9 +185,9 @@ def pack_documents(docs: DataFrame, seq_len: int = SEQ_LEN, group_docs: int = GR
         id_type = None
         for b in batches:
             id_type, found = b.schema.field("doc_id").type, []
-            for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "length", "doc_tokens", "ids")), strict=True):
-                if row[2] == seq_len:
-                    found.append((*row[:4], task | n, 0, row[4]))
+            for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "deal", "start", "length", "doc_tokens", "ids")), strict=True):
+                if row[3] == seq_len:
+                    found.append((*row[:5], task | n, 0, row[5]))
                     n += 1
                 else:
                     items.append(row)
@@ -189,4 +198,4 @@ def pack_documents(docs: DataFrame, seq_len: int = SEQ_LEN, group_docs: int = GR
         if items:
             yield batch(group(), id_type)
 
-    return dealt.mapInArrow(pack, f"{head}, sequence_id long, offset long, ids binary")
+    return dealt.mapInArrow(pack, f"{head.replace('start long', 'copy long, start long')}, sequence_id long, offset long, ids binary")
