@@ -151,6 +151,17 @@ def ftrl(rows, classes: int, epochs: int = 4, alpha: float = 0.3, beta: float =
     return w[:DIM], w[DIM]
 
 
+def best_temperature(logits: np.ndarray, truth: np.ndarray) -> float:
+    """Of 60 between 0.2 and 5, the one under which the true classes have the least loss."""
+
+    def loss(t):
+        x = logits / t
+        x = x - x.max(axis=1, keepdims=True)
+        return float((np.log(np.exp(x).sum(axis=1)) - x[np.arange(len(truth)), truth]).mean())
+
+    return float(min(np.exp(np.linspace(np.log(0.2), np.log(5.0), 60)), key=loss))
+
+
 def fit(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the rows of ``docs`` whose language is not null."""
     common.small_batches(docs.sparkSession, 250)
@@ -172,7 +183,8 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_
             [pa.array([None] * len(ids) + list(langs), pa.string()), pa.array(ids.tolist() + [None] * len(langs), pa.int32()), pa.array(df[ids].tolist() + list(langs.values()), pa.int64())], names=["lang", "feature", "n"]
         )
 
-    sums = rows.select("text", "lang").mapInArrow(frequencies, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    # cut, as two results are read from it and texts are to be read once
+    sums = common.cut(rows.select("text", "lang").mapInArrow(frequencies, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")))
     counts, df = {}, np.zeros(DIM)
     for r in sums.where("lang is null").collect():  # DIM rows at most
         df[r["feature"]] = r["n"]
@@ -200,16 +212,8 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_
     held = data[::5]
     learn = [d for i, d in enumerate(data) if i % 5] or data
     weights, bias = ftrl(learn, len(langs))
-    logits = np.array([v @ weights[i] + bias for i, v, _ in held])
-    truth = np.array([y for *_, y in held])
-
-    def loss(t):
-        x = logits / t
-        x = x - x.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(x).sum(axis=1)) - x[np.arange(len(truth)), truth]).mean())
-
-    temperature = min(np.exp(np.linspace(np.log(0.2), np.log(5.0), 60)), key=loss)
-    return Model(langs, (weights * idf[:, None] * SCALE).astype(np.float32), bias, float(temperature))
+    temperature = best_temperature(np.array([v @ weights[i] + bias for i, v, _ in held]), np.array([y for *_, y in held]))
+    return Model(langs, (weights * idf[:, None] * SCALE).astype(np.float32), bias, temperature)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
