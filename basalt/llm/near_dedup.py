@@ -29,6 +29,7 @@ table gives an empty result; only the identifier is carried along.
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import cache
 
 import numpy as np
@@ -42,11 +43,17 @@ from .common import mix
 WORDS = 5
 SMALL = 48
 SPREAD = 256
-BLOCK = 1024
+BLOCK = 8192
 VALUES = 512
 LIKELY = 0.66
 CHUNK = 1 << 20
+#: A word of more bytes counts as a digest of it.
+LONG_WORD = 4096
+LONGER = re.compile(rb"[^\x20\x09-\x0D]{%d,}" % (LONG_WORD + 1))
+SPLIT = re.compile(rb"[\x20\x09-\x0D]")
+SALTS = 16
 FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
+FOLDED = FOLD.tobytes()
 SPACE = np.array([c in b"\x20\t\n\x0b\x0c\r" for c in range(256)])
 K3 = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,49 +65,77 @@ def randoms(n: int, salt: int) -> np.ndarray:
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+    """The sorted distinct shingle hashes of each text. Short texts go several at a time, longer ones in segments of about CHUNK bytes."""
     out: list[np.ndarray] = []
     part, size = [], 0
-    for i, t in enumerate(texts):
+    for t in texts:
+        if len(t) > LONG_WORD:
+            # no text in UTF-8 holds the byte 255
+            t = LONGER.sub(lambda m: b"\xff" + hashlib.blake2b(m.group().translate(FOLDED), digest_size=32).hexdigest().encode(), t)
+        if len(t) > CHUNK:
+            out += _sets(part)
+            part, size = [], 0
+            every = np.concatenate([word_hashes([s])[0] for s in segments(t)])
+            out.append(_set(every, _shingles(every)))
+            continue
         part.append(t)
         size += len(t)
-        if size >= CHUNK or i == len(texts) - 1:
+        if size >= CHUNK:
             out += _sets(part)
             part, size = [], 0
-    return out
+    return out + _sets(part)
 
 
-def _sets(texts: list[bytes]) -> list[np.ndarray]:
+def segments(text: bytes):
+    """Pieces of about CHUNK bytes, cut at white space."""
+    at = 0
+    while at < len(text):
+        m = SPLIT.search(text, at + CHUNK)
+        end = m.end() if m else len(text)
+        yield text[at:end]
+        at = end
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, and where each text's begin, with their number at the end."""
     raw = FOLD[np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)]
     begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     space = SPACE[raw]
     edge = np.diff(np.concatenate([[1], space.view(np.int8), [1]]))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    empty = np.zeros(0, np.uint64)
     if not len(starts):
-        return [empty] * len(texts)
+        return np.zeros(0, np.uint64), np.zeros(len(begins), np.int64)
     lengths = ends - starts
     chars = raw[~space].astype(np.uint64) + np.uint64(1)
     word_at = np.cumsum(lengths) - lengths
     place = np.arange(len(chars)) - np.repeat(word_at, lengths)
-    longest = 1 << int(max(10, int(lengths.max() - 1).bit_length()))
-    words = mix(np.add.reduceat(chars * randoms(longest, 11)[place], word_at) + lengths.astype(np.uint64) * K3)
-    first = np.searchsorted(starts, begins)
+    words = mix(np.add.reduceat(chars * randoms(LONG_WORD, 11)[place], word_at) + lengths.astype(np.uint64) * K3)
+    return words, np.searchsorted(starts, begins)
+
+
+def _shingles(words: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of WORDS words."""
     times = randoms(WORDS, 12)
     every = np.zeros(max(0, len(words) - WORDS + 1), dtype=np.uint64)
     for k in range(WORDS):
         every += words[k : k + len(every)] * times[k]
-    every = mix(every)
-    out = []
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        if b - a >= WORDS:
-            s = np.sort(every[a : b - WORDS + 1])
-            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
-        elif b > a:
-            out.append(mix((words[a:b] * times[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)))
-        else:
-            out.append(empty)
-    return out
+    return mix(every)
+
+
+def _set(words: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """The set of a text of these words, ``every`` being its runs."""
+    if len(words) >= WORDS:
+        s = np.sort(every)
+        return s[np.concatenate([[True], s[1:] != s[:-1]])]
+    if len(words):
+        return mix((words * randoms(WORDS, 12)[: len(words)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(words)))
+    return np.zeros(0, np.uint64)
+
+
+def _sets(texts: list[bytes]) -> list[np.ndarray]:
+    words, first = word_hashes(texts)
+    every = _shingles(words)
+    return [_set(words[a:b], every[a : max(a, b - WORDS + 1)]) for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
 def one_permutation(s: np.ndarray, reps: int, bins: int) -> np.ndarray:
@@ -331,15 +366,31 @@ def links(rows: DataFrame, reps: DataFrame) -> DataFrame:
     return common.cut(components(good.unionByName(confirmed(rows, more))))
 
 
+def classed(signed: DataFrame) -> DataFrame:
+    """``signed`` with rep, the smallest doc of the rows with its digest, null for rows alone with theirs.
+
+    Only digests of several rows are joined. They are broadcast if counted small; otherwise they are repeated for each of SALTS parts of the
+    rows, so that neither a large class nor the empty sets, which have no digest, meet in one task.
+    """
+    classes = signed.where("digest IS NOT NULL AND doc IS NOT NULL").groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("c"))
+    classes = common.cut(classes.where("c > 1").select("digest", "rep"))
+    n = classes.count()
+    if n * 64 <= common.BROADCAST_BYTES:
+        return signed.join(F.broadcast(classes), "digest", "left")
+    salted = signed.where("digest IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    spread = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    alone = signed.where("digest IS NULL").withColumn("rep", F.lit(None).cast("long"))
+    return salted.join(spread, ["digest", "salt"], "left").drop("salt").unionByName(alone)
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest identifier reachable by links), kept."""
     common.small_batches(docs.sparkSession, 500)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), common.body(F.col(text_col)).alias("text"))
     signed = common.cut(signatures(rows))
-    classes = signed.where("digest IS NOT NULL AND doc IS NOT NULL").groupBy("digest").agg(F.min("doc").alias("rep"))
-    placed = signed.join(classes, "digest", "left")
+    placed = classed(signed)
     members = placed.select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("rep"))
-    reps = common.cut(placed.where("doc = rep").select("rep", "n", "keys").dropDuplicates(["rep", "n", "keys"]))
+    reps = common.cut(placed.where("doc = coalesce(rep, doc) AND digest IS NOT NULL").select(F.col("doc").alias("rep"), "n", "keys").dropDuplicates(["rep", "n", "keys"]))
     comps = links(rows.where("doc IS NOT NULL"), reps)
     labels = common.checked_broadcast(comps.select(F.col("node").alias("rep"), "comp"), comps.count(), 40)
     found = members.join(labels, "rep", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))

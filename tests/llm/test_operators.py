@@ -95,6 +95,36 @@ def test_packing_takes_the_marker_as_one_id(spark):
     assert np.frombuffer(row.ids, "<u4").tolist() == [64, 220, 50256, 275, 1] and row.doc_tokens == 5
 
 
+def test_packing_tells_copies_apart(spark):
+    """(doc_id, copy, start) is unique, and copies are dealt apart."""
+    df = spark.createDataFrame([(1, "some words of a document " * 900)] * 40 + [(None, "short")] * 40, "doc_id long, text string").repartition(2)
+    rows = packing.pack_documents(df).collect()
+    spans = collections.defaultdict(list)
+    for r in rows:
+        spans[r.doc_id, r.copy].append((r.start, r.length, r.doc_tokens))
+    assert len(spans) == 80
+    for pieces in spans.values():
+        at = 0
+        for start, length, total in sorted(pieces):
+            assert start == at
+            at += length
+        assert at == total
+    assert {copy % 4 for _, copy in spans} == {0, 1, 2, 3}  # what they are dealt by
+
+
+@pytest.mark.parametrize("unit", ["plain words and more, ", "é ü 中文 \U0001f600 x", "aaaaaaaaaa", "\n\n  \t 12345 "])
+def test_both_libraries_agree_around_the_switch(monkeypatch, unit):
+    """The same ids below, at and above the length beyond which the other library is taken."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "LONG_TEXT", 5000)
+    json_path, ranks = packing.tokenizer_files()
+    plain, encode = Tokenizer.from_file(json_path), packing.encoder(json_path, ranks)
+    for n in (4999, 5000, 5001, 20000):
+        text = (unit * n)[:n]
+        assert encode(text) == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_first_fit_decreasing_is_first_fit():
     sizes = np.random.default_rng(1).integers(1, 100, 300).tolist()
     room, want = [], []
@@ -319,6 +349,34 @@ def test_mixing_targets(spark):
     assert got["a"] == 30 and got["c"] == 60 and abs(sum(got.values()) - 1100) < 1e-6 and got[None] == 210 and abs(got["b"] - 800) < 1e-6
 
 
+@pytest.mark.parametrize("n", [1, 2, 57, 400])
+def test_mixing_targets_against_sharing_by_hand(spark, n):
+    rng = np.random.default_rng(n)
+    size = {f"s{i:03d}": int(x) for i, x in enumerate(rng.pareto(0.7, n) * 50)} | {None: 5}
+    weight, cap = {k: i % 3 + 1 for i, k in enumerate(size)}, {k: 3 * v for k, v in size.items()}
+    want, free, left = {}, set(size), sum(size.values())
+    while over := [k for k in free if cap[k] < left / sum(weight[x] for x in free) * weight[k]]:
+        for k in over:
+            want[k] = cap[k]
+            free.discard(k)
+        left = sum(size.values()) - sum(want.values())
+    want |= {k: left / sum(weight[x] for x in free) * weight[k] for k in free}
+    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(list(size.items()), "source string, size long").repartition(5)).collect()}
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+
+
+def test_mixing_comes_near_its_targets(spark):
+    """Each source within four standard deviations of its coins, which for the ten largest sources of sf0.1 are below 15 % of the target."""
+    rows = queries.op5_mixing(spark, "/root/testdata/sf0.1").toPandas()
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "source").toPandas()
+    rows = rows.merge(docs, on="doc_id")
+    for _, x in rows.groupby("source"):
+        rate = x.target.iloc[0] / x.source_size.iloc[0]
+        p = rate - np.floor(rate)
+        assert abs(x.taken.sum() - x.target.iloc[0]) <= 4 * np.sqrt(p * (1 - p) * (x["size"] ** 2).sum()) + 1e-6
+    assert abs(rows.taken.sum() / rows["size"].sum() - 1) < 0.1
+
+
 def test_mixing_odd(spark, odd):
     rows = mixing.plan_mix(odd).collect()
     assert len(rows) == len(ODD) and all(0 <= r.copies <= 3 for r in rows)
@@ -334,6 +392,47 @@ def test_language_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in rows) > 0.97 * len(rows)
 
 
+def test_ftrl_by_hand():
+    """Each step from the published update rule, weight by weight."""
+    rng, alpha, beta, l1, l2 = np.random.default_rng(8), 0.3, 1.0, 0.02, 0.1
+    rows = [(np.sort(rng.choice(30, 4, replace=False)).astype(np.int32), rng.random(4).astype(np.float32) * 3, int(rng.integers(0, 3))) for _ in range(40)]
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i, k):
+        penalty = 0.0 if i == lang_id.DIM else l1
+        return 0.0 if abs(z[i, k]) <= penalty else -(z[i, k] - np.sign(z[i, k]) * penalty) / ((beta + np.sqrt(n[i, k])) / alpha + l2)
+
+    order = np.random.default_rng(3)
+    for _ in range(2):
+        for r in order.permutation(len(rows)):
+            ids, values, label = rows[r]
+            x = {**dict(zip(ids.tolist(), values.tolist(), strict=True)), lang_id.DIM: 1.0}
+            w = {(i, k): weight(i, k) for i in x for k in range(3)}
+            logit = np.array([sum(v * w[i, k] for i, v in x.items()) for k in range(3)])
+            p = np.exp(logit - logit.max()) / np.exp(logit - logit.max()).sum()
+            for i, v in x.items():
+                for k in range(3):
+                    g = v * (p[k] - (k == label))
+                    z[i, k] += g - (np.sqrt(n[i, k] + g * g) - np.sqrt(n[i, k])) / alpha * w[i, k]
+                    n[i, k] += g * g
+    weights, bias = lang_id.ftrl(rows, 3, epochs=2, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    assert np.allclose(weights[:30], [[weight(i, k) for k in range(3)] for i in range(30)], atol=1e-6)
+    assert np.allclose(bias, [weight(lang_id.DIM, k) for k in range(3)], atol=1e-6)
+    assert not weights[30:].any()
+    sparse, _ = lang_id.ftrl(rows, 3, epochs=2, l1=100.0)
+    assert not sparse.any()
+
+
+def test_temperature():
+    """Logits that are three times too sure get a temperature near three."""
+    rng = np.random.default_rng(6)
+    logits = rng.normal(size=(20000, 4)) * 1.5
+    p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    truth = (p.cumsum(axis=1) < rng.random((20000, 1))).sum(axis=1)
+    assert abs(lang_id.best_temperature(logits * 3, truth) - 3) < 0.25
+    assert abs(lang_id.best_temperature(logits / 2, truth) - 0.5) < 0.05
+
+
 def test_language_odd(spark, odd):
     got = lang_id.identify(odd, lang_id.fit(odd)).collect()
     assert len(got) == len(ODD) and {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"}
@@ -493,6 +592,61 @@ def test_near_families_against_brute_force(spark):
     assert [got[i].n_shingles for i in range(len(docs))] == [len(s) for s in shingled]
 
 
+def test_sets_of_long_words_and_texts(monkeypatch):
+    """A text that comes in segments has the set of the whole; a very long word is one word, whatever the case of its letters."""
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 9)))) for _ in range(4000)]
+    long = " ".join(words).encode()
+    whole = near_dedup.shingle_sets([long])[0]
+    monkeypatch.setattr(near_dedup, "CHUNK", 997)
+    assert (near_dedup.shingle_sets([b"x y", long, b""])[1] == whole).all()
+    assert [len(s) for s in near_dedup.shingle_sets([b"x y", long, b""])] == [1, len(whole), 0]
+    huge = "Q" * 3_000_000
+    a, b, c = near_dedup.shingle_sets([f"a {huge} b".encode(), f"A  {huge.lower()}\nB".encode(), f"a {huge}q b".encode()])
+    assert len(a) == 1 and a == b and a != c
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_classes_of_equal_sets(spark, monkeypatch, limit):
+    """One class that holds most rows, rows alone, empty sets and a null identifier, joined either way."""
+    monkeypatch.setattr(near_dedup.common, "BROADCAST_BYTES", limit)
+    rows = [(i, 5, b"hot" if i % 3 else b"d%d" % i) for i in range(300)] + [(400, 0, None), (401, 0, None), (None, 5, b"hot")]
+    got = near_dedup.classed(spark.createDataFrame(rows, "doc long, n long, digest binary").withColumn("keys", F.array(F.lit(1).cast("long")))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.rep == (1 if r.digest == b"hot" else None)
+
+
+def test_near_family_below_the_limit(spark):
+    """Many documents just below the similarity, some linked to one another but not to the centre of any bucket."""
+    rng, docs = np.random.default_rng(3), []
+    base = rng.integers(0, 10**6, 120).astype(str).tolist()
+    for _ in range(300):
+        words = list(base)
+        for at in rng.choice(120, 8, replace=False):
+            words[at] = f"x{rng.integers(0, 10**6)}"
+        docs.append(words)
+    for k in range(20):
+        docs.append([*docs[k][:-2], "tail", f"end{k}"])
+    shingled = [sets(" ".join(t)) for t in docs]
+    parent = list(range(len(docs)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(shingled[i] & shingled[j])
+            if 100 * both >= 75 * (len(shingled[i]) + len(shingled[j]) - both):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(docs))] == [root(i) for i in range(len(docs))]
+    assert 20 < len(set(got.values())) < len(docs)
+
+
 def test_near_odd(spark, odd):
     got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_dedup(odd).collect())
     assert got[(1, 1, True)] == 1 and got[(2, 2, True)] == 1 and got[(5, 4, False)] == 2 and got[(None, None, True)] == 1
