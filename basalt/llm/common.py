@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -83,3 +84,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def with_columns_of(df: DataFrame, wanted: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in wanted])
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)

@@ -17,12 +17,12 @@ separate rows; an empty table gives an empty result; further columns are ignored
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .common import settings
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -34,21 +34,6 @@ STATE = {
 }
 
 
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-
-
 def sha256(text: F.Column) -> F.Column:
     return F.unhex(F.sha2(text, 256))
 
@@ -127,8 +112,9 @@ def exact_dedup(spark: SparkSession, path: str, state_dir: str | None = None, di
     own = None if state_dir else f"{common.shared_dir(spark)}/exact-{uuid.uuid4().hex}"
     state_dir = state_dir or own
     docs = spark.read.parquet(path)
-    absorb(file_stream(spark, path, docs.schema), state_dir, digest, id_col, text_col)
-    result = resolve(docs, held(spark, state_dir), digest, id_col, text_col)
-    if own:
-        common.remove(spark, own)
-    return result
+    try:
+        absorb(file_stream(spark, path, docs.schema), state_dir, digest, id_col, text_col)
+        return resolve(docs, held(spark, state_dir), digest, id_col, text_col)
+    finally:  # the result reads what was cut from the state
+        if own:
+            common.remove(spark, own)

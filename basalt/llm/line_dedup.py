@@ -1,7 +1,8 @@
 """Line deduplication against levelled sorted runs of line hashes.
 
-A store holds runs: Parquet tables of (128-bit hash of a line's key, owner document), each sorted by
-hash. A batch pre-aggregates its lines by hash, merge-joins the runs, keeps what no run holds and adds
+A store holds runs: Parquet tables of (128-bit hash of a line's key, owner document), bucketed by hash and each bucket sorted
+by it. A batch pre-aggregates its lines by hash, merge-joins each run bucket by bucket, for which no run is shuffled or sorted
+again, keeps what no run holds and adds
 that as a run of level 0; when a level has ``fanout`` runs they are merged into one run of the next level.
 A key belongs to the document that first brought it; within a batch, to the smallest identifier. A whole
 corpus is taken as batches of ascending identifiers, so a key belongs to its smallest identifier. There is one batch
@@ -51,11 +52,12 @@ def hashed_lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) ->
 
 
 class LineStore:
-    """Levelled runs under one shared folder."""
+    """Levelled runs under one shared folder. The folder's names tell level and buckets, so a store can be opened again."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 4):
         self.spark, self.fanout = spark, fanout
         self.path = path or f"{common.shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _fs(self):
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -73,38 +75,57 @@ class LineStore:
                     found.setdefault(int(name[5:].split("-")[0]), []).append(s.getPath().toString())
         return {k: sorted(v) for k, v in sorted(found.items())}
 
-    def read(self) -> DataFrame | None:
-        folders = [f for level in self.runs().values() for f in level]
-        return self.spark.read.schema("h1 long, h2 long, owner long").parquet(*folders) if folders else None
+    @staticmethod
+    def _name(folder: str) -> str:
+        return "lines_" + folder.rsplit("-", 1)[1]
+
+    def table(self, folder: str) -> DataFrame:
+        """A run as a bucketed table of the session, made known to it if another session wrote it."""
+        if not self.spark.catalog.tableExists(self._name(folder)):
+            n = int(folder.rsplit("-", 2)[1])
+            self.spark.sql(f"CREATE TABLE {self._name(folder)} (h1 BIGINT, h2 BIGINT, owner BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {n} BUCKETS LOCATION '{folder}'")
+        return self.spark.table(self._name(folder))
 
     def add(self, rows: DataFrame, level: int = 0) -> None:
-        """Write one run; ``rows`` are already dealt by hash, so sorting needs no shuffle."""
-        rows.select("h1", "h2", "owner").sortWithinPartitions("h1", "h2").write.parquet(f"{self.path}/level{level}-{uuid.uuid4().hex}")
+        """Write one run, a file a bucket."""
+        folder = f"{self.path}/level{level}-{self.buckets}-{uuid.uuid4().hex}"
+        dealt = rows.select("h1", "h2", "owner").repartition(self.buckets, "h1", "h2")
+        dealt.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", folder).saveAsTable(self._name(folder))
 
     def compact(self) -> None:
         level = 0
         while len(folders := self.runs().get(level, [])) >= self.fanout:
-            merged = self.spark.read.schema("h1 long, h2 long, owner long").parquet(*folders)
+            merged = self.table(folders[0])
+            for f in folders[1:]:
+                merged = merged.unionByName(self.table(f))
             self.add(merged.groupBy("h1", "h2").agg(F.min("owner").alias("owner")), level + 1)
             for f in folders:
+                self.forget(f)
                 common.remove(self.spark, f)
             level += 1
 
     def absorb(self, lines: DataFrame) -> DataFrame:
         """Take a batch (doc, h1, h2, ...): its lines that lose to another document, and a new run."""
-        own = lines.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-        runs = self.read()
-        if runs is None:
-            judged = own.withColumn("owner", F.lit(None).cast("long"))
-        else:
-            judged = own.join(runs.hint("merge"), ["h1", "h2"], "left")
+        judged = lines.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+        owners = [F.lit(None).cast("long")]
+        for k, folder in enumerate(f for level in self.runs().values() for f in level):
+            judged = judged.join(self.table(folder).withColumnRenamed("owner", f"owner{k}").hint("merge"), ["h1", "h2"], "left")
+            owners.append(F.col(f"owner{k}"))
+        judged = judged.withColumn("owner", F.coalesce(*owners))
         judged = judged.select("h1", "h2", F.col("owner").isNull().alias("new"), F.coalesce("owner", "first").alias("owner"), "last", "first")
-        judged = common.cut(judged.select("h1", "h2", "new", "owner", ((F.col("last") != F.col("owner")) | (F.col("first") != F.col("owner"))).alias("contested")))
+        with common.settings(self.spark, {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}):
+            judged = common.cut(judged.select("h1", "h2", "new", "owner", ((F.col("last") != F.col("owner")) | (F.col("first") != F.col("owner"))).alias("contested")))
         self.add(judged.where("new"))
         self.compact()
         return lines.join(judged.where("contested").select("h1", "h2", "owner"), ["h1", "h2"]).where("doc != owner")
 
+    def forget(self, folder: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._name(folder)}")
+
     def drop(self) -> None:
+        for folders in self.runs().values():
+            for f in folders:
+                self.forget(f)
         common.remove(self.spark, self.path)
 
 
@@ -118,18 +139,21 @@ def lost_positions(docs: DataFrame, batches: int | None, min_chars: int, id_col:
     runs = store or LineStore(spark)
     batches = batches or batches_for(docs.count(), runs.fanout)
     folder = f"{common.shared_dir(spark)}/hashes-{uuid.uuid4().hex}"
-    bounds = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [i / batches for i in range(1, batches)], 1000).alias("b")).head()["b"] if batches > 1 else []
-    batch = sum((F.col("doc") > b).cast("int") for b in sorted(set(bounds or []))) if bounds else F.lit(0)
-    hashed_lines(docs, min_chars, id_col, text_col).withColumn("batch", batch).write.partitionBy("batch").parquet(folder)
-    lines = spark.read.schema("doc long, rid long, pos int, h1 long, h2 long, batch int").parquet(folder)
-    lost = [runs.absorb(lines.where(F.col("batch") == b).drop("batch")).select("doc", "rid", "pos") for b in range(len(set(bounds or [])) + 1)]
-    every = lost[0]
-    for more in lost[1:]:
-        every = every.unionByName(more)
-    per = common.cut(every.groupBy("doc", "rid").agg(F.array_sort(F.collect_set("pos")).alias("lost")))
-    common.remove(spark, folder)
-    if store is None:
-        runs.drop()
+    try:
+        bounds = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [i / batches for i in range(1, batches)], 1000).alias("b")).head()["b"] if batches > 1 else []
+        bounds = sorted(set(bounds or []))
+        batch = sum((F.col("doc") > b).cast("int") for b in bounds) if bounds else F.lit(0)
+        hashed_lines(docs, min_chars, id_col, text_col).withColumn("batch", batch).write.partitionBy("batch").parquet(folder)
+        lines = spark.read.schema("doc long, rid long, pos int, h1 long, h2 long, batch int").parquet(folder)
+        lost = [runs.absorb(lines.where(F.col("batch") == b).drop("batch")).select("doc", "rid", "pos") for b in range(len(bounds) + 1)]
+        every = lost[0]
+        for more in lost[1:]:
+            every = every.unionByName(more)
+        per = common.cut(every.groupBy("doc", "rid").agg(F.array_sort(F.collect_set("pos")).alias("lost")))
+    finally:
+        common.remove(spark, folder)
+        if store is None:
+            runs.drop()
     size = per.agg(F.sum(F.size("lost") * 4 + 64)).head()[0] or 0
     return per, size
 

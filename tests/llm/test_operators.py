@@ -548,6 +548,27 @@ def test_line_store_keeps_and_compacts(spark, tmp_path):
     assert {k: len(v) for k, v in store.runs().items()} == {0: 1, 1: 1}
 
 
+def test_runs_are_not_shuffled_again(spark, tmp_path):
+    """A batch meets the runs bucket by bucket: of the exchanges of a join with two runs, only the batch's own remains."""
+    store = line_dedup.LineStore(spark, str(tmp_path / "runs"))
+    rows = lambda a: spark.range(a, a + 50).select(F.col("id").alias("h1"), (F.col("id") * 7).alias("h2"), F.lit(1).cast("long").alias("owner"))
+    store.add(rows(0))
+    store.add(rows(50))
+    own = rows(30).groupBy("h1", "h2").agg(F.min("owner").alias("first"))
+    with line_dedup.common.settings(spark, {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.adaptive.enabled": "false"}):
+        for k, folder in enumerate(store.runs()[0]):
+            own = own.join(store.table(folder).withColumnRenamed("owner", f"o{k}").hint("merge"), ["h1", "h2"], "left")
+        plan = own._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+        assert own.where("o0 IS NOT NULL OR o1 IS NOT NULL").count() == 50
+    again = line_dedup.LineStore(spark, str(tmp_path / "runs"))
+    for folder in again.runs()[0]:
+        again.forget(folder)
+    assert sum(again.table(f).count() for f in again.runs()[0]) == 100
+    again.drop()
+    assert not again.runs()
+
+
 def test_line_dedup_compacts_as_registered(spark, monkeypatch):
     levels, add = [], line_dedup.LineStore.add
     monkeypatch.setattr(line_dedup.LineStore, "add", lambda self, rows, level=0: levels.append(level) or add(self, rows, level))
