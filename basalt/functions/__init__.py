@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import written
+
 SHINGLE = 5
 #: Function words by language; fixed values.
 FUNCTION_WORDS = {
@@ -14,10 +16,14 @@ FUNCTION_WORDS = {
     "fr": ["à", "au", "aux", "avec", "dans", "de", "des", "du", "en", "est", "et", "la", "le", "les", "pas", "pour", "que", "qui", "sur", "un", "une"],
     "zh": ["的", "了", "着", "过", "吗", "呢", "吧", "啊", "嘛", "和", "与", "而", "之", "其", "把", "被", "就", "都", "也", "还"],
 }
+#: Chinese words that hold a character of the list above and stay whole; written for this repository.
+WHOLE_WORDS = ["和平", "和谐", "共和", "温和", "缓和", "饱和", "总和", "与会", "参与", "与其", "赋予", "而且", "然而", "从而", "反而", "因而", "之前", "之后", "之间", "之一", "总之", "反之", "其他", "其它", "其中", "其实", "其余", "尤其", "极其", "目的", "的确", "了解", "了不起", "为了", "除了", "着急", "着手", "着重", "着陆", "沿着", "意味着", "过去", "过程", "过度", "经过", "通过", "超过", "不过", "度过", "把握", "把手", "被子", "被告", "就业", "就职", "就算", "成就", "造就", "都市", "首都", "成都", "也许", "也门", "还是", "还有", "还原", "归还", "偿还", "酒吧", "吗啡", "呢绒"]
 #: HTML elements that are no content, and entities in the order of decoding; fixed values.
 DROPPED = ["script", "style", "head", "nav", "footer"]
 ENTITIES = [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
-BROADCAST_ROWS = 500_000
+#: A side is broadcast only when its values are counted below this many bytes.
+BROADCAST_BYTES = 24 << 20
+FUNCTION_CHARACTERS = "(" + "|".join(WHOLE_WORDS) + ")|" + "|".join(FUNCTION_WORDS["zh"])
 
 
 def tokens(text: Column) -> Column:
@@ -51,14 +57,24 @@ def is_function_word(word: Column, lang: Column) -> Column:
 
 
 def content_words(text: Column, lang: Column) -> Column:
-    """Tokens without function words; Han runs, which have no blanks between words, lose theirs from within."""
-    bare = F.transform(tokens(text), lambda w: F.when(w.rlike(r"\p{IsHan}"), F.regexp_replace(w, "|".join(FUNCTION_WORDS["zh"]), "")).otherwise(w))
+    """Tokens without function words. Chinese has no blanks between words, so its function characters go from within, but not from the words that hold one."""
+    han = lambda w: (lang == "zh") & w.rlike(r"\p{IsHan}")
+    bare = F.transform(tokens(text), lambda w: F.when(han(w), F.regexp_replace(w, FUNCTION_CHARACTERS, "$1")).otherwise(w))
     return F.filter(bare, lambda w: (F.length(w) > 0) & ~is_function_word(w, lang))
 
 
+def _bytes(field) -> Column:
+    kind, c = field.dataType.simpleString(), F.col(f"`{field.name}`")
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    return F.octet_length(F.to_json(F.struct(c))) + 16 if kind.startswith(("array", "struct", "map")) else F.lit(16)
+
+
 def bounded(df: DataFrame) -> DataFrame:
-    """Broadcast hint for a side that is counted small; as it is otherwise."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df`` written once, with a broadcast hint if its values are few bytes; without one otherwise, for a shuffle join."""
+    kept = written(df)
+    size = kept.agg(F.sum(sum((_bytes(f) for f in kept.schema.fields), F.lit(0)))).head()[0] or 0
+    return F.broadcast(kept) if size <= BROADCAST_BYTES else kept
 
 
 def html_text(html: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import SHINGLE, bounded, shingles, tokens
+from ..functions import SHINGLE, bounded, shingle_hashes, tokens
+from ..sources import written
 
 
 def _raw_tokens(text: Column) -> Column:
@@ -15,48 +16,77 @@ def _raw_tokens(text: Column) -> Column:
 def containing(claims: DataFrame, docs: DataFrame) -> DataFrame:
     """item_id, doc_id, source of documents that contain a claim's whole text.
 
-    A claim's inner tokens 2 to 6 stand whole in any text that contains it, so an equi-join on them finds the candidates;
-    only claims of under seven tokens are compared with every document, as a stated query set in blocks.
+    A claim's inner tokens, all but the first and the last, stand whole in any text that contains it, so an equi-join on a run of up to five
+    of them finds the candidates, for each length of run that a claim has. Only claims of under three tokens, which have no
+    inner one, are compared with every document, as a stated query set.
     """
     words = _raw_tokens(F.col("text"))
-    keyed = claims.select("item_id", F.col("text").alias("claim"), F.when(F.size(words) >= SHINGLE + 2, F.array_join(F.slice(words, 2, SHINGLE), " ")).alias("key"))
+    inner = F.least(F.size(words) - 2, F.lit(SHINGLE))
+    run = lambda n: F.get(shingle_hashes(F.slice(words, F.lit(2), F.lit(n)), n), 0)
+    key = F.coalesce(*[F.when(inner == n, run(n)) for n in range(1, SHINGLE + 1)])
+    keyed = bounded(claims.where("text IS NOT NULL").select("item_id", F.col("text").alias("claim"), F.when(inner > 0, inner).alias("n"), key.alias("key")))
+    lengths = sorted(r["n"] for r in keyed.where("n IS NOT NULL").select("n").distinct().collect())  # five at most
     rows = docs.select("doc_id", "source", "text")
-    long_claims = bounded(keyed.where("key IS NOT NULL"))
-    spread = rows.select("doc_id", "source", "text", F.explode(shingles(_raw_tokens(F.col("text")))).alias("key"))
-    found = spread.join(long_claims, "key").where(F.contains("text", "claim")).select("item_id", "doc_id", "source")
-    short = bounded(keyed.where("key IS NULL").drop("key"))
-    return found.unionByName(rows.join(short, F.contains(rows["text"], short["claim"])).select("item_id", "doc_id", "source"))
+    found = rows.join(F.broadcast(keyed.where("n IS NULL")), F.contains(rows["text"], F.col("claim"))).select("item_id", "doc_id", "source")
+    for n in lengths:
+        spread = rows.select("doc_id", "source", "text", F.explode(shingle_hashes(_raw_tokens(F.col("text")), n)).alias("key"))
+        met = spread.join(keyed.where(F.col("n") == n).drop("n"), "key").where(F.contains("text", "claim"))
+        found = found.unionByName(met.select("item_id", "doc_id", "source"))
+    return found
 
 
 def said_verbatim(claims: DataFrame, docs: DataFrame) -> DataFrame:
-    """item_id, source, n_docs: documents of a source that contain the whole claim. Fidelity: stand-in (source as speaker)."""
+    """item_id, source, n_docs: documents of a source that contain the whole claim. Fidelity: stand-in (source as speaker).
+
+    Null texts and claims contain nothing and are in nothing; an empty claim is in every text; a null source is one source.
+    """
     return containing(claims, docs).groupBy("item_id", "source").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def _shared(claims: DataFrame, docs: DataFrame) -> DataFrame:
     """item_id, doc_id, source, n_shared, n_claim: distinct shingles that claim and document share."""
-    claim = claims.select("item_id", shingles(tokens(F.col("text"))).alias("s")).select("item_id", F.size("s").alias("n_claim"), F.explode("s").alias("shingle"))
-    doc = docs.select("doc_id", "source", F.explode(shingles(tokens(F.col("text")))).alias("shingle"))
+    claim = claims.select("item_id", shingle_hashes(tokens(F.col("text"))).alias("s")).select("item_id", F.size("s").alias("n_claim"), F.explode("s").alias("shingle"))
+    doc = docs.select("doc_id", "source", F.explode(shingle_hashes(tokens(F.col("text")))).alias("shingle"))
     return doc.join(bounded(claim), "shingle").groupBy("item_id", "doc_id", "source", "n_claim").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
 def said_overlap(claims: DataFrame, docs: DataFrame) -> DataFrame:
-    """item_id, source, best_shared: most distinct shingles shared with one document of the source. Fidelity: stand-in."""
+    """item_id, source, best_shared: most distinct shingles shared with one document of the source. Fidelity: stand-in.
+
+    Null texts and texts under five tokens share nothing; a null source is one source.
+    """
     return _shared(claims, docs).groupBy("item_id", "source").agg(F.max("n_shared").alias("best_shared"))
 
 
 def evidence(claims: DataFrame, docs: DataFrame) -> DataFrame:
-    """item_id, doc_id, n_shared, coverage. Fidelity: partial."""
+    """item_id, doc_id, n_shared, coverage. Fidelity: partial.
+
+    Null texts and texts under five tokens share nothing.
+    """
     return _shared(claims, docs).select("item_id", "doc_id", "n_shared", F.round(F.col("n_shared") / F.col("n_claim"), 6).alias("coverage"))
 
 
 def check_report(claims: DataFrame, docs: DataFrame) -> DataFrame:
     """item_id, n_docs, n_sources, best_coverage, support for every claim. Fidelity: partial.
 
-    ``support`` is verbatim (a document contains the whole claim), partial (one shares a shingle) or none_found.
+    ``support`` is verbatim (a document contains the whole claim), partial (one shares a shingle) or none_found. A null claim is none_found; without documents all are. A null source counts as no source.
     """
     found = _shared(claims, docs).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.countDistinct("source").alias("n_sources"), F.max(F.round(F.col("n_shared") / F.col("n_claim"), 6)).alias("best_coverage"))
     whole = containing(claims, docs).select("item_id", F.lit(True).alias("whole")).distinct()
     rows = claims.select("item_id").join(found, "item_id", "left").join(whole, "item_id", "left")
     support = F.when(F.col("whole"), "verbatim").when(F.col("n_docs") > 0, "partial").otherwise("none_found")
     return rows.select("item_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_docs", "n_sources")], F.coalesce("best_coverage", F.lit(0.0)).alias("best_coverage"), support.alias("support"))
+
+
+def echoed_turns(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role, n_said, n_echoed: a turn's distinct shingles, and how many a turn of another role said before it. Fidelity: stand-in (role as speaker).
+
+    Turns without a conversation or a number are left out; a null role echoes nobody and nobody echoes it; null texts say nothing; turns of
+    equal number don't precede one another. A shingle meets only the first turn that each role said it in, so a phrase that a conversation
+    repeats makes no pairs.
+    """
+    rows = written(turns.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "role", shingle_hashes(tokens(F.col("text"))).alias("s")).withColumn("id", F.monotonically_increasing_id()))
+    said = rows.where("role IS NOT NULL").select("id", "conv_id", "turn", "role", F.explode("s").alias("shingle"))
+    first = said.groupBy("conv_id", "shingle", F.col("role").alias("by")).agg(F.min("turn").alias("at"))
+    met = said.join(first, ["conv_id", "shingle"]).where("by <> role AND at < turn").select("id", "shingle").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(met, "id", "left").select("conv_id", "turn", "role", F.greatest(F.coalesce(F.size("s"), F.lit(0)), F.lit(0)).cast("long").alias("n_said"), F.coalesce("n", F.lit(0)).alias("n_echoed"))

@@ -9,12 +9,18 @@ from ..functions import content_words
 
 
 def strip_function_words(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, compressed. Fidelity: stand-in (lexicons; the test data hold no Chinese)."""
+    """doc_id, lang, compressed. Fidelity: stand-in (lexicons; the test data hold no Chinese).
+
+    Null text stays null; a null or other language has no function words.
+    """
     return docs.select("doc_id", "lang", F.array_join(content_words(F.col("text"), F.col("lang")), " ").alias("compressed"))
 
 
 def compression_stats(docs: DataFrame) -> DataFrame:
-    """lang, n_docs, chars_before, chars_after, ratio. Fidelity: stand-in."""
+    """lang, n_docs, chars_before, chars_after, ratio. Fidelity: stand-in.
+
+    Null text counts as a document without characters; a null language is one row; the ratio is null where there is nothing before.
+    """
     after = F.array_join(content_words(F.col("text"), F.col("lang")), " ")
     sums = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("text")).alias("chars_before"), F.sum(F.length(after)).alias("chars_after"))
-    return sums.withColumn("ratio", F.round(F.col("chars_after") / F.col("chars_before"), 6))
+    return sums.withColumn("ratio", F.round(F.col("chars_after") / F.nullif(F.col("chars_before"), F.lit(0)), 6))

@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import BROADCAST_ROWS, bounded, shingle_hashes, tokens
+from ..functions import FUNCTION_WORDS, bounded, shingle_hashes, tokens
 from ..sources import written
 
 
 def source_digest(docs: DataFrame) -> DataFrame:
-    """source, lang, level, n_docs, n_distinct, chars with totals (level 0 both, 1 source, 3 all). Fidelity: partial."""
-    rows = docs.select("source", "lang", F.xxhash64("text").alias("h"), F.length("text").alias("n"))
+    """source, lang, level, n_docs, n_distinct, chars with totals (level 0 both, 1 source, 3 all). Fidelity: partial.
+
+    Null texts are documents, but no distinct text and without characters; null sources and languages are groups of their own, told from
+    totals by their level; an empty table gives no row of totals.
+    """
+    rows = docs.select("source", "lang", F.sha2("text", 256).alias("h"), F.length("text").alias("n"))
     # copies fold first, so that the distinct count over three levels carries one row a text
     folded = rows.groupBy("source", "lang", "h").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
     return folded.rollup("source", "lang").agg(F.grouping_id().cast("long").alias("level"), F.sum("c").alias("n_docs"), F.countDistinct("h").alias("n_distinct"), F.sum("n").alias("chars"))
 
 
 def dedupe_exact(docs: DataFrame) -> DataFrame:
-    """doc_id, source of the lowest doc_id of each distinct text. Fidelity: partial."""
+    """doc_id, source of the lowest doc_id of each distinct text. Fidelity: partial.
+
+    Null texts are one text. Of rows that repeat a doc_id the lower source is taken, null first.
+    """
     first = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min(F.struct("doc_id", "source")).alias("x"))
     return first.select("x.doc_id", "x.source")
 
@@ -31,11 +38,11 @@ def _hash_sets(docs: DataFrame) -> DataFrame:
     texts = docs.groupBy(F.sha2("text", 256).alias("t")).agg(F.min("doc_id").alias("doc_id")).where("t IS NOT NULL").select("doc_id")
     first = docs.select("doc_id", "text").join(bounded(texts), "doc_id")
     sets = first.select("doc_id", F.sort_array(shingle_hashes(tokens(F.col("text")))).alias("s")).where(F.size("s") > 0)
-    kept = written(sets.select(F.col("doc_id").alias("id"), "s", F.size("s").alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit("second"), "s").alias("h2")))
-    lowest = written(kept.groupBy("h1", "h2").agg(F.min("id").alias("id")))
-    if lowest.count() <= BROADCAST_ROWS:
-        return kept.join(F.broadcast(lowest), ["h1", "h2", "id"]).select("id", "s", "n")
-    return written(kept.join(lowest, ["h1", "h2", "id"]).select("id", "s", "n"))
+    # rows may repeat a doc_id and text, so each has a number of its own
+    numbered = sets.withColumn("row", F.monotonically_increasing_id())
+    kept = written(numbered.select(F.col("doc_id").alias("id"), "row", "s", F.size("s").alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit("second"), "s").alias("h2")))
+    lowest = bounded(kept.groupBy("h1", "h2").agg(F.min(F.struct("id", "row"))["row"].alias("row")).select("row"))
+    return kept.join(lowest, "row").select("id", "s", "n")
 
 
 def _frequent(reps: DataFrame, one_in: int = 16, least: int = 4) -> DataFrame:
@@ -56,10 +63,10 @@ def _parities(s: Column) -> Column:
     return F.array(*[F.aggregate(part(k), F.lit(0).cast("long"), flip) for k in range(16)])
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.75) -> DataFrame:
     """a, b, jaccard between representatives of equal shingle sets. Fidelity: partial.
 
-    A set's representative is its lowest doc_id; the others' membership follows from equal sets. Under any one order of the
+    A set's representative is its lowest doc_id; ``near_duplicate_members`` gives the others'. Texts that are null or under five tokens are in no pair. Under any one order of the
     shingles, sets of that similarity share one of their first n - ceil(least * n) + 1, so only those are joined on. The
     order puts shingles that a sample of the sets finds frequent last, so that a passage which many documents hold
     gives few pairs; the sample decides the order alone, never the result. Of the pairs, only those go on to
@@ -89,30 +96,66 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
 
 def near_duplicate_members(docs: DataFrame) -> DataFrame:
-    """doc_id, rep: each document with a shingle and its representative in ``near_duplicates``, itself if it is the lowest. Fidelity: partial."""
+    """doc_id, rep: each document with a shingle and its representative in ``near_duplicates``, itself if it is the lowest. Fidelity: partial.
+
+    Null texts and texts without a shingle have no row.
+    """
     sets = docs.select("doc_id", F.sort_array(shingle_hashes(tokens(F.col("text")))).alias("s")).where(F.size("s") > 0)
     kept = written(sets.select("doc_id", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit("second"), "s").alias("h2")))
     several = kept.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    return kept.join(bounded(written(several)), ["h1", "h2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    return kept.join(bounded(several), ["h1", "h2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
 
 
 def search_top(docs: DataFrame, term: str = "the", k: int = 3) -> DataFrame:
-    """source, doc_id, tf, rank: a source's k documents in which a word occurs most. Fidelity: partial."""
+    """source, doc_id, tf, rank: a source's k documents in which a word occurs most. Fidelity: partial.
+
+    Ties go by doc_id, null first; a null source is one source; null texts have no word.
+    """
     hits = docs.select("source", "doc_id", F.size(F.filter(tokens(F.col("text")), lambda w: w == term)).cast("long").alias("tf")).where("tf > 0")
     by = Window.partitionBy("source").orderBy(F.desc("tf"), "doc_id")
     return hits.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
+def search_ranked(asked: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """item_id, rank, doc_id, score: the k documents of highest BM25 score for each query's words. Fidelity: partial.
+
+    ``asked``: item_id, text, a stated query set. Words are distinct tokens that are no function word of any language. Documents count as
+    often as they come, and null texts as documents without a word; ties in the score, rounded to six places, go by doc_id.
+    Only the documents' query words are spread, and each query's best are kept in each task before they meet.
+    """
+    stop = sorted({w for v in FUNCTION_WORDS.values() for w in v})
+    terms = asked.select("item_id", F.explode(F.array_distinct(F.filter(tokens(F.col("text")), lambda w: ~w.isin(stop)))).alias("word"))
+    terms = bounded(terms)
+    words = bounded(terms.select("word").distinct())
+    sized = docs.select("doc_id", F.coalesce(F.size(tokens(F.col("text"))), F.lit(0)).alias("length"), tokens(F.col("text")).alias("words"))
+    total = sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.greatest("length", F.lit(0))), F.lit(0.0)).alias("mean")).head()
+    spread = sized.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "length", F.explode("words").alias("word"))
+    tf = written(spread.join(words, "word").groupBy("row", "doc_id", "length", "word").agg(F.count(F.lit(1)).alias("tf")))
+    df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.ln(1 + (total["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / (total["mean"] or 1.0)))
+    scored = tf.join(bounded(df), "word").select("row", "doc_id", "word", weight.alias("w")).join(terms, "word")
+    scored = scored.groupBy("item_id", "row", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    by = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+
+
 def digest_markdown(docs: DataFrame, term: str = "the") -> DataFrame:
-    """source, markdown: a section per source of counts and top documents. Fidelity: partial (layout)."""
-    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("text")).alias("chars"))
-    line = F.concat(F.lit("- document "), "doc_id", F.lit(": "), "tf")
-    top = search_top(docs, term).groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
-    text = F.concat(F.lit("## "), "source", F.lit("\n\n"), "n_docs", F.lit(" documents, "), "chars", F.lit(f" characters\n\nMost `{term}`:\n"), F.coalesce("lines", F.lit("- none")))
-    return counts.join(top, "source", "left").select("source", text.alias("markdown"))
+    """source, markdown: a section per source of counts and top documents. Fidelity: partial (layout).
+
+    A null source is the section ``unknown``; null texts are documents without characters; a null doc_id is written ``none``.
+    """
+    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+    line = F.concat(F.lit("- document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(": "), "tf")
+    top = search_top(docs, term).groupBy(F.col("source").alias("of")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
+    text = F.concat(F.lit("## "), F.coalesce("source", F.lit("unknown")), F.lit("\n\n"), "n_docs", F.lit(" documents, "), "chars", F.lit(f" characters\n\nMost `{term}`:\n"), F.coalesce("lines", F.lit("- none")))
+    return counts.join(top, F.col("source").eqNullSafe(F.col("of")), "left").select("source", text.alias("markdown"))
 
 
 def activity_track(events: DataFrame) -> DataFrame:
-    """day, event_type, n, delta: daily counts and the change from the day before. Fidelity: stand-in (no dated text)."""
+    """day, event_type, n, delta: daily counts and the change from the last day that has the type. Fidelity: stand-in (no dated text).
+
+    Events without time are a day of their own, null and first; a null type is one type; a type's first day has a null delta.
+    """
     daily = events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return daily.withColumn("delta", F.col("n") - F.lag("n").over(Window.partitionBy("event_type").orderBy("day")))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from ..functions import DROPPED, ENTITIES, FUNCTION_WORDS
+from ..functions import DROPPED, ENTITIES, FUNCTION_CHARACTERS, FUNCTION_WORDS
 from ..operators import capture, check, compress, digest, graph, knowledge
 from ..sources import table
+from ..streaming import activity_stream
 
 WHAT = {
     "page_markdown": (capture.page_markdown, ["pages"]),
     "thread_markdown": (capture.thread_markdown, ["conversations"]),
     "qa_pairs": (capture.qa_pairs, ["conversations"]),
+    "echoed_turns": (check.echoed_turns, ["conversations"]),
     "strip_function_words": (compress.strip_function_words, ["documents"]),
     "compression_stats": (compress.compression_stats, ["documents"]),
     "said_verbatim": (check.said_verbatim, ["benchmark", "documents"]),
@@ -20,6 +22,7 @@ WHAT = {
     "dedupe_exact": (digest.dedupe_exact, ["documents"]),
     "near_duplicates": (digest.near_duplicates, ["documents"]),
     "near_duplicate_members": (digest.near_duplicate_members, ["documents"]),
+    "search_ranked": (digest.search_ranked, ["benchmark", "documents"]),
     "search_top": (digest.search_top, ["documents"]),
     "digest_markdown": (digest.digest_markdown, ["documents"]),
     "activity_track": (digest.activity_track, ["events"]),
@@ -28,12 +31,13 @@ WHAT = {
     "fragments": (knowledge.fragments, ["documents"]),
     "fragment_keywords": (knowledge.fragment_keywords, ["documents"]),
     "fragment_links": (knowledge.fragment_links, ["documents"]),
-    "fragment_links_full": (knowledge.fragment_links_full, ["documents"]),
+    "fragment_link_counts": (knowledge.fragment_link_counts, ["documents"]),
 }
 
 
 def queries() -> dict:
-    return {name: (lambda spark, folder, f=f, names=names: f(*[table(spark, folder, t) for t in names])) for name, (f, names) in WHAT.items()}
+    found = {name: (lambda spark, folder, f=f, names=names: f(*[table(spark, folder, t) for t in names])) for name, (f, names) in WHAT.items()}
+    return found | {"activity_stream": lambda spark, folder: activity_stream(spark, f"{folder}/events.parquet")}
 
 
 def _list(words: list[str]) -> str:
@@ -61,13 +65,15 @@ def _html() -> str:
 
 TOKENS = r"regexp_extract_all(lower(text), '\p{L}+')"
 LEXICON = "CASE lang " + " ".join(f"WHEN '{k}' THEN {_list(v)}" for k, v in FUNCTION_WORDS.items()) + " ELSE []::VARCHAR[] END"
-CONTENT = "list_filter({}, lambda w: NOT list_contains(" + LEXICON + ", w))"
+CHINESE = r"list_transform({}, lambda w: CASE WHEN lang = 'zh' AND regexp_matches(w, '\p{{Han}}') THEN regexp_replace(w, '" + FUNCTION_CHARACTERS + r"', '\1', 'g') ELSE w END)"
+CONTENT = "list_filter(" + CHINESE + ", lambda w: w <> '' AND NOT list_contains(" + LEXICON + ", w))"
+STOP = _list(sorted({w for v in FUNCTION_WORDS.values() for w in v}))
 SHARED = f"""c AS (SELECT item_id, {_shingles("w")} AS s FROM (SELECT item_id, {TOKENS} AS w FROM benchmark)),
 ce AS (SELECT item_id, len(s) AS n_claim, unnest(s) AS shingle FROM c),
 de AS (SELECT doc_id, source, unnest({_shingles("w")}) AS shingle FROM (SELECT doc_id, source, {TOKENS} AS w FROM documents)),
 sh AS (SELECT item_id, doc_id, source, n_claim, count(*) AS n_shared FROM de JOIN ce USING (shingle) GROUP BY ALL)"""
 TOP = f"""t AS (SELECT source, doc_id, len(list_filter({TOKENS}, lambda w: w = 'the'))::BIGINT AS tf FROM documents),
-top AS (SELECT source, doc_id, tf, row_number() OVER (PARTITION BY source ORDER BY tf DESC, doc_id) AS rank FROM t WHERE tf > 0 QUALIFY rank <= 3)"""
+top AS (SELECT source, doc_id, tf, row_number() OVER (PARTITION BY source ORDER BY tf DESC, doc_id NULLS FIRST) AS rank FROM t WHERE tf > 0 QUALIFY rank <= 3)"""
 FRAGMENTS = r"f AS (SELECT doc_id, lang, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean FROM documents WHERE n_chars < 200)"
 KEYWORDS = (
     FRAGMENTS
@@ -80,10 +86,10 @@ KEYWORDS = (
 def oracle_sql() -> dict[str, str]:
     return {
         "page_markdown": rf"SELECT page_id, url, replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&amp;', '&') AS title, {_html()} AS markdown FROM pages",
-        "thread_markdown": "SELECT conv_id, count(*) AS n_turns, string_agg('**' || role || '**: ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id",
-        "qa_pairs": "SELECT conv_id, turn, text AS question, answer FROM (SELECT *, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'",
+        "thread_markdown": "SELECT conv_id, count(*) AS n_turns, string_agg('**' || coalesce(role, 'unknown') || '**: ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn NULLS LAST, '**' || coalesce(role, 'unknown') || '**: ' || coalesce(text, '')) AS markdown FROM conversations GROUP BY conv_id",
+        "qa_pairs": "SELECT conv_id, turn, text AS question, answer FROM (SELECT *, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST)) WHERE role = 'user'",
         "strip_function_words": f"SELECT doc_id, lang, array_to_string({CONTENT.format(TOKENS)}, ' ') AS compressed FROM documents",
-        "compression_stats": f"SELECT lang, count(*) AS n_docs, sum(length(text))::BIGINT AS chars_before, sum(length(x))::BIGINT AS chars_after, round(sum(length(x)) / sum(length(text)), 6) AS ratio FROM (SELECT lang, text, array_to_string({CONTENT.format(TOKENS)}, ' ') AS x FROM documents) GROUP BY lang",
+        "compression_stats": f"SELECT lang, count(*) AS n_docs, sum(length(text))::BIGINT AS chars_before, sum(length(x))::BIGINT AS chars_after, round(sum(length(x)) / nullif(sum(length(text)), 0), 6) AS ratio FROM (SELECT lang, text, array_to_string({CONTENT.format(TOKENS)}, ' ') AS x FROM documents) GROUP BY lang",
         "said_verbatim": "SELECT item_id, source, count(*) AS n_docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id, source",
         "said_overlap": f"WITH {SHARED} SELECT item_id, source, max(n_shared) AS best_shared FROM sh GROUP BY item_id, source",
         "evidence": f"WITH {SHARED} SELECT item_id, doc_id, n_shared, round(n_shared / n_claim, 6) AS coverage FROM sh",
@@ -92,26 +98,37 @@ w AS (SELECT DISTINCT item_id FROM benchmark b JOIN documents d ON contains(d.te
 SELECT b.item_id, coalesce(n_docs, 0)::BIGINT AS n_docs, coalesce(n_sources, 0)::BIGINT AS n_sources, coalesce(best_coverage, 0.0::DOUBLE) AS best_coverage,
 CASE WHEN w.item_id IS NOT NULL THEN 'verbatim' WHEN n_docs > 0 THEN 'partial' ELSE 'none_found' END AS support FROM benchmark b LEFT JOIN g USING (item_id) LEFT JOIN w USING (item_id)""",
         "source_digest": "SELECT source, lang, grouping(source, lang)::BIGINT AS level, count(*) AS n_docs, count(DISTINCT text) AS n_distinct, sum(length(text))::BIGINT AS chars FROM documents GROUP BY ROLLUP (source, lang)",
-        "dedupe_exact": "SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY text",
+        "dedupe_exact": "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS FIRST, source NULLS FIRST) = 1",
         "near_duplicates": f"""WITH s AS (SELECT doc_id, list_sort({_shingles("w")}) AS s FROM (SELECT doc_id, {TOKENS} AS w FROM documents)),
 r AS (SELECT min(doc_id) AS id, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s), e AS (SELECT id, n, unnest(s) AS h FROM r),
 p AS (SELECT x.id AS a, y.id AS b, x.n AS na, y.n AS nb, count(*) AS shared FROM e x JOIN e y ON x.h = y.h AND x.id < y.id GROUP BY ALL)
-SELECT a, b, round(shared / (na + nb - shared), 6) AS jaccard FROM p WHERE shared / (na + nb - shared) >= 0.8""",
+SELECT a, b, round(shared / (na + nb - shared), 6) AS jaccard FROM p WHERE shared / (na + nb - shared) >= 0.75""",
         "near_duplicate_members": f"""WITH s AS (SELECT doc_id, list_sort({_shingles("w")}) AS s FROM (SELECT doc_id, {TOKENS} AS w FROM documents))
 SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS rep FROM s WHERE len(s) > 0""",
         "search_top": f"WITH {TOP} SELECT * FROM top",
-        "digest_markdown": f"""WITH {TOP}, l AS (SELECT source, string_agg('- document ' || doc_id || ': ' || tf, chr(10) ORDER BY rank) AS lines FROM top GROUP BY source)
-SELECT d.source, '## ' || d.source || chr(10) || chr(10) || count(*) || ' documents, ' || sum(length(text)) || ' characters' || chr(10) || chr(10) || 'Most `the`:' || chr(10) || coalesce(any_value(lines), '- none') AS markdown FROM documents d LEFT JOIN l USING (source) GROUP BY d.source""",
-        "activity_track": "SELECT day, event_type, n, n - lag(n) OVER (PARTITION BY event_type ORDER BY day) AS delta FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL)",
-        "links_mermaid": """SELECT page_id, array_to_string(list_concat(['graph LR' || chr(10) || '  p["' || url || '"]'], list_transform(regexp_extract_all(html, '<a href="([^"]*)">', 1), lambda t, i: '  p --> n' || (i - 1) || '["' || t || '"]')), chr(10)) AS mermaid FROM pages""",
-        "hierarchy_mermaid": """SELECT r_regionkey, 'graph TD' || chr(10) || '  r["' || r_name || '"]' || coalesce(chr(10) || string_agg('  r --> n' || n_nationkey || '["' || n_name || '"]', chr(10) ORDER BY n_nationkey), '') AS mermaid FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name""",
+        "digest_markdown": f"""WITH {TOP}, l AS (SELECT source, string_agg('- document ' || coalesce(doc_id::VARCHAR, 'none') || ': ' || tf, chr(10) ORDER BY rank) AS lines FROM top GROUP BY source)
+SELECT d.source, '## ' || coalesce(d.source, 'unknown') || chr(10) || chr(10) || count(*) || ' documents, ' || coalesce(sum(length(text)), 0) || ' characters' || chr(10) || chr(10) || 'Most `the`:' || chr(10) || coalesce(any_value(lines), '- none') AS markdown FROM documents d LEFT JOIN l ON d.source IS NOT DISTINCT FROM l.source GROUP BY d.source""",
+        "activity_track": "SELECT day, event_type, n, n - lag(n) OVER (PARTITION BY event_type ORDER BY day NULLS FIRST) AS delta FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL)",
+        "links_mermaid": """SELECT page_id, array_to_string(list_concat(['graph LR' || chr(10) || '  p["' || coalesce(url, 'unknown') || '"]'], list_transform(regexp_extract_all(coalesce(html, ''), '<a href="([^"]*)">', 1), lambda t, i: '  p --> n' || (i - 1) || '["' || t || '"]')), chr(10)) AS mermaid FROM pages""",
+        "hierarchy_mermaid": """SELECT r_regionkey, 'graph TD' || chr(10) || '  r["' || coalesce(r_name, 'unknown') || '"]' || coalesce(chr(10) || string_agg('  r --> n' || n_nationkey || '["' || coalesce(n_name, 'unknown') || '"]', chr(10) ORDER BY n_nationkey, n_name NULLS FIRST), '') AS mermaid FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name""",
         "fragments": f"WITH {FRAGMENTS} SELECT * FROM f",
         "fragment_keywords": f"WITH {KEYWORDS} SELECT * FROM kw",
-        "fragment_links": f"""WITH {KEYWORDS}, pr AS (SELECT a.doc_id, a.word AS x, b.word AS y FROM kw a JOIN kw b ON a.doc_id = b.doc_id AND a.word < b.word),
-hub AS (SELECT x, y, min(doc_id) AS linked_doc FROM pr GROUP BY x, y HAVING count(*) > 1), l AS (SELECT DISTINCT doc_id, linked_doc FROM pr JOIN hub USING (x, y) WHERE doc_id <> linked_doc)
-SELECT l.doc_id, linked_doc, count(*) AS n_shared FROM l JOIN kw a ON a.doc_id = l.doc_id JOIN kw b ON b.doc_id = linked_doc AND b.word = a.word GROUP BY ALL""",
-        "fragment_links_full": f"""WITH {KEYWORDS}, ks AS (SELECT doc_id, list_sort(list(word)) AS words FROM kw GROUP BY doc_id HAVING count(*) > 1),
+        "fragment_links": f"""WITH {KEYWORDS}, ks AS (SELECT doc_id, list_sort(list(word)) AS words FROM kw WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING count(*) > 1),
 c AS (SELECT doc_id, len(words) AS n, min(doc_id) OVER (PARTITION BY words) AS rep FROM ks), r AS (SELECT doc_id, word FROM kw WHERE doc_id IN (SELECT rep FROM c))
 SELECT a.doc_id, b.doc_id AS linked_doc, count(*) AS n_shared, false AS same_set FROM r a JOIN r b ON a.word = b.word AND a.doc_id > b.doc_id GROUP BY a.doc_id, b.doc_id HAVING count(*) > 1
 UNION ALL SELECT doc_id, rep, n, true FROM c WHERE doc_id <> rep""",
+        "fragment_link_counts": f"""WITH {KEYWORDS}, ks AS (SELECT doc_id, list_sort(list(word)) AS words FROM kw WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING count(*) > 1),
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY words) AS class_id, count(*) OVER (PARTITION BY words) AS class_size FROM ks),
+l AS (SELECT a.doc_id, b.doc_id AS other FROM kw a JOIN kw b ON a.word = b.word AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING count(*) > 1)
+SELECT c.doc_id, class_id, class_size, count(other) AS n_links FROM c LEFT JOIN l ON l.doc_id = c.doc_id GROUP BY ALL""",
+        "echoed_turns": f"""WITH t AS MATERIALIZED (SELECT conv_id, turn, role, row_number() OVER () AS id, {TOKENS} AS w FROM conversations WHERE turn IS NOT NULL AND conv_id IS NOT NULL), e AS (SELECT id, conv_id, turn, role, unnest({_shingles("w")}) AS s FROM t),
+m AS (SELECT x.id, x.s FROM e x JOIN e y ON x.conv_id = y.conv_id AND x.s = y.s AND y.turn < x.turn AND x.role <> y.role GROUP BY ALL)
+SELECT conv_id, turn, role, (SELECT count(*) FROM e WHERE e.id = t.id) AS n_said, (SELECT count(*) FROM m WHERE m.id = t.id) AS n_echoed FROM t""",
+        "search_ranked": f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, {TOKENS} AS w FROM documents), n AS (SELECT count(*) AS n, avg(coalesce(len(w), 0)) AS mean FROM d),
+q AS (SELECT item_id, unnest(list_distinct(list_filter({TOKENS}, lambda w: NOT list_contains({STOP}, w)))) AS word FROM benchmark),
+e AS (SELECT id, doc_id, len(w) AS length, unnest(w) AS word FROM d), tf AS (SELECT id, doc_id, length, word, count(*) AS tf FROM e WHERE word IN (SELECT word FROM q) GROUP BY ALL),
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+s AS (SELECT item_id, id, doc_id, round(sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / n.mean))), 6) AS score FROM tf JOIN df USING (word) JOIN q USING (word), n GROUP BY item_id, id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank, doc_id, score FROM s QUALIFY rank <= 5""",
+        "activity_stream": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL",
     }
