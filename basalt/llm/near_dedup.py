@@ -43,7 +43,7 @@ from .common import mix
 WORDS = 5
 SMALL = 48
 SPREAD = 256
-BLOCK = 1024
+BLOCK = 8192
 VALUES = 512
 LIKELY = 0.66
 CHUNK = 1 << 20
