@@ -2,13 +2,14 @@ import collections
 import hashlib
 import re
 import zlib
+from unittest import mock
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basalt.llm import exact_dedup, fingerprint, lang_id, line_dedup, lm_scoring, mixing, near_dedup, packing, pii, queries, secret_scan
+from basalt.llm import common, exact_dedup, fingerprint, lang_id, line_dedup, lm_scoring, mixing, near_dedup, packing, pii, queries, secret_scan
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -702,3 +703,22 @@ def test_exact_state_goes_on(spark, tmp_path):
     exact_dedup.exact_dedup(spark, path, state)
     spark.createDataFrame([(2, "aa")], "doc_id long, text string").write.mode("append").parquet(path)
     assert {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(spark, path, state).collect()} == {(1, 2, 2), (2, 2, 2)}
+
+
+@pytest.mark.parametrize(("master", "allowed"), [("local", True), ("local[4]", True), ("local-cluster[2,1,1024]", False), ("spark://h:7077", False), ("yarn", False)])
+def test_only_a_local_session_gets_a_folder_of_its_own(monkeypatch, tmp_path, master, allowed):
+    """Without spark.checkpoint.dir; with it, that folder is taken on any master."""
+    session = mock.MagicMock()
+    session.conf.get.return_value = None
+    session.sparkContext.master = master
+    context = session.sparkContext._jsc.sc()
+    context.getCheckpointDir().isDefined.return_value = False
+    context.getCheckpointDir().get.return_value = f"{tmp_path}/own/"
+    monkeypatch.setattr(common.tempfile, "mkdtemp", lambda prefix: str(tmp_path))
+    if allowed:
+        assert common.shared_dir(session) == f"{tmp_path}/own"
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(session)
+    session.conf.get.return_value = "/shared/x/"
+    assert common.shared_dir(session) == "/shared/x"
