@@ -194,3 +194,13 @@ def test_daily_activity_stream(spark, tmp_path):
     q = daily_activity(stream).writeStream.outputMode("complete").format("memory").queryName("daily").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("daily").agg(F.sum("n")).head()[0] == 1000
+
+
+def test_markdown_is_written_and_read_again(spark, tmp_path):
+    """The text sink against the lines of what was written."""
+    from basalt.sources import table, write_markdown
+
+    whole = capture.thread_markdown(table(spark, FOLDER, "conversations"))
+    want = sorted(line for r in whole.collect() for line in r.markdown.split("\n"))
+    write_markdown(whole, str(tmp_path / "out"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == want
