@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,36 +33,45 @@ def dedupe_exact(docs: DataFrame) -> DataFrame:
 
 
 def _hash_sets(docs: DataFrame) -> DataFrame:
-    """id, s, n: each different set of shingle hashes (ascending) and its lowest doc_id, written to shared storage.
+    """row, id, s, n: each different set of shingle hashes (ascending) and its lowest doc_id, written to shared storage.
 
-    Equal sets are found by two hashes of the whole set, so that sets stay where they are while the lowest are few.
+    Equal sets are found by two hashes of the whole set, so that sets stay where they are while the lowest are few. Rows may
+    repeat a doc_id and text, so each has a number of its own.
     """
-    texts = docs.groupBy(F.sha2("text", 256).alias("t")).agg(F.min("doc_id").alias("doc_id")).where("t IS NOT NULL").select("doc_id")
+    texts = docs.groupBy(F.sha2("text", 256).alias("t")).agg(F.min("doc_id").alias("doc_id")).where("t IS NOT NULL").select("doc_id").distinct()
     first = docs.select("doc_id", "text").join(bounded(texts), "doc_id")
-    sets = first.select("doc_id", F.sort_array(shingle_hashes(tokens(F.col("text")))).alias("s")).where(F.size("s") > 0)
-    # rows may repeat a doc_id and text, so each has a number of its own
-    numbered = sets.withColumn("row", F.monotonically_increasing_id())
-    kept = written(numbered.select(F.col("doc_id").alias("id"), "row", "s", F.size("s").alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit("second"), "s").alias("h2")))
+    # no filter passes the number, so none makes the sets once more
+    sets = first.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("id"), F.sort_array(shingle_hashes(tokens(F.col("text")))).alias("s")).where(F.size("s") > 0)
+    kept = written(sets.select("row", "id", "s", F.size("s").alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit("second"), "s").alias("h2")))
     lowest = bounded(kept.groupBy("h1", "h2").agg(F.min(F.struct("id", "row"))["row"].alias("row")).select("row"))
-    return kept.join(lowest, "row").select("id", "s", "n")
+    return kept.join(lowest, "row").select("row", "id", "s", "n")
+
 
+def _frequent(reps: DataFrame, one_in: int = 16, least: int = 4, top: int = 1 << 15, bits: int = 1 << 18) -> Callable[[Column], Column]:
+    """A test of shingle hashes: true for the ``top`` most frequent ones found in ``least`` or more of one in ``one_in`` sets.
 
-def _frequent(reps: DataFrame, one_in: int = 16, least: int = 4) -> DataFrame:
-    """h: shingle hashes found in ``least`` of one in ``one_in`` sets."""
-    some = reps.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).select(F.explode("s").alias("h"))
-    return some.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("h")
+    It is a bit array, 32 KB in the plan, so a few others pass too. It only orders shingles, and any order gives the same result.
+    """
+    some = reps.where(F.pmod(F.xxhash64("row"), F.lit(one_in)) == 0).select(F.explode("s").alias("h"))
+    counts = some.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).orderBy(F.desc("c"), "h").limit(top)
+    word = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(bits // 64 - 1)).cast("int")
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    found = dict(counts.groupBy(word(F.col("h")).alias("at")).agg(F.bit_or(bit(F.col("h"))).alias("bits")).collect())
+    held = F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(bits // 64))), ",").cast("array<bigint>")  # folded to a constant
+    return lambda h: F.get(held, word(h)).bitwiseAND(bit(h)) != 0
 
 
 def _of_pairs(reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The sets that stand in a pair a, b."""
-    return reps.join(bounded(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id")
+    """The sets that stand in a pair ra, rb."""
+    return reps.join(bounded(pairs.select(F.explode(F.array("ra", "rb")).alias("row")).distinct()), "row")
 
 
-def _parities(s: Column) -> Column:
-    """1024 bits, each the parity of the number of hashes that fall on it. Two sets' bits differ in no more places than the sets in hashes."""
-    part = lambda k: F.filter(s, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(15)) == k)
-    flip = lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
-    return F.array(*[F.aggregate(part(k), F.lit(0).cast("long"), flip) for k in range(16)])
+def _parities(sets: DataFrame) -> DataFrame:
+    """row, id, bits: 1024 bits, each the parity of the number of hashes that fall on it. Two sets' bits differ in no more places than the sets in hashes."""
+    spread = sets.select("row", "id", F.explode("s").alias("h")).withColumn("word", F.shiftright("h", 6).bitwiseAND(F.lit(15)))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    words = spread.groupBy("row", "id").agg(*[F.coalesce(F.bit_xor(F.when(F.col("word") == k, bit)), F.lit(0).cast("long")).alias(f"w{k}") for k in range(16)])
+    return words.select("row", "id", F.array(*[f"w{k}" for k in range(16)]).alias("bits"))
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.75) -> DataFrame:
@@ -74,24 +85,25 @@ def near_duplicates(docs: DataFrame, least: float = 0.75) -> DataFrame:
     bits of parity don't differ in more places than the sets may.
     """
     reps = _hash_sets(docs)
-    late = reps.select("id", F.explode("s").alias("h")).join(bounded(_frequent(reps)), "h").groupBy("id").agg(F.sort_array(F.collect_list("h")).alias("late"))
-    ordered = F.when(F.col("late").isNull(), F.col("s")).otherwise(F.concat(F.array_except("s", "late"), "late"))
+    late = _frequent(reps)
+    ordered = F.concat(F.filter("s", lambda h: ~late(h)), F.filter("s", late))
     first = F.slice(ordered, F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))
-    prefix = reps.join(late, "id", "left").select("id", "n", F.posexplode(first).alias("at", "h"))
+    prefix = reps.select("row", "n", F.posexplode(first).alias("at", "h"))
     x, y = prefix.alias("x"), prefix.alias("y")
-    met = x.join(y, "h").where(F.expr(f"x.id < y.id AND least(x.n, y.n) >= {least} * greatest(x.n, y.n)"))
-    met = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count(F.lit(1)).alias("c"), F.max("x.at").alias("xa"), F.max("y.at").alias("ya"))
+    met = x.join(y, "h").where(F.expr(f"x.row < y.row AND least(x.n, y.n) >= {least} * greatest(x.n, y.n)"))
+    met = met.groupBy(F.col("x.row").alias("ra"), F.col("y.row").alias("rb"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count(F.lit(1)).alias("c"), F.max("x.at").alias("xa"), F.max("y.at").alias("ya"))
     most = F.col("c") + F.least(F.col("na") - F.col("xa"), F.col("nb") - F.col("ya")) - 1
     # the bound is loosened by one, as it is in floating point
-    pairs = written(met.where((most + 1) * (1 + least) >= least * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb"))
-    bits = _of_pairs(reps, pairs).select("id", _parities(F.col("s")).alias("bits"))
+    pairs = written(met.where((most + 1) * (1 + least) >= least * (F.col("na") + F.col("nb"))).select("ra", "rb", "na", "nb"))
+    bits = written(_parities(_of_pairs(reps, pairs)))
     differ = F.aggregate(F.zip_with("ba", "bb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
-    pairs = pairs.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("ba")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("bb")), "b")
-    pairs = written(pairs.where(differ * (1 + least) <= (F.col("na") + F.col("nb")) * (1 - least) + 1).select("a", "b"))
+    left, right = [bits.select(F.col("row").alias(f"r{k}"), F.col("id").alias(f"i{k}"), F.col("bits").alias(f"b{k}")) for k in "ab"]
+    pairs = pairs.join(left, "ra").join(right, "rb").where("ia <> ib")
+    pairs = written(pairs.where(differ * (1 + least) <= (F.col("na") + F.col("nb")) * (1 - least) + 1).select("ra", "rb", "ia", "ib"))
     last = _of_pairs(reps, pairs)
-    left, right = last.select(F.col("id").alias("a"), F.col("s").alias("sa")), last.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    left, right = [last.select(F.col("row").alias(f"r{k}"), F.col("s").alias(f"s{k}")) for k in "ab"]
     both = F.size(F.array_intersect("sa", "sb"))
-    scored = pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard"))
+    scored = pairs.join(left, "ra").join(right, "rb").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard"))
     return scored.where(F.col("jaccard") >= least).withColumn("jaccard", F.round("jaccard", 6))
 
 
@@ -100,8 +112,8 @@ def near_duplicate_members(docs: DataFrame) -> DataFrame:
 
     Null texts and texts without a shingle have no row.
     """
-    sets = docs.select("doc_id", F.sort_array(shingle_hashes(tokens(F.col("text")))).alias("s")).where(F.size("s") > 0)
-    kept = written(sets.select("doc_id", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit("second"), "s").alias("h2")))
+    sets = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sort_array(shingle_hashes(tokens(F.col("text")))).alias("s")).where(F.size("s") > 0)
+    kept = written(sets.select("row", "doc_id", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit("second"), "s").alias("h2")))
     several = kept.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     return kept.join(bounded(several), ["h1", "h2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
 
