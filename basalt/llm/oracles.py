@@ -42,3 +42,27 @@ c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
 SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, t.doc_id = c.component_id AS kept
 FROM t JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+#: crc32 by bits, over the decimal digits.
+PANES = r"""
+WITH d AS (SELECT * FROM clicks WHERE ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY arrived_at NULLS FIRST, ts, kind NULLS FIRST, value NULLS FIRST) = 1),
+i AS (SELECT *, CASE WHEN click_id IS NOT NULL THEN 4294967295::BIGINT - list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(click_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384::BIGINT))) END AS crc,
+      date_diff('day', DATE '1970-01-01', coalesce(arrived_at, ts)::DATE)::BIGINT AS day FROM d),
+b AS (SELECT click_id, coalesce(kind, 'none') AS kind, least(7, (day % 8 + 8) % 8 + coalesce(greatest(0, crc % 30 - 23), 0)) AS batch, epoch_us(ts) - (day - (day % 8 + 8) % 8) * 86400000000 AS event,
+      CASE WHEN isfinite(value) AND abs(value * 100 + 0.5) < 9e15 THEN floor(value * 100 + 0.5)::BIGINT ELSE 0 END AS cents FROM i),
+h AS (SELECT *, floor(event / 3600000000.0)::BIGINT AS hour FROM b),
+w AS (SELECT k AS batch, (SELECT max(event) FROM h WHERE h.batch < k) AS w FROM range(8) r(k)),
+l AS (SELECT h.*, coalesce(w >= (hour + 97) * 3600000000, false) AS late FROM h JOIN w USING (batch)),
+a AS (SELECT batch, kind, hour, count(*) AS n, sum(cents) AS c FROM l WHERE NOT late GROUP BY ALL),
+c AS (SELECT batch, kind, hour, sum(n) OVER p AS n, sum(c) OVER p AS c, coalesce(sum(n) OVER q, 0) AS old_n, coalesce(sum(c) OVER q, 0) AS old_c FROM a
+      WINDOW p AS (PARTITION BY kind, hour ORDER BY batch), q AS (PARTITION BY kind, hour ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT kind, hour, min(batch) AS first FROM a GROUP BY ALL),
+e AS (SELECT kind, hour, (SELECT min(w.batch) FROM w WHERE w.batch >= first AND w.w >= (hour + 7) * 3600000000) AS due FROM f),
+t AS (SELECT kind, hour, due, coalesce(due, 7) AS told, max_by(c.n, c.batch) AS n, max_by(c.c, c.batch) AS c FROM c JOIN e USING (kind, hour) WHERE c.batch <= coalesce(due, 7) GROUP BY ALL),
+o AS (SELECT batch, hour, click_id, 1 AS n_rows, cents, 'late' AS record, kind FROM l WHERE late
+UNION ALL SELECT told, hour, -1, n, c, CASE WHEN due IS NULL THEN 'final' ELSE 'emit' END, kind FROM t
+UNION ALL SELECT batch, hour, -1, old_n, old_c, 'retract', kind FROM c JOIN e USING (kind, hour) WHERE batch > due
+UNION ALL SELECT batch, hour, -1, n, c, 'replace', kind FROM c JOIN e USING (kind, hour) WHERE batch > due)
+SELECT batch::BIGINT AS batch, hour::BIGINT AS hour, click_id::BIGINT AS click_id, n_rows::BIGINT AS n_rows, cents::BIGINT AS cents, record, kind FROM o
+"""
