@@ -14,16 +14,14 @@ FUNCTION_WORDS = {
     "en": ["a", "an", "and", "are", "as", "at", "be", "by", "for", "in", "is", "it", "of", "on", "that", "the", "this", "to", "was", "with"],
     "es": ["a", "con", "de", "del", "el", "en", "es", "la", "las", "los", "no", "para", "por", "que", "se", "un", "una", "y"],
     "fr": ["à", "au", "aux", "avec", "dans", "de", "des", "du", "en", "est", "et", "la", "le", "les", "pas", "pour", "que", "qui", "sur", "un", "une"],
-    "zh": ["的", "了", "着", "过", "吗", "呢", "吧", "啊", "嘛", "和", "与", "而", "之", "其", "把", "被", "就", "都", "也", "还"],
 }
-#: Chinese words that hold a character of the list above and stay whole; written for this repository.
-WHOLE_WORDS = ["和平", "和谐", "共和", "温和", "缓和", "饱和", "总和", "与会", "参与", "与其", "赋予", "而且", "然而", "从而", "反而", "因而", "之前", "之后", "之间", "之一", "总之", "反之", "其他", "其它", "其中", "其实", "其余", "尤其", "极其", "目的", "的确", "了解", "了不起", "为了", "除了", "着急", "着手", "着重", "着陆", "沿着", "意味着", "过去", "过程", "过度", "经过", "通过", "超过", "不过", "度过", "把握", "把手", "被子", "被告", "就业", "就职", "就算", "成就", "造就", "都市", "首都", "成都", "也许", "也门", "还是", "还有", "还原", "归还", "偿还", "酒吧", "吗啡", "呢绒"]
+#: Chinese function words; fixed values.
+CHINESE_FUNCTION_WORDS = ["的", "了", "着", "过", "吗", "呢", "吧", "啊", "嘛", "和", "与", "而", "之", "其", "把", "被", "就", "都", "也", "还"]
 #: HTML elements that are no content, and entities in the order of decoding; fixed values.
 DROPPED = ["script", "style", "head", "nav", "footer"]
 ENTITIES = [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 #: A side is broadcast only when its values are counted below this many bytes.
 BROADCAST_BYTES = 24 << 20
-FUNCTION_CHARACTERS = "(" + "|".join(WHOLE_WORDS) + ")|" + "|".join(FUNCTION_WORDS["zh"])
 
 
 def tokens(text: Column) -> Column:
@@ -57,10 +55,8 @@ def is_function_word(word: Column, lang: Column) -> Column:
 
 
 def content_words(text: Column, lang: Column) -> Column:
-    """Tokens without function words. Chinese has no blanks between words, so its function characters go from within, but not from the words that hold one."""
-    han = lambda w: (lang == "zh") & w.rlike(r"\p{IsHan}")
-    bare = F.transform(tokens(text), lambda w: F.when(han(w), F.regexp_replace(w, FUNCTION_CHARACTERS, "$1")).otherwise(w))
-    return F.filter(bare, lambda w: (F.length(w) > 0) & ~is_function_word(w, lang))
+    """Tokens without function words of the languages that have blanks between words."""
+    return F.filter(tokens(text), lambda w: ~is_function_word(w, lang))
 
 
 def _bytes(field) -> Column:
@@ -70,11 +66,28 @@ def _bytes(field) -> Column:
     return F.octet_length(F.to_json(F.struct(c))) + 16 if kind.startswith(("array", "struct", "map")) else F.lit(16)
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df`` written once, with a broadcast hint if its values are few bytes; without one otherwise, for a shuffle join."""
+def measured(df: DataFrame) -> tuple[DataFrame, bool]:
+    """``df`` written once, and whether its values are few enough bytes for a broadcast."""
     kept = written(df)
     size = kept.agg(F.sum(sum((_bytes(f) for f in kept.schema.fields), F.lit(0)))).head()[0] or 0
-    return F.broadcast(kept) if size <= BROADCAST_BYTES else kept
+    return kept, size <= BROADCAST_BYTES
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df`` written once, with a broadcast hint if its values are few bytes; without one otherwise, for a shuffle join."""
+    kept, few = measured(df)
+    return F.broadcast(kept) if few else kept
+
+
+def row_keys(*columns: str) -> list[Column]:
+    """k1, k2: 128 bits of hash of a row's values; rows that repeat have the same."""
+    return [F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit("second"), *columns).alias("k2")]
+
+
+def epoch_micros(at: str) -> Column:
+    """Microseconds since 1970 of a column's times as its zone, or the lack of one, shows them."""
+    clock = F.expr(f"hour({at}) * 3600 + minute({at}) * 60").cast("long") * 1_000_000 + (F.expr(f"extract(SECOND FROM {at})") * 1_000_000).cast("long")
+    return F.unix_date(F.col(at).cast("date")).cast("long") * 86_400_000_000 + clock
 
 
 def html_text(html: Column) -> Column:

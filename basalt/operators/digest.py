@@ -165,9 +165,12 @@ def digest_markdown(docs: DataFrame, term: str = "the") -> DataFrame:
 
 
 def activity_track(events: DataFrame) -> DataFrame:
-    """day, event_type, n, delta: daily counts and the change from the last day that has the type. Fidelity: stand-in (no dated text).
+    """day, event_type, n, delta: daily counts and the change from the day before, which counts 0 if it has none of the type. Fidelity: stand-in (no dated text).
 
-    Events without time are a day of their own, null and first; a null type is one type; a type's first day has a null delta.
+    Events without time are a day of their own, null, with a null delta; a null type is one type; a type's first day has a null delta.
     """
-    daily = events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return daily.withColumn("delta", F.col("n") - F.lag("n").over(Window.partitionBy("event_type").orderBy("day")))
+    daily = events.groupBy(F.col("ts").cast("date").alias("d"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("event_type").orderBy(F.unix_date("d"))
+    before = F.coalesce(F.first("n").over(by.rangeBetween(-1, -1)), F.lit(0))
+    first = F.min("d").over(Window.partitionBy("event_type"))
+    return daily.select(F.date_format("d", "yyyy-MM-dd").alias("day"), "event_type", "n", F.when(F.col("d") > first, F.col("n") - before).alias("delta"))

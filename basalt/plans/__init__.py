@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from ..functions import DROPPED, ENTITIES, FUNCTION_CHARACTERS, FUNCTION_WORDS
-from ..operators import capture, check, compress, digest, graph, knowledge
+from ..functions import DROPPED, ENTITIES, FUNCTION_WORDS
+from ..operators import capture, check, compress, digest, graph, knowledge, quotes, segment, temporal
 from ..sources import table
 from ..streaming import activity_stream
+from ..streaming.bursts import error_bursts
+from ..streaming.windows import client_sessions, sliding_activity
 
 WHAT = {
     "page_markdown": (capture.page_markdown, ["pages"]),
@@ -14,10 +16,14 @@ WHAT = {
     "echoed_turns": (check.echoed_turns, ["conversations"]),
     "strip_function_words": (compress.strip_function_words, ["documents"]),
     "compression_stats": (compress.compression_stats, ["documents"]),
+    "found_words": (segment.found_words, ["documents"]),
+    "word_pieces": (segment.word_pieces, ["documents"]),
     "said_verbatim": (check.said_verbatim, ["benchmark", "documents"]),
     "said_overlap": (check.said_overlap, ["benchmark", "documents"]),
     "evidence": (check.evidence, ["benchmark", "documents"]),
     "check_report": (check.check_report, ["benchmark", "documents"]),
+    "near_quotes": (quotes.near_quotes, ["benchmark", "documents"]),
+    "said_nearly": (quotes.said_nearly, ["benchmark", "documents"]),
     "source_digest": (digest.source_digest, ["documents"]),
     "dedupe_exact": (digest.dedupe_exact, ["documents"]),
     "near_duplicates": (digest.near_duplicates, ["documents"]),
@@ -26,6 +32,13 @@ WHAT = {
     "search_top": (digest.search_top, ["documents"]),
     "digest_markdown": (digest.digest_markdown, ["documents"]),
     "activity_track": (digest.activity_track, ["events"]),
+    "activity_baseline": (temporal.activity_baseline, ["clicks"]),
+    "last_of_another_kind": (temporal.last_of_another_kind, ["clicks"]),
+    "errors_before_purchases": (temporal.errors_before_purchases, ["clicks"]),
+    "recent_activity": (temporal.recent_activity, ["clicks"]),
+    "sliding_activity": (sliding_activity, ["clicks"]),
+    "client_sessions": (client_sessions, ["clicks"]),
+    "error_bursts": (error_bursts, ["clicks"]),
     "links_mermaid": (graph.links_mermaid, ["pages"]),
     "hierarchy_mermaid": (graph.hierarchy_mermaid, ["region", "nation"]),
     "fragments": (knowledge.fragments, ["documents"]),
@@ -65,8 +78,7 @@ def _html() -> str:
 
 TOKENS = r"regexp_extract_all(lower(text), '\p{L}+')"
 LEXICON = "CASE lang " + " ".join(f"WHEN '{k}' THEN {_list(v)}" for k, v in FUNCTION_WORDS.items()) + " ELSE []::VARCHAR[] END"
-CHINESE = r"list_transform({}, lambda w: CASE WHEN lang = 'zh' AND regexp_matches(w, '\p{{Han}}') THEN regexp_replace(w, '" + FUNCTION_CHARACTERS + r"', '\1', 'g') ELSE w END)"
-CONTENT = "list_filter(" + CHINESE + ", lambda w: w <> '' AND NOT list_contains(" + LEXICON + ", w))"
+CONTENT = "list_filter({}, lambda w: NOT list_contains(" + LEXICON + ", w))"
 STOP = _list(sorted({w for v in FUNCTION_WORDS.values() for w in v}))
 SHARED = f"""c AS (SELECT item_id, {_shingles("w")} AS s FROM (SELECT item_id, {TOKENS} AS w FROM benchmark)),
 ce AS (SELECT item_id, len(s) AS n_claim, unnest(s) AS shingle FROM c),
@@ -75,6 +87,9 @@ sh AS (SELECT item_id, doc_id, source, n_claim, count(*) AS n_shared FROM de JOI
 TOP = f"""t AS (SELECT source, doc_id, len(list_filter({TOKENS}, lambda w: w = 'the'))::BIGINT AS tf FROM documents),
 top AS (SELECT source, doc_id, tf, row_number() OVER (PARTITION BY source ORDER BY tf DESC, doc_id NULLS FIRST) AS rank FROM t WHERE tf > 0 QUALIFY rank <= 3)"""
 FRAGMENTS = r"f AS (SELECT doc_id, lang, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean FROM documents WHERE n_chars < 200)"
+TURNS = """c AS (SELECT coalesce(kind, 'none') AS kind, epoch_us(ts) AS us, epoch_us(coalesce(arrived_at, ts)) AS came FROM clicks {}),
+t AS (SELECT *, (came - (SELECT min(came) FROM c)) * 4 // (SELECT max(came) - min(came) + 1 FROM c) AS turn FROM c), w AS (SELECT k AS turn, (SELECT max(us // 1000) - 43200000 FROM t WHERE turn < k) AS w FROM range(4) r(k))"""
+TIMED = "timed AS (SELECT click_id, client_id, coalesce(kind, 'none') AS kind, epoch_us(ts) AS us FROM clicks)"
 KEYWORDS = (
     FRAGMENTS
     + ", fw AS (SELECT doc_id, unnest("
@@ -90,6 +105,14 @@ def oracle_sql() -> dict[str, str]:
         "qa_pairs": "SELECT conv_id, turn, text AS question, answer FROM (SELECT *, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST)) WHERE role = 'user'",
         "strip_function_words": f"SELECT doc_id, lang, array_to_string({CONTENT.format(TOKENS)}, ' ') AS compressed FROM documents",
         "compression_stats": f"SELECT lang, count(*) AS n_docs, sum(length(text))::BIGINT AS chars_before, sum(length(x))::BIGINT AS chars_after, round(sum(length(x)) / nullif(sum(length(text)), 0), 6) AS ratio FROM (SELECT lang, text, array_to_string({CONTENT.format(TOKENS)}, ' ') AS x FROM documents) GROUP BY lang",
+        "found_words": r"""WITH r AS (SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}{1,256}')) AS run FROM documents) GROUP BY run),
+p AS (SELECT n, '^' || run || '$' AS run FROM r), l AS (SELECT n, run, unnest(range(1, length(run) + 1)) AS i FROM p),
+g AS MATERIALIZED (SELECT word, length(word) AS k, sum(n)::BIGINT AS n FROM (SELECT n, run[i:i + k - 1] AS word FROM l, range(1, 6) t(k) WHERE i + k <= length(run) + 1) GROUP BY word),
+h AS (SELECT word, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 6) AS f FROM (SELECT word[1:k - 1] AS word, n FROM g WHERE k > 1) WHERE word NOT LIKE '%^%' AND word NOT LIKE '%$%' GROUP BY word),
+b AS (SELECT word, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 6) AS f FROM (SELECT word[2:] AS word, n FROM g WHERE k > 1) WHERE word NOT LIKE '%^%' AND word NOT LIKE '%$%' GROUP BY word),
+i AS (SELECT * FROM g WHERE word NOT LIKE '%^%' AND word NOT LIKE '%$%' AND k <= 4), c AS (SELECT word, n, word[1:s] AS a, word[s + 1:] AS b FROM i, range(1, 4) t(s) WHERE s < k AND k > 1 AND n >= 4),
+t AS (SELECT c.word, round(min(ln(c.n * (SELECT sum(n) FROM i WHERE k = 1)::DOUBLE / (x.n::DOUBLE * y.n))), 6) AS cohesion FROM c JOIN i x ON x.word = c.a JOIN i y ON y.word = c.b GROUP BY c.word)
+SELECT word, n, cohesion, least(h.f, b.f) AS freedom FROM i JOIN t USING (word) JOIN h USING (word) JOIN b USING (word) WHERE cohesion >= 1.5 AND least(h.f, b.f) >= 0.7""",
         "said_verbatim": "SELECT item_id, source, count(*) AS n_docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id, source",
         "said_overlap": f"WITH {SHARED} SELECT item_id, source, max(n_shared) AS best_shared FROM sh GROUP BY item_id, source",
         "evidence": f"WITH {SHARED} SELECT item_id, doc_id, n_shared, round(n_shared / n_claim, 6) AS coverage FROM sh",
@@ -108,7 +131,29 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS rep FROM s WHERE len(s) > 0"
         "search_top": f"WITH {TOP} SELECT * FROM top",
         "digest_markdown": f"""WITH {TOP}, l AS (SELECT source, string_agg('- document ' || coalesce(doc_id::VARCHAR, 'none') || ': ' || tf, chr(10) ORDER BY rank) AS lines FROM top GROUP BY source)
 SELECT d.source, '## ' || coalesce(d.source, 'unknown') || chr(10) || chr(10) || count(*) || ' documents, ' || coalesce(sum(length(text)), 0) || ' characters' || chr(10) || chr(10) || 'Most `the`:' || chr(10) || coalesce(any_value(lines), '- none') AS markdown FROM documents d LEFT JOIN l ON d.source IS NOT DISTINCT FROM l.source GROUP BY d.source""",
-        "activity_track": "SELECT day, event_type, n, n - lag(n) OVER (PARTITION BY event_type ORDER BY day NULLS FIRST) AS delta FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL)",
+        "activity_track": """WITH n AS (SELECT ts::DATE AS d, event_type, count(*) AS n FROM events GROUP BY ALL), f AS (SELECT event_type, min(d) AS first FROM n GROUP BY ALL)
+SELECT strftime(n.d, '%Y-%m-%d') AS day, n.event_type, n.n, CASE WHEN n.d > f.first THEN n.n - coalesce(b.n, 0) END AS delta
+FROM n JOIN f ON n.event_type IS NOT DISTINCT FROM f.event_type LEFT JOIN n b ON b.event_type IS NOT DISTINCT FROM n.event_type AND b.d = n.d - 1""",
+        "activity_baseline": """WITH n AS (SELECT kind, ts::DATE AS d, count(*) AS n FROM clicks WHERE ts IS NOT NULL GROUP BY ALL),
+c AS (SELECT kind, unnest(generate_series(min(d), max(d), INTERVAL 1 DAY))::DATE AS d FROM n GROUP BY kind),
+f AS (SELECT c.kind, c.d, coalesce(n.n, 0) AS n FROM c LEFT JOIN n ON n.kind IS NOT DISTINCT FROM c.kind AND n.d = c.d),
+g AS (SELECT kind, d, n, count(*) OVER w AS c, (sum(n) OVER w)::BIGINT AS s, (sum(n * n) OVER w)::BIGINT AS q, lag(n) OVER (PARTITION BY kind ORDER BY d) AS n_before FROM f
+      WINDOW w AS (PARTITION BY kind ORDER BY d RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING))
+SELECT strftime(d, '%Y-%m-%d') AS day, kind, n, n_before, c AS n_days, round(s / nullif(c, 0), 6) AS mean, CASE WHEN c * q - s * s > 0 THEN round((n * c - s) / sqrt((c * q - s * s)::DOUBLE), 6) END AS deviation FROM g""",
+        "sliding_activity": f"""WITH {TURNS.format("WHERE ts IS NOT NULL")}, x AS (SELECT turn, kind, us // 7200000000 * 2 - 2 * k AS start_hour FROM t, range(3) r(k))
+SELECT start_hour, kind, count(*) AS n FROM x JOIN w USING (turn) WHERE (start_hour + 6) * 3600000 > coalesce(w, 0) AND (start_hour + 6) * 3600000 <= (SELECT max(us // 1000) - 43200000 FROM t) GROUP BY ALL""",
+        "error_bursts": """WITH e AS (SELECT client_id, epoch_us(ts) // 60000000 AS m FROM clicks WHERE kind = 'error' AND client_id IS NOT NULL AND ts IS NOT NULL),
+b AS (SELECT *, m - lag(m) OVER (PARTITION BY client_id ORDER BY m) > 120 AS new FROM e), g AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY client_id ORDER BY m) AS g FROM b)
+SELECT client_id, min(m) AS first_minute, max(m) AS last_minute, count(*) AS n FROM g GROUP BY client_id, g
+HAVING count(*) >= 3 AND max(m) + 120 < (SELECT (max(epoch_us(ts)) // 1000 - 345600000) // 60000 FROM clicks WHERE kind = 'error' AND client_id IS NOT NULL)""",
+        "last_of_another_kind": f"""WITH {TIMED}, e AS (SELECT *, row_number() OVER (ORDER BY us, click_id NULLS FIRST, kind) AS rn FROM timed WHERE client_id IS NOT NULL AND us IS NOT NULL),
+w AS (SELECT e.*, k.kind AS wanted FROM e JOIN (SELECT DISTINCT kind FROM e) k ON k.kind <> e.kind),
+p AS (SELECT w.rn, max_by({{'id': b.click_id, 'kind': b.kind, 'us': b.us}}, b.rn) AS x FROM w ASOF JOIN e b ON b.client_id = w.client_id AND b.kind = w.wanted AND b.rn < w.rn GROUP BY w.rn)
+SELECT click_id, kind, x.id AS other_id, x.kind AS other_kind, us - x.us AS gap_us FROM e LEFT JOIN p USING (rn) UNION ALL SELECT click_id, kind, NULL, NULL, NULL FROM timed WHERE client_id IS NULL OR us IS NULL""",
+        "errors_before_purchases": f"""WITH {TIMED} SELECT p.click_id AS purchase_id, e.click_id AS error_id, p.us - e.us AS gap_us FROM timed p JOIN timed e ON p.client_id = e.client_id AND e.us BETWEEN p.us - 3600000000 AND p.us AND p.kind = 'purchase' AND e.kind = 'error'""",
+        "recent_activity": f"""WITH {TIMED}, w AS (SELECT click_id, count(*) OVER (PARTITION BY client_id, kind ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS n_same,
+count(*) OVER (PARTITION BY client_id ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS n_all FROM timed WHERE client_id IS NOT NULL AND us IS NOT NULL)
+SELECT click_id, n_same, n_all - n_same AS n_other FROM w UNION ALL SELECT click_id, 0, 0 FROM timed WHERE client_id IS NULL OR us IS NULL""",
         "links_mermaid": """SELECT page_id, array_to_string(list_concat(['graph LR' || chr(10) || '  p["' || coalesce(url, 'unknown') || '"]'], list_transform(regexp_extract_all(coalesce(html, ''), '<a href="([^"]*)">', 1), lambda t, i: '  p --> n' || (i - 1) || '["' || t || '"]')), chr(10)) AS mermaid FROM pages""",
         "hierarchy_mermaid": """SELECT r_regionkey, 'graph TD' || chr(10) || '  r["' || coalesce(r_name, 'unknown') || '"]' || coalesce(chr(10) || string_agg('  r --> n' || n_nationkey || '["' || coalesce(n_name, 'unknown') || '"]', chr(10) ORDER BY n_nationkey, n_name NULLS FIRST), '') AS mermaid FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name""",
         "fragments": f"WITH {FRAGMENTS} SELECT * FROM f",
