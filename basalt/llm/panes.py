@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from datetime import timedelta
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from . import common
-from .exact_dedup import STATE, file_stream  # noqa: F401
+from .exact_dedup import STATE
 from .common import settings
 
 HOUR_MS = 3_600_000
@@ -125,7 +124,7 @@ class Panes(StatefulProcessor):
         pass
 
 
-def combined(w: int | None, shards: int):
+def combined(w: int | None):
     """A map over Arrow batches: rows of open panes summed by pane, shard 0; rows of panes closed at ``w`` as they are, dealt to shards 1 and on."""
     names = ["kind", "day", "shard", "hour", "click_id", "n_rows", "cents"]
     limit = None if w is None else (w - CLOSE_MS) // HOUR_MS - 1  # the last closed hour
@@ -134,7 +133,7 @@ def combined(w: int | None, shards: int):
         hour = hour.cast(pa.int64())
         # floored division of a number that may be negative
         day = pc.floor(pc.divide(hour.cast(pa.float64()), 24.0)).cast(pa.int64())
-        return pa.RecordBatch.from_arrays([pa.chunked_array(c).combine_chunks() if isinstance(c, list) else c for c in (kind, day, shard, hour, click_id, n, cents)], names=names)
+        return pa.RecordBatch.from_arrays([kind, day, shard, hour, click_id, n, cents], names=names)
 
     def work(batches):
         held: list[pa.Table] = []
@@ -177,6 +176,12 @@ def cents(value: Column) -> Column:
     return F.when(F.abs(x) < F.lit(9e15), F.floor(x)).otherwise(0).cast("long")
 
 
+def micros(ts: str) -> Column:
+    """Microseconds since 1970 of a time that has no zone, whatever the session's."""
+    time = F.expr(f"hour({ts}) * 3600 + minute({ts}) * 60").cast("long") * 1_000_000 + (F.expr(f"extract(SECOND FROM {ts})") * 1_000_000).cast("long")
+    return F.unix_date(F.col(ts).cast("date")).cast("long") * (24 * HOUR_MS * 1000) + time
+
+
 def staged(clicks: DataFrame, batches: int = BATCHES) -> DataFrame:
     """batch, click_id, kind, hour, event_ms, cents: each identifier once, dealt to batches by its day of arrival and a delay drawn from its identifier."""
     rows = clicks.where("ts IS NOT NULL").select("click_id", F.struct("arrived_at", "ts", "kind", "value").alias("x"))
@@ -184,7 +189,7 @@ def staged(clicks: DataFrame, batches: int = BATCHES) -> DataFrame:
     day = F.unix_date(F.coalesce("arrived_at", "ts").cast("date")).cast("long")
     delay = F.greatest(F.lit(0), F.pmod(F.crc32(F.col("click_id").cast("string")), F.lit(30)) - 23)
     turn = F.pmod(day, F.lit(batches))
-    event = F.unix_micros(F.col("ts").cast("timestamp")) - (day - turn) * (24 * HOUR_MS * 1000)
+    event = micros("ts") - (day - turn) * (24 * HOUR_MS * 1000)
     rows = rows.select("click_id", F.coalesce("kind", F.lit("none")).alias("kind"), cents(F.col("value")).alias("cents"), F.least(F.lit(batches - 1), turn + F.coalesce(delay, F.lit(0))).cast("int").alias("batch"), event.alias("event"))
     return rows.select("batch", "click_id", "kind", F.expr("floor(event / 3600000000D)").cast("long").alias("hour"), F.expr("floor(event / 1000D)").cast("long").alias("event_ms"), "cents")
 
@@ -199,7 +204,7 @@ def run_batch(spark: SparkSession, root: str, batch: int, w: int | None, last: b
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     timed = rows.withColumn("at", F.timestamp_millis(F.col("event_ms") + SHIFT_MS)).withWatermark("at", "0 seconds")
     shard = 1 + F.pmod(F.xxhash64("click_id"), F.lit(shards))
-    sums = timed.where("kind IS NOT NULL").select("kind", "hour", "click_id", "cents", shard.alias("shard")).mapInArrow(combined(w, shards), "kind string, day long, shard long, hour long, click_id long, n_rows long, cents long")
+    sums = timed.where("kind IS NOT NULL").select("kind", "hour", "click_id", "cents", shard.alias("shard")).mapInArrow(combined(w), "kind string, day long, shard long, hour long, click_id long, n_rows long, cents long")
     out = sums.groupBy("kind", "day", "shard").transformWithState(Panes(batch if record is None else record, last), OUT, "Append", "EventTime")
     query = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -36,7 +36,8 @@ def texts(spark):
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for table in ("documents", "clicks"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     got = queries.queries()[name](spark, FOLDER)
     found = con.sql(queries.oracle_sql()[name])
     want = [dict(zip(found.columns, r, strict=True)) for r in found.fetchall()]
