@@ -7,8 +7,8 @@ end of the grace of one not yet emitted, the closing of one that was. It is set
 settled, so a shard without new rows wakes only when something is due.
 
 The watermark W is Spark's own: the largest event time of all earlier batches, without delay; no row is dropped by it, since the column that carries
-it ends before the state. Spark keeps no watermark below zero, so event times are shifted by ``SHIFT`` for it alone. After the last batch
-a marker carries the watermark beyond all deadlines, and every timer fires, which emits what was never due.
+it ends before the state. Spark keeps no watermark below zero, so event times are shifted by ``SHIFT_MS`` for it alone. What
+was never due is read from the state after the last batch.
 
 Rows are combined in their map tasks, one row a pane and task, so that a hot kind reaches its shards as sums. Rows of closed panes can't be combined, as each
 is an output; they are dealt by a hash to further shards of the same kind and day, as many as shuffle partitions. Nothing but the largest event time of each batch
@@ -41,10 +41,11 @@ GRACE_MS = 6 * HOUR_MS
 CLOSE_MS = 4 * 24 * HOUR_MS
 #: Added to event times for the watermark, which Spark holds at zero or above.
 SHIFT_MS = 10_000 * 365 * 24 * HOUR_MS
-END_MS = 2 * SHIFT_MS
 BATCHES = 8
 #: Panes that a map task sums before it sends them on.
 HELD = 1 << 16
+#: Files of the state carry no second checksum besides the file system's own, so that a partition without rows costs little.
+QUICK = {"spark.sql.streaming.checkpoint.fileChecksum.enabled": "false"}
 OUT = "batch long, hour long, click_id long, n_rows long, cents long, record string, kind string"
 
 
@@ -61,10 +62,10 @@ def closed(hour: int, w: int | None) -> bool:
 
 
 class Panes(StatefulProcessor):
-    """The state of a shard. ``batch`` is written into each record; ``last``: the end of the stream, where all that is left is final."""
+    """The state of a shard. ``batch`` is written into each record."""
 
-    def __init__(self, batch: int, last: bool = False):
-        self.batch, self.last = batch, last
+    def __init__(self, batch: int):
+        self.batch = batch
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -102,14 +103,14 @@ class Panes(StatefulProcessor):
         revised = {hour: old for (hour,), old in self.dirty.iterator()}
         deadline = None
         for (hour,), (n, cents, emitted) in sorted(self.panes.iterator()):
-            if not emitted and (self.last or due(hour, w)):
-                yield self.record(kind, hour, "final" if self.last else "emit", n, cents)
+            if not emitted and due(hour, w):
+                yield self.record(kind, hour, "emit", n, cents)
                 emitted = True
                 self.panes.updateValue((hour,), (n, cents, True))
             elif hour in revised:
                 yield self.record(kind, hour, "retract", *revised[hour])
                 yield self.record(kind, hour, "replace", n, cents)
-            if self.last or closed(hour, w):
+            if closed(hour, w):
                 self.panes.removeKey((hour,))
             else:
                 at = end_ms(hour) + (CLOSE_MS if emitted else GRACE_MS)
@@ -197,19 +198,25 @@ def staged(clicks: DataFrame, batches: int = BATCHES) -> DataFrame:
 FILES = "click_id long, kind string, hour long, event_ms long, cents long"
 
 
-def run_batch(spark: SparkSession, root: str, batch: int, w: int | None, last: bool = False, record: int | None = None) -> None:
+def run_batch(spark: SparkSession, root: str, batch: int, w: int | None) -> None:
     """Start the query on the folders ``batch=0`` to ``batch``, of which only the last is new, and wait for its end."""
     path = f"{root}/in/batch={{{','.join(map(str, range(batch + 1)))}}}"
     rows = spark.readStream.schema(FILES).parquet(path)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     timed = rows.withColumn("at", F.timestamp_millis(F.col("event_ms") + SHIFT_MS)).withWatermark("at", "0 seconds")
-    shard = 1 + F.pmod(F.xxhash64("click_id"), F.lit(shards))
-    sums = timed.where("kind IS NOT NULL").select("kind", "hour", "click_id", "cents", shard.alias("shard")).mapInArrow(combined(w), "kind string, day long, shard long, hour long, click_id long, n_rows long, cents long")
-    out = sums.groupBy("kind", "day", "shard").transformWithState(Panes(batch if record is None else record, last), OUT, "Append", "EventTime")
+    shard = 1 + F.pmod(F.xxhash64("click_id"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    sums = timed.select("kind", "hour", "click_id", "cents", shard.alias("shard")).mapInArrow(combined(w), "kind string, day long, shard long, hour long, click_id long, n_rows long, cents long")
+    out = sums.groupBy("kind", "day", "shard").transformWithState(Panes(batch), OUT, "Append", "EventTime")
     query = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def unemitted(spark: SparkSession, root: str, batch: int) -> DataFrame:
+    """The panes of the state that were never due, as records of ``batch``."""
+    state = spark.read.format("statestore").option("stateVarName", "panes").load(f"{root}/state")
+    found = state.select("key.kind", "user_map_key.hour", "user_map_value.*").where("NOT emitted")
+    return found.select(F.lit(batch).cast("long").alias("batch"), "hour", F.lit(-1).cast("long").alias("click_id"), "n_rows", "cents", F.lit("final").alias("record"), "kind")
+
+
 def revise_panes(clicks: DataFrame, batches: int = BATCHES, root: str | None = None) -> DataFrame:
     """batch, hour, click_id, n_rows, cents, record, kind of ``clicks`` (click_id, ts, arrived_at, kind, value), fed in ``batches`` batches.
 
@@ -217,20 +224,17 @@ def revise_panes(clicks: DataFrame, batches: int = BATCHES, root: str | None = N
     """
     spark = clicks.sparkSession
     root = root or f"{common.shared_dir(spark)}/panes-{uuid.uuid4().hex}"
-    staged(clicks, batches).write.partitionBy("batch").parquet(f"{root}/in")
+    # a few files a core and batch, however many partitions the shuffle has
+    staged(clicks, batches).coalesce(3 * spark.sparkContext.defaultParallelism).write.partitionBy("batch").parquet(f"{root}/in")
     largest = {r["batch"]: r["w"] for r in spark.read.schema(f"{FILES}, batch int").parquet(f"{root}/in").groupBy("batch").agg(F.max("event_ms").alias("w")).collect()}  # a row a batch
-    nothing = spark.createDataFrame([], FILES).coalesce(1)
-    marker = spark.createDataFrame([(None, None, None, END_MS - SHIFT_MS, None)], FILES).coalesce(1)
-    marker.write.mode("append").parquet(f"{root}/in/batch={batches - 1}")
-    nothing.write.parquet(f"{root}/in/batch={batches}")
     w = None
-    with settings(spark, STATE):
+    with settings(spark, STATE | QUICK):
         for k in range(batches):
-            if k not in largest and k < batches - 1:
-                nothing.write.parquet(f"{root}/in/batch={k}")
+            if k not in largest:
+                spark.createDataFrame([], FILES).coalesce(1).write.parquet(f"{root}/in/batch={k}")
             run_batch(spark, root, k, w)
-            w = max(x for x in (w, largest.get(k)) if x is not None) if (w, largest.get(k)) != (None, None) else None
-        run_batch(spark, root, batches, END_MS - SHIFT_MS, last=True, record=batches - 1)
+            w = max((x for x in (w, largest.get(k)) if x is not None), default=None)
+        final = common.cut(unemitted(spark, root, batches - 1))
     for part in ("in", "state"):
         common.remove(spark, f"{root}/{part}")
-    return spark.read.schema(OUT).parquet(f"{root}/out")
+    return spark.read.schema(OUT).parquet(f"{root}/out").unionByName(final)
