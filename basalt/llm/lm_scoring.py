@@ -2,12 +2,12 @@
 
 Two matched models, of a target and of a background, share one vocabulary: the 256 bytes and the end of a text. Both are
 n-gram models of ``ORDER`` symbols with Witten-Bell smoothing down to the uniform distribution, so for each context each
-model's probabilities sum to 1 over the vocabulary. The background is every document; the target is the documents
+model's probabilities sum to 1 over the vocabulary. The background is of the corpus, the target of those documents
 labelled of good quality. A document's score is the mean over its symbols of the loss under the target less the loss
 under the background; lower is closer to the target.
 
-Documents are dealt to ``FOLDS`` folds by a hash of their text, and a document is scored by a target model without its
-fold, so neither it nor a copy of it speaks for itself there. The background holds all documents, whoever is scored.
+Documents are dealt to ``FOLDS`` folds by a hash of their text, and a document is scored by a target and a background that both leave out its
+fold, so neither it nor a copy of it speaks for itself in either. A text that only its own counts would make likely is unlikely to both.
 
 N-grams are counted in their own tasks, added up there, and summed by key in one shuffle; the counts grow with the corpus
 and stay a distributed table, as do the losses, which are made from them by joins with their shorter n-grams. Nothing
@@ -86,7 +86,7 @@ def fold(text) -> F.Column:
 
 
 def count_ngrams(rows: DataFrame, order: int = ORDER) -> DataFrame:
-    """key, n0 (in all documents) and n1.. (in the target documents of other folds than 0..) from rows of text, part: 0, or 1 + fold for a target document."""
+    """key, then counts in the documents, and in the target documents, of other folds than 0, 1..: n0.. and n4.., from rows of text, part: twice the fold, 1 more for a target document."""
     common.small_batches(rows.sparkSession)
     names = ["key", "part", "n"]
 
@@ -95,13 +95,13 @@ def count_ngrams(rows: DataFrame, order: int = ORDER) -> DataFrame:
 
         def flush():
             codes, n = added(keys, counts)
-            return pa.RecordBatch.from_arrays([pa.array(codes // (FOLDS + 1), pa.int64()), pa.array((codes % (FOLDS + 1)).astype(np.int32)), pa.array(n, pa.int64())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(codes // (2 * FOLDS), pa.int64()), pa.array((codes % (2 * FOLDS)).astype(np.int32)), pa.array(n, pa.int64())], names=names)
 
         for b in batches:
             labels = b.column("part").to_numpy()
             for part in pieces([t.encode() for t in b.column("text").to_pylist()], order):
                 grams, owner = ngrams(part, order)
-                ids, n = np.unique(grams * (FOLDS + 1) + labels[owner], return_counts=True)
+                ids, n = np.unique(grams * (2 * FOLDS) + labels[owner], return_counts=True)
                 keys.append(ids)
                 counts.append(n)
                 held += len(ids)
@@ -115,19 +115,21 @@ def count_ngrams(rows: DataFrame, order: int = ORDER) -> DataFrame:
             yield flush()
 
     found = rows.select("text", "part").mapInArrow(work, "key long, part int, n long")
-    other = [F.sum(F.when((F.col("part") > 0) & (F.col("part") != f + 1), F.col("n")).otherwise(0)).alias(f"n{f + 1}") for f in range(FOLDS)]
-    return found.groupBy("key").agg(F.sum("n").alias("n0"), *other)
+    elsewhere = lambda f: F.expr("part div 2") != f
+    count = lambda when, j: F.sum(F.when(when, F.col("n")).otherwise(0)).alias(f"n{j}")
+    every = [count(elsewhere(f), f) for f in range(FOLDS)]
+    return found.groupBy("key").agg(*every, *[count(elsewhere(f) & (F.col("part") % 2 == 1), FOLDS + f) for f in range(FOLDS)])
 
 
 class Models:
-    """The background (0) and the target without each fold (1..) as the table ``counts`` of their n-grams."""
+    """The background without each fold (0, 1..) and the target without each (FOLDS and on) as the table ``counts`` of their n-grams."""
 
     def __init__(self, counts: DataFrame, order: int = ORDER):
         self.counts, self.order = counts, order
 
     def probabilities(self, keys: DataFrame | None = None) -> DataFrame:
         """key, p0, p1..: of the last symbol after those before it, for ``keys`` (of the corpus or not) or all n-grams counted."""
-        numbers = range(FOLDS + 1)
+        numbers = range(2 * FOLDS)
         wanted = self.counts if keys is None else keys.select("key").distinct().join(self.counts, "key", "left").na.fill(0)
         lower = None
         for m in range(1, self.order + 1):
@@ -154,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, id_col: str = "d
     good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).alias("id")).distinct().withColumn("good", F.lit(True))
     rows = docs.select(F.col(id_col).alias("id"), common.body(F.col(text_col)).alias("text"))
     rows = rows.join(common.checked_broadcast(good, good.count(), 40), "id", "left")
-    rows = rows.select("text", F.when(F.col("good"), 1 + fold("text")).otherwise(0).alias("part"))
+    rows = rows.select("text", (2 * fold("text") + F.when(F.col("good"), 1).otherwise(0)).alias("part"))
     return Models(common.cut(count_ngrams(rows, order)), order)
 
 
@@ -179,8 +181,8 @@ def score(docs: DataFrame, models: Models, counted: bool = False, id_col: str =
     asked = by_chunk.applyInArrow(ask, "fold int, chunk long, key long")
     known = common.cut(models.probabilities(None if counted else asked))
     loss = lambda c: (-F.log(c)).cast("float")
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("fold"), loss(F.col(f"p{f + 1}")).alias("target")) for f in range(FOLDS)]))
-    answers = known.select("key", loss(F.col("p0")).alias("background"), each.alias("x")).select("key", "x.fold", "x.target", "background")
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("fold"), loss(F.col(f"p{FOLDS + f}")).alias("target"), loss(F.col(f"p{f}")).alias("background")) for f in range(FOLDS)]))
+    answers = known.select("key", each.alias("x")).select("key", "x.*")
     answers = asked.join(answers, ["fold", "key"]).select("fold", "chunk", "key", "background", "target")
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
