@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 
 DIM = 1 << 16
+#: Weights are broadcast up to this size, 256 KB a language; beyond it ``identify`` fails and says so.
+MODEL_BYTES = 128 << 20
 PER_LANG = 400
 SCALE = 30.0
 CHUNK = 1 << 18
@@ -221,6 +223,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     spark = docs.sparkSession
     common.small_batches(spark, 250)
     own = [c for c in docs.columns if c not in ADDED]
+    if model.weights.nbytes > MODEL_BYTES:
+        raise ValueError(f"the weights of {len(model.langs)} languages take {model.weights.nbytes >> 20} MB, more than the {MODEL_BYTES >> 20} MB that are broadcast; learn fewer languages or raise MODEL_BYTES")
     given = spark.sparkContext.broadcast(model)
     rows = common.with_columns_of(docs, own)
     at = own.index(text_col)

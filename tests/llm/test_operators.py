@@ -179,18 +179,37 @@ def test_secret_checksums(spark, odd):
 # 3 fingerprints
 
 
+def plain_paragraphs(text):
+    """The paragraphs of a text as a counter, one code point at a time."""
+    whole, found, begin = 2**64 - 1, collections.Counter(), 0
+    for i, c in enumerate(text):
+        h = 0
+        for x in text[i - 3 : i + 1] if i >= 3 else "":
+            h = (h * 0xD6E8FEB86659FD93 + ord(x)) & whole
+        h ^= h >> 29
+        cuts = c == "\n" or (i >= 3 and (h * 0xA0761D6478BD642F & whole) >> 60 == 0)
+        if cuts or i + 1 == len(text):
+            piece = text[begin : i + 1]
+            found.update(piece[k : k + 64] for k in range(0, len(piece), 64))
+            begin = i + 1
+    return found
+
+
+def alike(a, b):
+    return 2 * (a & b).total() / (a.total() + b.total()) if a or b else 1.0
+
+
 def test_fingerprints(spark, texts):
     rows = {r.doc_id: r for r in queries.op3_fingerprint(spark, FOLDER).collect()}
     ids = sorted(texts)
-    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     for i, d in enumerate(ids):
         follow = texts[ids[(i + 1) % len(ids)]]
         half = len(texts[d]) // 2
         edited = texts[d][: len(texts[d]) - half] + follow[:half]
-        own, changed, other = (set(fingerprint.digests(t).tolist()) for t in (texts[d], edited, follow))
+        own, changed, other = (plain_paragraphs(t) for t in (texts[d], edited, follow))
         assert rows[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert rows[d].n_chars == len(texts[d])
-        assert abs(rows[d].near_edited - jaccard(own, changed)) < 1e-9 and abs(rows[d].near_next - jaccard(own, other)) < 1e-9
+        assert abs(rows[d].near_edited - alike(own, changed)) < 1e-9 and abs(rows[d].near_next - alike(own, other)) < 1e-9
 
 
 def test_fingerprints_odd(spark, odd):
@@ -201,6 +220,20 @@ def test_fingerprints_odd(spark, odd):
     assert fingerprint.fingerprint_documents(odd.where("doc_id = 4")).head()["near_next"] == 1.0
 
 
+def test_likeness_in_any_script(spark):
+    """Half a Chinese text, a text without a blank, a long one of one letter; a word put in front; one huge word."""
+    rng = np.random.default_rng(8)
+    han = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 5209)))
+    solid = "".join(map(chr, rng.integers(97, 123, 5000)))
+    rows = [(1, han[:209]), (2, han[300:5209]), (3, solid), (4, "x" * 3000), (5, "the river runs by the old stone mill and on to the sea, " * 9), (6, "so " + "the river runs by the old stone mill and on to the sea, " * 9), (7, "y" * 2_000_000), (8, han[:209] + "\u4e00")]
+    got = {r.doc_id: r for r in fingerprint.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(0.35 < got[d].near_edited < 0.65 for d in (1, 2, 3, 4))
+    assert got[5].near_next > 0.9
+    one, more = (set(fingerprint.digests(t).tolist()) for t in (han[:209], han[:209] + "\u4e00"))
+    assert len(one & more) >= len(one) - 1
+    assert got[7].n_chars == 2_000_000 and 0.4 < got[7].near_edited <= 1
+
+
 def test_sketches_are_peeled_again_larger(monkeypatch):
     """From far too small a size on, the digests that differ are recovered, several pairs at once."""
     rng, sizes = np.random.default_rng(4), (0, 1, 40, 3000)
@@ -276,13 +309,13 @@ def folds(spark, texts):
 
 def check_scores(spark, rows, texts, good, some, order=lm_scoring.ORDER):
     dealt, raw = folds(spark, texts), {d: (t or "").encode() for d, t in texts.items()}
-    background = witten_bell(raw.values(), order)
-    targets = [witten_bell([raw[d] for d in good if dealt[d] != f], order) for f in range(lm_scoring.FOLDS)]
+    apart = lambda some: [witten_bell([raw[d] for d in some if dealt[d] != f], order) for f in range(lm_scoring.FOLDS)]
+    targets, backgrounds = apart(good), apart(raw)
     for d in some:
         s = (0,) * (order - 1) + tuple(c + 1 for c in raw[d]) + (0,)
         n = len(raw[d]) + 1 if raw[d] else 0
         assert rows[d].n_tokens == n
-        for got, p in ((rows[d].loss_target, targets[dealt[d]]), (rows[d].loss_background, background)):
+        for got, p in ((rows[d].loss_target, targets[dealt[d]]), (rows[d].loss_background, backgrounds[dealt[d]])):
             want = -sum(np.log(p(s[i - order + 1 : i], s[i])) for i in range(order - 1, len(s))) / n if n else 0.0
             assert np.isclose(got, want, rtol=1e-5)
         assert np.isclose(rows[d].score, rows[d].loss_target - rows[d].loss_background)
@@ -304,7 +337,7 @@ def test_lm_probabilities_sum_to_one(spark):
     model = lm_scoring.fit(docs, spark.createDataFrame([(0, 1), (2, 1)], "doc_id long, quality int"), order=3)
     contexts = [0, 1, 257, (ord("s") + 1) * 257 + ord("t") + 1, (ord("q") + 1) * 258, 200 * 257 + 3]
     keys = spark.createDataFrame([(c * 257 + x,) for c in contexts for x in range(257)], "key long")
-    ps = [f"p{j}" for j in range(lm_scoring.FOLDS + 1)]
+    ps = [f"p{j}" for j in range(2 * lm_scoring.FOLDS)]
     got = model.probabilities(keys).groupBy(F.expr("key div 257")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(p).alias(p) for p in ps]).collect()
     assert len(got) == len(contexts)
     for r in got:
@@ -319,15 +352,27 @@ def test_lm_other_documents(spark):
     other = {10: "stone bridge", 11: "\u00e9\u4e2d", 12: None, 13: "stone and river"}
     rows = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(list(other.items()), "doc_id long, text string"), model).collect()}
     dealt, own = folds(spark, held), folds(spark, other)
-    background = witten_bell([t.encode() for t in held.values()], lm_scoring.ORDER)
     for d, t in other.items():
         raw = (t or "").encode()
+        background = witten_bell([x.encode() for g, x in held.items() if dealt[g] != own[d]], lm_scoring.ORDER)
         target = witten_bell([held[g].encode() for g in (0, 2) if dealt[g] != own[d]], lm_scoring.ORDER)
         s = (0,) * 4 + tuple(c + 1 for c in raw) + (0,)
         for got, p in ((rows[d].loss_target, target), (rows[d].loss_background, background)):
             assert np.isclose(got, -sum(np.log(p(s[i - 4 : i], s[i])) for i in range(4, len(s))) / (len(raw) + 1) if raw else 0.0, rtol=1e-5)
 
 
+def test_a_document_counts_in_neither_model(spark):
+    """An odd text, or copies of it, is as unlikely to both models as if the corpus had never held it."""
+    common_texts = [(i, f"the river runs by the stone {i % 7}") for i in range(40)]
+    alone = [(100, "zqx jvk wqz qxj"), (101, "zqx jvk wqz qxj")]
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in [*range(0, 40, 2), 100, 101]], "doc_id long, quality int")
+    held = {r.doc_id: r for r in lm_scoring.score(df(common_texts + alone), lm_scoring.fit(df(common_texts + alone), labels), counted=True).collect()}
+    without = {r.doc_id: r for r in lm_scoring.score(df(alone), lm_scoring.fit(df(common_texts), labels)).collect()}
+    for d in (100, 101):
+        assert np.isclose(held[d].loss_target, without[d].loss_target) and np.isclose(held[d].loss_background, without[d].loss_background)
+
+
 def test_lm_odd(spark, odd):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     rows = lm_scoring.score(odd, lm_scoring.fit(odd, labels.where("false")), counted=True).collect()
