@@ -139,9 +139,10 @@ def search_ranked(asked: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.2
     terms = asked.select("item_id", F.explode(F.array_distinct(F.filter(tokens(F.col("text")), lambda w: ~w.isin(stop)))).alias("word"))
     terms = bounded(terms)
     words = bounded(terms.select("word").distinct())
-    sized = docs.select("doc_id", F.coalesce(F.size(tokens(F.col("text"))), F.lit(0)).alias("length"), tokens(F.col("text")).alias("words"))
-    total = sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.greatest("length", F.lit(0))), F.lit(0.0)).alias("mean")).head()
-    spread = sized.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "length", F.explode("words").alias("word"))
+    # lengths alone are counted for all; words are made once, where they are spread
+    total = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.coalesce(F.regexp_count(F.lower("text"), F.lit(r"\p{L}+")), F.lit(0))), F.lit(0.0)).alias("mean")).head()
+    sized = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", tokens(F.col("text")).alias("words"))
+    spread = sized.select("row", "doc_id", F.size("words").alias("length"), F.explode("words").alias("word"))
     tf = written(spread.join(words, "word").groupBy("row", "doc_id", "length", "word").agg(F.count(F.lit(1)).alias("tf")))
     df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (total["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))

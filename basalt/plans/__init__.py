@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import DROPPED, ENTITIES, FUNCTION_WORDS
-from ..operators import capture, check, compress, digest, graph, knowledge, quotes, segment, temporal
+from ..operators import briefing, capture, check, compress, digest, graph, index, knowledge, props, quotes, segment, sketches, temporal
 from ..sources import table
 from ..streaming import activity_stream
 from ..streaming.bursts import error_bursts
@@ -29,6 +29,7 @@ WHAT = {
     "near_duplicates": (digest.near_duplicates, ["documents"]),
     "near_duplicate_members": (digest.near_duplicate_members, ["documents"]),
     "search_ranked": (digest.search_ranked, ["benchmark", "documents"]),
+    "search_indexed": (index.search_indexed, ["benchmark", "documents"]),
     "search_top": (digest.search_top, ["documents"]),
     "digest_markdown": (digest.digest_markdown, ["documents"]),
     "activity_track": (digest.activity_track, ["events"]),
@@ -36,9 +37,13 @@ WHAT = {
     "last_of_another_kind": (temporal.last_of_another_kind, ["clicks"]),
     "errors_before_purchases": (temporal.errors_before_purchases, ["clicks"]),
     "recent_activity": (temporal.recent_activity, ["clicks"]),
+    "prop_keys": (props.prop_keys, ["clicks"]),
+    "item_demand": (props.item_demand, ["clicks"]),
+    "sketched_activity": (sketches.sketched_activity, ["clicks"]),
     "sliding_activity": (sliding_activity, ["clicks"]),
     "client_sessions": (client_sessions, ["clicks"]),
     "error_bursts": (error_bursts, ["clicks"]),
+    "briefing": (briefing.briefing, ["documents"]),
     "links_mermaid": (graph.links_mermaid, ["pages"]),
     "hierarchy_mermaid": (graph.hierarchy_mermaid, ["region", "nation"]),
     "fragments": (knowledge.fragments, ["documents"]),
@@ -99,6 +104,11 @@ KEYWORDS = (
 
 
 def oracle_sql() -> dict[str, str]:
+    found = _oracle_sql()
+    return found | {"search_indexed": found["search_ranked"]}
+
+
+def _oracle_sql() -> dict[str, str]:
     return {
         "page_markdown": rf"SELECT page_id, url, replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&amp;', '&') AS title, {_html()} AS markdown FROM pages",
         "thread_markdown": "SELECT conv_id, count(*) AS n_turns, string_agg('**' || coalesce(role, 'unknown') || '**: ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn NULLS LAST, '**' || coalesce(role, 'unknown') || '**: ' || coalesce(text, '')) AS markdown FROM conversations GROUP BY conv_id",
@@ -146,6 +156,14 @@ SELECT start_hour, kind, count(*) AS n FROM x JOIN w USING (turn) WHERE (start_h
 b AS (SELECT *, m - lag(m) OVER (PARTITION BY client_id ORDER BY m) > 120 AS new FROM e), g AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY client_id ORDER BY m) AS g FROM b)
 SELECT client_id, min(m) AS first_minute, max(m) AS last_minute, count(*) AS n FROM g GROUP BY client_id, g
 HAVING count(*) >= 3 AND max(m) + 120 < (SELECT (max(epoch_us(ts)) // 1000 - 345600000) // 60000 FROM clicks WHERE kind = 'error' AND client_id IS NOT NULL)""",
+        "prop_keys": r"""WITH j AS (SELECT CASE WHEN json_valid(props) THEN props END AS p FROM clicks WHERE props IS NOT NULL),
+t AS (SELECT regexp_replace(x.fullkey, '\[\d+\]', '[]', 'g') AS path, CASE x.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind, x.atom ->> '$' AS atom FROM j, json_tree(j.p) x)
+SELECT path, kind, count(*) AS n, count(DISTINCT CASE WHEN kind = 'number' THEN (atom::DOUBLE)::VARCHAR WHEN kind = 'string' THEN atom END) AS n_different, min(CASE WHEN kind = 'number' THEN atom::DOUBLE END) AS low, max(CASE WHEN kind = 'number' THEN atom::DOUBLE END) AS high FROM t GROUP BY ALL
+UNION ALL SELECT NULL, CASE WHEN props IS NULL THEN 'missing' ELSE 'bad' END, count(*), 0, NULL, NULL FROM clicks WHERE props IS NULL OR NOT json_valid(props) GROUP BY ALL""",
+        "item_demand": """WITH i AS (SELECT row, i -> 'sku' AS sku, i -> 'qty' AS qty FROM (SELECT row, unnest(CASE WHEN json_type(p, '$.items') = 'ARRAY' THEN json_extract(p, '$.items[*]') ELSE [] END) AS i FROM (SELECT row_number() OVER () AS row, CASE WHEN json_valid(props) THEN props END AS p FROM clicks)))
+SELECT sku::BIGINT AS sku, count(DISTINCT row) AS n_clicks, sum(coalesce(CASE WHEN json_type(qty) IN ('UBIGINT', 'BIGINT') THEN qty::BIGINT END, 0))::BIGINT AS quantity FROM i WHERE json_type(sku) IN ('UBIGINT', 'BIGINT') GROUP BY 1""",
+        "sketched_activity": """WITH k AS (SELECT coalesce(kind, 'none') AS kind, client_id, ts::DATE AS day FROM clicks WHERE ts IS NOT NULL)
+SELECT kind, count(*) AS n, count(DISTINCT day) AS n_days, count(DISTINCT client_id) AS n_clients, true AS clients_within, count(DISTINCT day) AS n_medians_within FROM k GROUP BY kind""",
         "last_of_another_kind": f"""WITH {TIMED}, e AS (SELECT *, row_number() OVER (ORDER BY us, click_id NULLS FIRST, kind) AS rn FROM timed WHERE client_id IS NOT NULL AND us IS NOT NULL),
 w AS (SELECT e.*, k.kind AS wanted FROM e JOIN (SELECT DISTINCT kind FROM e) k ON k.kind <> e.kind),
 p AS (SELECT w.rn, max_by({{'id': b.click_id, 'kind': b.kind, 'us': b.us}}, b.rn) AS x FROM w ASOF JOIN e b ON b.client_id = w.client_id AND b.kind = w.wanted AND b.rn < w.rn GROUP BY w.rn)
