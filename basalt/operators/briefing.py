@@ -25,25 +25,25 @@ def sentences(docs: DataFrame) -> DataFrame:
 
 
 def ties(found: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """id, source, sentence, words; and id, term, weight: words that tie an identified sentence to others of its source, weighted so that each sentence's sum to 1 and rarer words more."""
+    """id, source, sentence, words; and id, term, weight, share: words that tie an identified sentence to others of its source, rarer words more, and the weight's share of the sentence's."""
     found = written(found.withColumn("id", F.monotonically_increasing_id()))
     spread = found.select("id", "source", F.explode("words").alias("word")).select("id", F.xxhash64(F.coalesce("source", F.lit("\0")), "word").alias("term"))
     shared = spread.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(2, most))
-    tied = spread.join(shared, "term").select("id", "term", (1.0 / F.ln(F.col("df") + 1)).alias("raw"))
-    total = tied.groupBy("id").agg(F.sum("raw").alias("total"))
-    return found, written(tied.join(total, "id").select("id", "term", (F.col("raw") / F.col("total")).alias("weight")))
+    tied = spread.join(shared, "term").select("id", "term", (1.0 / F.ln(F.col("df") + 1)).alias("weight"))
+    total = tied.groupBy("id").agg(F.sum("weight").alias("total"))
+    return found, written(tied.join(total, "id").select("id", "term", "weight", (F.col("weight") / F.col("total")).alias("share")))
 
 
 def ranked(tied: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """id, score of a walk from sentence to word to sentence: the sentence graph's power iteration, without a row for a pair of sentences.
 
-    A step from a sentence goes to a word by its weight, and from the word to one of its sentences alike, in proportion to theirs; with 1 - damping it begins anew at any sentence.
+    A step from a sentence goes to one of its words by weight, and from the word to one of its sentences by the weight it has there; with 1 - damping it begins anew at any sentence.
     """
     back = tied.groupBy("term").agg(F.sum("weight").alias("all"))
-    walk = written(tied.join(back, "term").select("id", "term", "weight", (F.col("weight") / F.col("all")).alias("back")))
+    walk = written(tied.join(back, "term").select("id", "term", "share", (F.col("weight") / F.col("all")).alias("back")))
     scores = walk.select("id").distinct().withColumn("score", F.lit(1.0))
     for _ in range(rounds):
-        at_terms = walk.join(scores, "id").groupBy("term").agg(F.sum(F.col("score") * F.col("weight")).alias("mass"))
+        at_terms = walk.join(scores, "id").groupBy("term").agg(F.sum(F.col("score") * F.col("share")).alias("mass"))
         scores = written(walk.join(at_terms, "term").groupBy("id").agg((F.sum(F.col("mass") * F.col("back")) * damping + (1 - damping)).alias("score")))
     return scores
 

@@ -65,7 +65,9 @@ def item_demand(rows: DataFrame, id_col: str = "click_id", text: str = "props")
     Typed by schema on read: an item without a whole number as sku is left out, a quantity that is none counts 0; text that is no JSON holds none.
     """
     items = F.try_variant_get(F.try_parse_json(text), "$.items", "array<variant>")
-    spread = rows.select(F.monotonically_increasing_id().alias("row"), F.explode(items).alias("item"))
-    typed = spread.select("row", F.try_variant_get("item", "$.sku", "bigint").alias("sku"), F.coalesce(F.try_variant_get("item", "$.qty", "bigint"), F.lit(0)).alias("qty")).where("sku IS NOT NULL")
+    spread = rows.select(F.monotonically_increasing_id().alias("row"), items.alias("items")).select("row", F.explode("items").alias("item"))
+    at = lambda key: F.try_variant_get("item", f"$.{key}", "variant")
+    whole = lambda v: F.when(F.schema_of_variant(v) == "BIGINT", F.try_variant_get(v, "$", "bigint"))
+    typed = spread.select("row", whole(at("sku")).alias("sku"), F.coalesce(whole(at("qty")), F.lit(0)).alias("qty")).where("sku IS NOT NULL")
     by_row = typed.groupBy("row", "sku").agg(F.sum("qty").alias("qty"))
     return by_row.groupBy("sku").agg(F.count(F.lit(1)).alias("n_clicks"), F.sum("qty").alias("quantity"))
