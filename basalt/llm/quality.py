@@ -135,7 +135,7 @@ def learn(vectors: list, good: np.ndarray, epochs: int = EPOCHS) -> Machine:
     deviation = stats.std(axis=0) if len(stats) else np.ones(len(STATISTICS))
     rng = np.random.default_rng(0)
     m = Machine(0.0, np.zeros(PLACES), rng.normal(0, 0.05, (PLACES, RANK)), stats.mean(axis=0) if len(stats) else np.zeros(len(STATISTICS)), np.where(deviation > 1e-9, deviation, 1.0))
-    if not 0 < share < 1:
+    if not vectors or not 0 < share < 1:
         m.share = share
         return m
     order = rng.permutation(len(vectors))

@@ -33,9 +33,18 @@ def test_stages_in_order(spark):
 
 @pytest.mark.parametrize("k", range(5))
 def test_stage_takes_odd_rows(spark, k):
-    odd = spark.createDataFrame(ODD, SCHEMA).withColumns({c: F.lit("x") for c in ("lang_pred", "score", "n_lines", "size", "copies", "kept")})
+    extra = ("lang_pred", "score", "n_lines", "size", "source_size", "target", "copies", "kept")
+    odd = spark.createDataFrame(ODD, SCHEMA).withColumns({c: F.concat(F.lit(c), F.coalesce("doc_id", F.lit(0))) for c in extra})
     stage = corpus_pipeline.STAGES[k][1]
-    stage(spark, odd, FOLDER).collect()
+    found = stage(spark, odd, FOLDER)
+    rows = found.collect()
+    if k < 4:  # further columns of any name go with their rows
+        assert found.columns == odd.columns and rows
+        assert all(r[c] == f"{c}{r.doc_id or 0}" for r in rows for c in extra)
+    if k == 1:
+        assert {r.doc_id: r.text for r in rows if r.doc_id in (3, 4, 7)} == {d: t for d, t, *_ in ODD if d in (3, 4, 7)}
+    if k == 2:
+        assert sum(r.doc_id in (4, 5) for r in rows) == 1 and {3, 6, 7} < {r.doc_id for r in rows}
     assert stage(spark, odd.limit(0), FOLDER).count() == 0
 
 
