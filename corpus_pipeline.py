@@ -41,7 +41,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that sources meet their target weights."""
-    return mixing.mix_sources(docs)
+    clash = {c: f"__{c}" for c in mixing.ADDED if c in docs.columns}
+    mixed = mixing.mix_sources(docs.withColumnsRenamed(clash))
+    return mixed.withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
