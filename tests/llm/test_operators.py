@@ -356,9 +356,10 @@ def test_lm_other_documents(spark):
         raw = (t or "").encode()
         background = witten_bell([x.encode() for g, x in held.items() if dealt[g] != own[d]], lm_scoring.ORDER)
         target = witten_bell([held[g].encode() for g in (0, 2) if dealt[g] != own[d]], lm_scoring.ORDER)
-        s = (0,) * 4 + tuple(c + 1 for c in raw) + (0,)
+        m = lm_scoring.ORDER - 1
+        s = (0,) * m + tuple(c + 1 for c in raw) + (0,)
         for got, p in ((rows[d].loss_target, target), (rows[d].loss_background, background)):
-            assert np.isclose(got, -sum(np.log(p(s[i - 4 : i], s[i])) for i in range(4, len(s))) / (len(raw) + 1) if raw else 0.0, rtol=1e-5)
+            assert np.isclose(got, -sum(np.log(p(s[i - m : i], s[i])) for i in range(m, len(s))) / (len(raw) + 1) if raw else 0.0, rtol=1e-5)
 
 
 def test_a_document_counts_in_neither_model(spark):
