@@ -51,6 +51,8 @@ def run_in_turns(rows: DataFrame, turns: int, build: Callable[[DataFrame], DataF
     try:
         rows.write.partitionBy("turn").parquet(f"{own}/in")
         there = {r["turn"] for r in spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema.fields)}, turn int").parquet(f"{own}/in").select("turn").distinct().collect()}  # a row a turn
+        if not there:
+            return spark.createDataFrame([], out)
         for turn in range(turns):
             if turn not in there:
                 spark.createDataFrame([], schema).coalesce(1).write.parquet(f"{own}/in/turn={turn}")
