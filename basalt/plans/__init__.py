@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import DROPPED, ENTITIES, FUNCTION_WORDS
-from ..operators import briefing, capture, check, compress, digest, graph, index, knowledge, props, quotes, segment, sketches, temporal
+from ..operators import briefing, capture, check, compress, digest, graph, index, knowledge, props, quotes, ranking, segment, sketches, temporal
 from ..sources import table
 from ..streaming import activity_stream
 from ..streaming.bursts import error_bursts
@@ -45,6 +45,8 @@ WHAT = {
     "error_bursts": (error_bursts, ["clicks"]),
     "briefing": (briefing.briefing, ["documents"]),
     "links_mermaid": (graph.links_mermaid, ["pages"]),
+    "link_authorities": (ranking.authorities, ["pages"]),
+    "page_communities": (ranking.communities, ["pages"]),
     "hierarchy_mermaid": (graph.hierarchy_mermaid, ["region", "nation"]),
     "fragments": (knowledge.fragments, ["documents"]),
     "fragment_keywords": (knowledge.fragment_keywords, ["documents"]),
@@ -94,6 +96,7 @@ top AS (SELECT source, doc_id, tf, row_number() OVER (PARTITION BY source ORDER
 FRAGMENTS = r"f AS (SELECT doc_id, lang, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean FROM documents WHERE n_chars < 200)"
 TURNS = """c AS (SELECT coalesce(kind, 'none') AS kind, epoch_us(ts) AS us, epoch_us(coalesce(arrived_at, ts)) AS came FROM clicks {}),
 t AS (SELECT *, (came - (SELECT min(came) FROM c)) * 4 // (SELECT max(came) - min(came) + 1 FROM c) AS turn FROM c), w AS (SELECT k AS turn, (SELECT max(us // 1000) - 43200000 FROM t WHERE turn < k) AS w FROM range(4) r(k))"""
+EDGES = """e AS MATERIALIZED (SELECT DISTINCT page_id, target FROM (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '<a href="([^"]*)">', 1)) AS target FROM pages WHERE page_id IS NOT NULL))"""
 TIMED = "timed AS (SELECT click_id, client_id, coalesce(kind, 'none') AS kind, epoch_us(ts) AS us FROM clicks)"
 KEYWORDS = (
     FRAGMENTS
@@ -105,7 +108,15 @@ KEYWORDS = (
 
 def oracle_sql() -> dict[str, str]:
     found = _oracle_sql()
-    return found | {"search_indexed": found["search_ranked"]}
+    return found | {"search_indexed": found["search_ranked"], "link_authorities": _authorities()}
+
+
+def _authorities() -> str:
+    steps = [EDGES, "h0 AS MATERIALIZED (SELECT DISTINCT page_id, 1.0::DOUBLE AS v FROM e)"]
+    for k in range(1, ranking.ROUNDS + 1):
+        for new, old, key, by in (("a", f"h{k - 1}", "target", "page_id"), ("h", f"a{k}", "page_id", "target")):
+            steps.append(f"{new}{k}s AS MATERIALIZED (SELECT {key}, sum(v) AS v FROM e JOIN {old} USING ({by}) GROUP BY {key}), {new}{k} AS MATERIALIZED (SELECT {key}, v / (SELECT max(v) FROM {new}{k}s) AS v FROM {new}{k}s)")
+    return f"WITH {', '.join(steps)} SELECT target, count(*) AS n_pages, round(any_value(v), 6) AS authority FROM e JOIN a{ranking.ROUNDS} USING (target) GROUP BY target"
 
 
 def _oracle_sql() -> dict[str, str]:
@@ -164,6 +175,10 @@ UNION ALL SELECT NULL, CASE WHEN props IS NULL THEN 'missing' ELSE 'bad' END, co
 SELECT sku::BIGINT AS sku, count(DISTINCT row) AS n_clicks, sum(coalesce(CASE WHEN json_type(qty) IN ('UBIGINT', 'BIGINT') THEN qty::BIGINT END, 0))::BIGINT AS quantity FROM i WHERE json_type(sku) IN ('UBIGINT', 'BIGINT') GROUP BY 1""",
         "sketched_activity": """WITH k AS (SELECT coalesce(kind, 'none') AS kind, client_id, ts::DATE AS day FROM clicks WHERE ts IS NOT NULL)
 SELECT kind, count(*) AS n, count(DISTINCT day) AS n_days, count(DISTINCT client_id) AS n_clients, true AS clients_within, count(DISTINCT day) AS n_medians_within FROM k GROUP BY kind""",
+        "page_communities": f"""WITH RECURSIVE {EDGES}, t AS MATERIALIZED (SELECT page_id, target FROM e WHERE target IN (SELECT target FROM e GROUP BY target HAVING count(*) BETWEEN 2 AND 4)),
+n AS MATERIALIZED (SELECT DISTINCT x.page_id AS a, y.page_id AS b FROM t x JOIN t y USING (target)), p AS MATERIALIZED (SELECT DISTINCT page_id FROM pages WHERE page_id IS NOT NULL),
+r AS (SELECT page_id, page_id AS reach FROM p UNION SELECT r.page_id, n.b FROM r JOIN n ON r.reach = n.a), c AS (SELECT page_id, min(reach) AS community FROM r GROUP BY page_id)
+SELECT page_id, community, count(*) OVER (PARTITION BY community) AS n_pages FROM c""",
         "last_of_another_kind": f"""WITH {TIMED}, e AS (SELECT *, row_number() OVER (ORDER BY us, click_id NULLS FIRST, kind) AS rn FROM timed WHERE client_id IS NOT NULL AND us IS NOT NULL),
 w AS (SELECT e.*, k.kind AS wanted FROM e JOIN (SELECT DISTINCT kind FROM e) k ON k.kind <> e.kind),
 p AS (SELECT w.rn, max_by({{'id': b.click_id, 'kind': b.kind, 'us': b.us}}, b.rn) AS x FROM w ASOF JOIN e b ON b.client_id = w.client_id AND b.kind = w.wanted AND b.rn < w.rn GROUP BY w.rn)
