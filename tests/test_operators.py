@@ -48,7 +48,7 @@ def odd(spark, tmp_path_factory):
             json = ['{"k": 1, "a": [1, "x", null, {"b": 2.5}]}', None, '{"k": "1", "items": [{"sku": 3, "qty": 2}, {"sku": 3}]}', '{"k": ', '{"items": [{"sku": 4, "qty": "x"}, 7]}']
             df = df.withColumn("arrived_at", F.col("came").cast("timestamp_ntz")).drop("came")
             df = df.withColumn("props", F.get(F.array(*map(F.lit, json)), F.pmod("click_id", F.lit(5)).cast("int")))
-        df = df.withColumns({c: F.lit("x") for c in ("word", "n", "rank", "s", "id", "h", "key", "tf", "w", "words", "level", "us", "turn", "day", "bucket", "k1", "ask")})
+        df = df.withColumns({c: F.lit("x") for c in ("word", "n", "rank", "s", "id", "h", "key", "tf", "w", "words", "level", "us", "turn", "day", "bucket", "k1", "ask") if c not in df.columns})
         df.coalesce(1).write.parquet(f"{folder}/{name}.parquet")
         df.limit(0).coalesce(1).write.parquet(f"{folder}/none/{name}.parquet")
     return folder
