@@ -97,6 +97,17 @@ FRAGMENTS = r"f AS (SELECT doc_id, lang, trim(regexp_replace(text, '\s+', ' ', '
 TURNS = """c AS (SELECT coalesce(kind, 'none') AS kind, epoch_us(ts) AS us, epoch_us(coalesce(arrived_at, ts)) AS came FROM clicks {}),
 t AS (SELECT *, (came - (SELECT min(came) FROM c)) * 4 // (SELECT max(came) - min(came) + 1 FROM c) AS turn FROM c), w AS (SELECT k AS turn, (SELECT max(us // 1000) - 43200000 FROM t WHERE turn < k) AS w FROM range(4) r(k))"""
 EDGES = """e AS MATERIALIZED (SELECT DISTINCT page_id, target FROM (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '<a href="([^"]*)">', 1)) AS target FROM pages WHERE page_id IS NOT NULL))"""
+#: Claims and texts that share four words in a row, each pair aligned as a whole; a cell is errors * 2^20 less the start, the best one errors * 2^40 and the end * 2^20 besides.
+QUOTES = r"""c AS (SELECT row_number() OVER () AS ask, item_id, list_transform(regexp_extract_all(text, '\p{L}+'), lambda x: lower(x)) AS w FROM benchmark WHERE text IS NOT NULL),
+d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, source, text, list_transform(regexp_extract_all(text, '\p{L}+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
+p AS MATERIALIZED (SELECT DISTINCT ask, id FROM (SELECT ask, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) AS g FROM c WHERE len(w) >= 4)
+     JOIN (SELECT id, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) AS g FROM d WHERE len(w) >= 4) USING (g)),
+x AS (SELECT item_id, doc_id, source, text, len(c.w) AS n_words, list_reduce(list_prepend(list_append(list_transform(range(0, len(c.w) + 1), lambda i: i * 1048576 + 1048575), len(c.w) * 1099511627776 + 1048575),
+      list_transform(d.w, lambda y: list_transform(c.w, lambda z: (z <> y)::BIGINT))), lambda s, e, j:
+      list_transform([list_transform(range(0, len(s) - 1), lambda i: CASE WHEN i = 0 THEN 1048576 - j ELSE least(s[i] + e[i] * 1048576, s[i + 1] + 1048576) END)], lambda t:
+        list_transform([list_transform(range(1, len(t) + 1), lambda i: list_min(list_transform(t[1:i], lambda v, k: v + (i - k) * 1048576)))], lambda u:
+          list_append(u, least(s[-1], (u[-1] >> 20) * 1099511627776 + (j - 1) * 1048576 + (u[-1] & 1048575))))[1])[1])[-1] AS b FROM p JOIN c USING (ask) JOIN d USING (id)),
+q AS (SELECT item_id, doc_id, source, n_words, b >> 40 AS errors, 1048575 - (b & 1048575) AS first_word, (b >> 20) & 1048575 AS upto, regexp_extract_all(text, '\P{L}*\p{L}+') AS chunks FROM x WHERE b >> 40 <= (n_words - 4) // 5)"""
 TIMED = "timed AS (SELECT click_id, client_id, coalesce(kind, 'none') AS kind, epoch_us(ts) AS us FROM clicks)"
 KEYWORDS = (
     FRAGMENTS
@@ -126,6 +137,9 @@ def _oracle_sql() -> dict[str, str]:
         "qa_pairs": "SELECT conv_id, turn, text AS question, answer FROM (SELECT *, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST)) WHERE role = 'user'",
         "strip_function_words": f"SELECT doc_id, lang, array_to_string({CONTENT.format(TOKENS)}, ' ') AS compressed FROM documents",
         "compression_stats": f"SELECT lang, count(*) AS n_docs, sum(length(text))::BIGINT AS chars_before, sum(length(x))::BIGINT AS chars_after, round(sum(length(x)) / nullif(sum(length(text)), 0), 6) AS ratio FROM (SELECT lang, text, array_to_string({CONTENT.format(TOKENS)}, ' ') AS x FROM documents) GROUP BY lang",
+        "near_quotes": f"""WITH {QUOTES} SELECT item_id, doc_id, source, n_words, errors, first_word, upto - first_word AS n_quoted,
+(list_sum(list_transform(chunks[1:first_word + 1], lambda x: length(x))) - length(regexp_extract(chunks[first_word + 1], '\\p{{L}}+')))::BIGINT AS first_char, list_sum(list_transform(chunks[1:upto], lambda x: length(x)))::BIGINT AS end_char FROM q""",
+        "said_nearly": f"WITH {QUOTES} SELECT item_id, source, count(*) AS n_docs, count(*) FILTER (errors > 0) AS n_changed, min(errors) AS fewest_errors FROM q GROUP BY item_id, source",
         "found_words": r"""WITH r AS (SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}{1,256}')) AS run FROM documents) GROUP BY run),
 p AS (SELECT n, '^' || run || '$' AS run FROM r), l AS (SELECT n, run, unnest(range(1, length(run) + 1)) AS i FROM p),
 g AS MATERIALIZED (SELECT word, length(word) AS k, sum(n)::BIGINT AS n FROM (SELECT n, run[i:i + k - 1] AS word FROM l, range(1, 6) t(k) WHERE i + k <= length(run) + 1) GROUP BY word),
