@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import is_function_word, tokens
+from ..functions import FUNCTION_WORDS, bounded, is_function_word, tokens
 from ..sources import written
 
 #: A word ties sentences of its source if at least two and at most MOST of them hold it.
@@ -14,38 +18,142 @@ ROUNDS = 8
 DAMPING = 0.85
 #: Sentences of a source that are weighed against one another for the choice.
 POOL = 20
+#: Sentences that meet in one block, about; larger sources are spread over several, small ones share one.
+BLOCK = 100_000
+#: One sentence in so many shows which words are too frequent to be sent to a block.
+ONE_IN = 16
+TIES = "q long, p long, terms binary, df binary, ids binary, slots binary"
+PLACED = "p long, q long, ids binary, places binary, slots binary, weights binary"
+MASS = "q long, p long, mass binary"
+
+
+def content(sentence: Column, langs: Column) -> Column:
+    """The different content words, by one of its languages: the least of those that have four words or more."""
+    of = lambda k, lang: F.when(langs.bitwiseAND(F.lit(1 << k)) != 0, F.array_distinct(F.filter(tokens(sentence), lambda w: ~is_function_word(w, F.lit(lang)))))
+    return F.array_min(F.filter(F.array(*[of(k, lang) for k, lang in enumerate(["", *FUNCTION_WORDS])]), lambda w: F.size(w) >= 4))
 
 
 def sentences(docs: DataFrame) -> DataFrame:
-    """source, sentence, words, of the different sentences of at least four different content words: stretches of text up to ``.``, ``!``, ``?`` or a line's end."""
-    spread = docs.where("text IS NOT NULL").select("source", "lang", F.explode(F.split("text", r"(?<=[.!?])\s+|\n")).alias("sentence"))
-    spread = spread.select("source", F.trim(F.regexp_replace("sentence", r"\s+", " ")).alias("sentence"), F.array_distinct(F.filter(tokens(F.col("sentence")), lambda w: ~is_function_word(w, F.col("lang")))).alias("words"))
-    # a sentence that stands in several documents counts once, under the words of one of its languages
-    return spread.where(F.size("words") >= 4).groupBy("source", "sentence").agg(F.min("words").alias("words"))
+    """source, sentence, langs (a bit a language), of the different sentences of at least four different content words: stretches of text up to ``.``, ``!``, ``?`` or a line's end."""
+    lang = F.coalesce(*[F.when(F.col("lang") == name, F.lit(1 << k)) for k, name in enumerate(FUNCTION_WORDS, 1)], F.lit(1)).cast("long")
+    spread = docs.where("text IS NOT NULL").select("source", lang.alias("lang"), F.explode(F.split("text", r"(?<=[.!?])\s+|\n")).alias("sentence"))
+    spread = spread.select("source", "lang", F.trim(F.regexp_replace("sentence", r"\s+", " ")).alias("sentence")).where(F.length("sentence") >= 7)
+    # a sentence that stands in several documents counts once, under the words of one of its languages; words are made once a sentence, and aren't sent
+    return spread.groupBy("source", "sentence").agg(F.bit_or("lang").alias("langs")).where(content(F.col("sentence"), F.col("langs")).isNotNull())
+
+
+def _numbers(x: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(x, kind)
+
+
+def _block(most: int):
+    """Of the words of a block: the ties to each block of sentences; a slot is a word that sentences there hold."""
 
+    def of(key, rows):
+        n = rows["terms"].map(len).to_numpy()
+        at, ids, terms = np.repeat(rows["p"].to_numpy(), n), np.repeat(rows["id"].to_numpy(), n), np.concatenate(rows["terms"].to_list())
+        _, term, df = np.unique(terms, return_inverse=True, return_counts=True)
+        kept = (df >= 2) & (df <= most)
+        number, df = (np.cumsum(kept) - 1).astype("i4"), df[kept].astype("i4")
+        held = kept[term]
+        at, ids, term = at[held], ids[held], number[term[held]]
+        order = np.lexsort((term, ids, at))
+        at, ids, term = at[order], ids[order], term[order]
+        out = []
+        for p, start, end in zip(*_stretches(at), strict=True):
+            there, slots = np.unique(term[start:end], return_inverse=True)
+            out.append((key[0], p, there.astype("i4").tobytes(), df[there].tobytes(), ids[start:end].tobytes(), slots.astype("i4").tobytes()))
+        return pd.DataFrame(out, columns=["q", "p", "terms", "df", "ids", "slots"])
 
-def ties(found: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """id, source, sentence, words; and id, term, weight, share: words that tie an identified sentence to others of its source, rarer words more, and the weight's share of the sentence's."""
+    return of
+
+
+def _stretches(at: np.ndarray):
+    """Values of a sorted array, where each begins and where it ends."""
+    values, start = np.unique(at, return_index=True)
+    return values.tolist(), start.tolist(), [*start[1:].tolist(), len(at)] if len(start) else []
+
+
+def ties(found: DataFrame, most: int = MOST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """id, source, sentence, langs; and the words that tie identified sentences to others of their source, by block of words q and of sentences p.
+
+    Blocks keep to their source as far as its size allows, so that most words have their sentences in few blocks. A sentence's words are sent once, as hashes.
+    """
     found = written(found.withColumn("id", F.monotonically_increasing_id()))
-    spread = found.select("id", "source", F.explode("words").alias("word")).select("id", F.xxhash64(F.coalesce("source", F.lit("\0")), "word").alias("term"))
-    shared = spread.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(2, most))
-    tied = spread.join(shared, "term").select("id", "term", (1.0 / F.ln(F.col("df") + 1)).alias("weight"))
-    total = tied.groupBy("id").agg(F.sum("weight").alias("total"))
-    return found, written(tied.join(total, "id").select("id", "term", "weight", (F.col("weight") / F.col("total")).alias("share")))
+    home = F.coalesce("source", F.lit("\0"))
+    sizes = written(found.groupBy(home.alias("home")).agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / block).cast("long")))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("parts"), F.lit(1))).head()
+    blocks = max(1, math.ceil(total[0] / block))
+    words = found.select("id", home.alias("home"), F.transform(content(F.col("sentence"), F.col("langs")), lambda w: F.xxhash64(home, w)).alias("terms"))
+    if total[1] > 1:
+        # words whose sample alone is beyond the limit tie none; those of more sentences than a block has aren't sent to one, and are few
+        seen = words.where(F.pmod("id", F.lit(ONE_IN)) == 0).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        heavy = [r.term for r in seen.where(F.col("n") > max(most, block // ONE_IN)).collect()]
+        words = words.withColumn("terms", F.filter("terms", lambda t: ~t.isin(heavy))) if heavy else words
+    words = words.join(bounded(sizes.select("home", "parts")), "home")
+    place = lambda part: F.pmod(F.xxhash64("home") + part, F.lit(blocks))
+    words = words.select("id", "terms", "parts", F.xxhash64("home").alias("at"), place(F.pmod(F.xxhash64("id"), "parts")).alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    words = words.select(F.pmod(F.col("at") + F.col("part"), F.lit(blocks)).alias("q"), "p", "id", F.filter("terms", lambda t: F.pmod(t, F.col("parts")) == F.col("part")).alias("terms"))
+    return found, written(words.where(F.size("terms") > 0).groupBy("q").applyInPandas(_block(most), TIES))
+
+
+def _placed(key, rows):
+    """A block of sentences: its ``ids`` in a row of its own, and each tie's place among them."""
+    rows = rows.sort_values("q")
+    ids = [_numbers(x, "i8") for x in rows["ids"]]
+    every, places = np.unique(np.concatenate(ids), return_inverse=True)
+    out, start = [(key[0], -1, every.tobytes(), b"", b"", b"")], 0
+    for q, mine, slots, df in zip(rows["q"], ids, rows["slots"], rows["df"], strict=True):
+        out.append((key[0], q, b"", places[start : start + len(mine)].astype("i4").tobytes(), slots, (1 / np.log(_numbers(df, "i4") + 1.0)).tobytes()))
+        start += len(mine)
+    return pd.DataFrame(out, columns=["p", "q", "ids", "places", "slots", "weights"])
+
+
+def _of_sentences(damping: float, last: bool):
+    """What a block of sentences gives the blocks of words, or its scores in the ``last`` round. Nothing came before the first."""
+
+    def of(key, placed, came=None):
+        ids = _numbers(placed.loc[placed["q"] < 0, "ids"].iloc[0], "i8")
+        parts = [(q, _numbers(a, "i4"), _numbers(s, "i4"), _numbers(w, "f8")) for q, a, s, w in placed.loc[placed["q"] >= 0, ["q", "places", "slots", "weights"]].sort_values("q").itertuples(index=False)]
+        total, score = np.zeros(len(ids)), np.ones(len(ids))
+        for _, at, slots, weights in parts:
+            total += np.bincount(at, weights[slots], len(ids))
+        if came is not None:
+            mass = dict(zip(came["q"], came["mass"], strict=True))
+            score = sum(np.bincount(at, _numbers(mass[q], "f8")[slots], len(ids)) for q, at, slots, _ in parts) * damping + (1 - damping)
+        if last:
+            return pd.DataFrame({"id": ids, "score": score})
+        return pd.DataFrame([(q, key[0], np.bincount(slots, (score / total)[at], len(weights)).tobytes()) for q, at, slots, weights in parts], columns=["q", "p", "mass"])
+
+    return of
+
+
+def _of_words(key, tied, came):
+    """What a block of words gives back to the blocks of sentences: each word by weight, in equal parts to its sentences."""
+    mass = dict(zip(came["p"], came["mass"], strict=True))
+    parts = [(p, _numbers(t, "i4"), _numbers(d, "i4")) for p, t, d in tied[["p", "terms", "df"]].sort_values("p").itertuples(index=False)]
+    n = 1 + max(int(t.max()) for _, t, _ in parts)
+    at_words, rate = np.zeros(n), np.zeros(n)
+    for p, terms, df in parts:
+        at_words[terms] += _numbers(mass[p], "f8")
+        rate[terms] = 1 / np.log(df + 1.0) / df
+    at_words *= rate
+    return pd.DataFrame([(key[0], p, at_words[terms].tobytes()) for p, terms, _ in parts], columns=["q", "p", "mass"])
 
 
 def ranked(tied: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """id, score of a walk from sentence to word to sentence: the sentence graph's power iteration, without a row for a pair of sentences.
 
     A step from a sentence goes to one of its words by weight, and from the word to one of its sentences by the weight it has there; with 1 - damping it begins anew at any sentence.
+    Blocks exchange one number for each word and block of sentences that holds it; the ties stay, as Spark reuses their exchange in every round.
     """
-    back = tied.groupBy("term").agg(F.sum("weight").alias("all"))
-    walk = written(tied.join(back, "term").select("id", "term", "share", (F.col("weight") / F.col("all")).alias("back")))
-    scores = walk.select("id").distinct().withColumn("score", F.lit(1.0))
-    for _ in range(rounds):
-        at_terms = walk.join(scores, "id").groupBy("term").agg(F.sum(F.col("score") * F.col("share")).alias("mass"))
-        scores = written(walk.join(at_terms, "term").groupBy("id").agg((F.sum(F.col("mass") * F.col("back")) * damping + (1 - damping)).alias("score")))
-    return scores
+    placed = written(tied.select("p", "q", "ids", "slots", "df").groupBy("p").applyInPandas(_placed, PLACED)).groupBy("p")
+    of_words = tied.select("q", "p", "terms", "df").groupBy("q")
+    mass = placed.applyInPandas(lambda key, rows: _of_sentences(damping, False)(key, rows), MASS)
+    for k in range(1, rounds + 1):
+        back = of_words.cogroup(mass.groupBy("q")).applyInPandas(_of_words, MASS)
+        mass = placed.cogroup(back.groupBy("p")).applyInPandas(_of_sentences(damping, k == rounds), "id long, score double" if k == rounds else MASS)
+    return written(mass)
 
 
 def briefing(docs: DataFrame, k: int = 3, pool: int = POOL) -> DataFrame:
@@ -59,7 +167,9 @@ def briefing(docs: DataFrame, k: int = 3, pool: int = POOL) -> DataFrame:
     """
     found, tied = ties(sentences(docs))
     scores = ranked(tied).withColumn("score", F.round("score", 6))
-    best = found.join(scores, "id")
+    # by score alone first, all ties kept, so that sentences stay where they are
+    ahead = found.select("id", "source").join(scores, "id").withColumn("place", F.rank().over(Window.partitionBy("source").orderBy(F.desc("score"))))
+    best = found.join(bounded(ahead.where(F.col("place") <= pool).select("id", "score")), "id").withColumn("words", content(F.col("sentence"), F.col("langs")))
     order = Window.partitionBy("source").orderBy(F.desc("score"), "sentence")
     best = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pool)
     groups = best.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("place", "sentence", "score", "words"))).alias("pool"))

@@ -70,3 +70,19 @@ def test_a_word_makes_few_ties(spark):
     docs = [(i, "s", "en", f"common word every sentence{chr(97 + i % 26)}{chr(97 + i // 26)}.") for i in range(100)]
     found, tied = briefing.ties(briefing.sentences(spark.createDataFrame(docs, SCHEMA)))
     assert found.count() == 100 and tied.count() == 0
+
+
+def test_blocks_send_less_than_ties(spark):
+    """Sentences over many small blocks score as in one, and a block is sent one number for a word, however many of its sentences hold it."""
+    rng = random.Random(3)
+    vocabulary = [f"{a}{b}{c}" for a in "kstb" for b in "aeiou" for c in "klmnr"]
+    docs = [(d, f"s{d % 3}" if d % 3 else None, "en", " ".join(rng.choices(vocabulary, k=9)) + f" {chr(97 + d % 26)}{chr(97 + d // 26)}.") for d in range(300)]
+    found = briefing.sentences(spark.createDataFrame(docs, SCHEMA))
+    scores = []
+    for block in (1000, 20):
+        kept, tied = briefing.ties(found, block=block)
+        scores.append({r.sentence: r.score for r in kept.join(briefing.ranked(tied), "id").collect()})
+        rows = tied.collect()
+        n_ties, n_sent = sum(len(r.ids) for r in rows) // 8, sum(len(r.terms) for r in rows) // 4
+        assert n_ties > 1000 and len(rows) > (block == 20) and n_sent < n_ties / (1.2 if block == 20 else 5), (n_ties, n_sent)
+    assert scores[0].keys() == scores[1].keys() and np.allclose([scores[0][k] for k in scores[0]], [scores[1][k] for k in scores[0]], atol=1e-9)
