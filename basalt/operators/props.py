@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 DEPTH = 6
 
 
-def kind(value: Column) -> Column:
-    """object, array, string, number, boolean or null."""
-    name = F.schema_of_variant(value)
+def _kind(name: Column) -> Column:
+    """object, array, string, number, boolean or null, of a variant's schema."""
     other = F.when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array").when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name == "VOID", "null")
     return other.otherwise("number")
 
@@ -19,29 +18,20 @@ def kind(value: Column) -> Column:
 def values(rows: DataFrame, id_col: str = "click_id", text: str = "props", depth: int = DEPTH) -> DataFrame:
     """id, path, kind, number, string of each value in the JSON of ``text``, containers too. A path is ``$``, then ``.key`` and ``[]`` for an element of an array.
 
-    One pass without a shuffle; each level is spread from the one above it.
+    One pass without a shuffle or a lambda; each level is spread from the one above it. A container waits in ``found`` and goes on with the first of what it holds.
     """
-    level = rows.select(F.col(id_col).alias("id"), F.lit("$").alias("path"), F.try_parse_json(text).alias("v")).where("v IS NOT NULL")
-    at = F.struct(F.lit("$").alias("path"), F.col("v").alias("v"))
-    # the values of a row at all levels so far, opened one level further each time, within the row
-    level = level.select("id", F.array(at).alias("found"), F.array(at).alias("open"))
+    v, tables = F.col("v"), rows.sparkSession.tvf
+    at = lambda path, value: F.array(F.struct(path.alias("path"), value.alias("v")))
+    level = rows.select(F.col(id_col).alias("id"), F.lit("$").alias("path"), F.try_parse_json(text).alias("v")).where("v IS NOT NULL").withColumn("found", at(F.col("path"), v))
     for _ in range(depth):
-        level = level.select("id", "found", F.flatten(F.transform("open", _inside)).alias("open"))
-        level = level.select("id", F.concat("found", "open").alias("found"), "open")
+        level = level.lateralJoin(tables.variant_explode_outer(v.outer()).select("pos", "key", F.col("value").alias("inner")))
+        level = level.select("id", "found", "pos", "inner", F.concat("path", F.coalesce(F.concat(F.lit("."), "key"), F.lit("[]"))).alias("path"))
+        one = at(F.col("path"), F.col("inner"))
+        level = level.select("id", "path", F.col("inner").alias("v"), F.when(F.col("pos").isNull(), F.col("found")).when(F.col("pos") == 0, F.concat("found", one)).otherwise(one).alias("found"))
     flat = level.select("id", F.explode("found").alias("x")).select("id", "x.path", "x.v")
-    return flat.select("id", "path", kind(F.col("v")).alias("kind"), F.when(kind(F.col("v")) == "number", F.try_variant_get("v", "$", "double")).alias("number"), F.when(kind(F.col("v")) == "string", F.try_variant_get("v", "$", "string")).alias("string"))
-
-
-def _inside(x: Column) -> Column:
-    """Path and value of what a container holds; nothing for another value."""
-    keyed = F.map_entries(F.try_variant_get(x["v"], "$", "map<string, variant>"))
-    listed = F.try_variant_get(x["v"], "$", "array<variant>")
-    of_keys = F.transform(keyed, lambda e: F.struct(F.concat(x["path"], F.lit("."), e["key"]).alias("path"), e["value"].alias("v")))
-    of_list = F.transform(listed, lambda e: F.struct(F.concat(x["path"], F.lit("[]")).alias("path"), e.alias("v")))
-    none = F.array().cast("array<struct<path: string, v: variant>>")
-    # an absent value within a container is a variant of null
-    filled = lambda found: F.transform(found, lambda e: F.struct(e["path"].alias("path"), F.coalesce(e["v"], F.parse_json(F.lit("null"))).alias("v")))
-    return F.when(kind(x["v"]) == "object", F.coalesce(filled(of_keys), none)).when(kind(x["v"]) == "array", F.coalesce(filled(of_list), none)).otherwise(none)
+    # an explosion holds the kind, as each use in a projection on another would make it anew
+    typed = flat.select("id", "path", "v", F.explode(F.array(F.schema_of_variant("v"))).alias("name")).select("id", "path", "v", _kind(F.col("name")).alias("kind"))
+    return typed.select("id", "path", "kind", F.when(F.col("kind") == "number", F.try_variant_get("v", "$", "double")).alias("number"), F.when(F.col("kind") == "string", F.try_variant_get("v", "$", "string")).alias("string"))
 
 
 def prop_keys(rows: DataFrame, id_col: str = "click_id", text: str = "props") -> DataFrame:

@@ -64,3 +64,17 @@ def test_sketches_merge_over_days(spark, clients):
         exact = len({c for _, c, k, _ in rows if k == kind})
         assert abs(got[name] - exact) <= sketches.STATED * exact + 1
     assert all(r.clients_within and r.n_medians_within == r.n_days == 10 for r in sketches.sketched_activity(df).collect())
+
+
+def test_levels_are_spread_and_made_once(spark):
+    """Containers of any number of values, first ones too, stand once each; the plan has no lambda and makes a value's schema once."""
+    df = spark.createDataFrame([(1, '[[], {}, [[{"a": [1, {"b": []}]}, 2], 3], {"c": {"d": null}}]')], "click_id long, props string")
+    found = props.values(df)
+    text = found._jdf.queryExecution().analyzed().toString()
+    assert "lambda" not in text and text.count("schema_of_variant") == 1, text
+    got = collections.defaultdict(list)
+    for r in found.collect():
+        got[r.path].append(r.kind)
+    model = collections.defaultdict(list)
+    inside("$", json.loads(df.head().props), model)
+    assert {k: sorted(v) for k, v in got.items()} == {p: sorted(k for (q, k), vs in model.items() if q == p for _ in vs) for p, _ in model}
