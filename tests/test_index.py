@@ -20,3 +20,22 @@ def test_pruned_search_is_whole_and_reads_less(spark, tmp_path, block):
         rows = lambda df: sorted((str(r.item_id), r["rank"], str(r.doc_id), r.score) for r in df.collect())
         assert rows(ranked) == rows(digest.search_ranked(asked, docs))
         assert 0 < read["read"] < (0.5 if block == 4 else 1.01) * read["postings"], (seed, read)
+
+
+def test_blocks_end_with_batches(spark, tmp_path):
+    """Postings of a word and block stand in one row though batches cut the blocks, and what holds for a word is in its heads; weights aren't stored with postings."""
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices("abcdefgh", k=rng.randrange(0, 9)))) for i in range(200)], "doc_id long, text string")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 10)
+    try:
+        index.build(docs, str(tmp_path / "index"))
+    finally:
+        spark.conf.set(name, before)
+    postings, heads = [spark.read.parquet(str(tmp_path / "index" / x)).collect() for x in ("postings", "heads")]
+    assert len({(r.word, r.block) for r in postings}) == len(postings) == len(heads) and all(len(r.rows) <= 10 for r in postings)
+    assert sorted((r.word, x.doc_id, x.tf, x.length) for r in postings for x in r.rows) == sorted((w, d, t.split().count(w), len(t.split())) for d, t in docs.collect() for w in set(t.split()))
+    assert len({(r.word, r.idf) for r in heads}) == 8 and sum(r.n for r in heads) == sum(len(r.rows) for r in postings)
+    asked = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert index.search(spark, str(tmp_path / "index"), asked)[0].collect() == digest.search_ranked(asked, docs).collect()
