@@ -30,18 +30,11 @@ def stretch_counts(docs: DataFrame, script: str = LETTERS) -> DataFrame:
     return docs.select(F.explode(stretches(F.lower("text"), script)).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
 
 
-def characters(run: Column) -> Column:
-    return F.regexp_extract_all(run, F.lit("(?s)."), F.lit(0))
-
-
-def _pieces(chars: Column, longest: int) -> Column:
+def _pieces(text: Column, longest: int) -> Column:
     """Stretches of 1 to ``longest`` characters at each place, null beyond the end; place by place."""
-
-    def of(c):
-        at = lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.when(i + k <= F.size(c), F.array_join(F.slice(c, i + 1, k), "")))
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(c) - 1), at))
-
-    return F.get(F.transform(F.array(chars), of), 0)
+    # cut from the text, as joining its characters anew for each stretch takes several times as long
+    of = lambda x: F.flatten(F.transform(F.sequence(F.lit(1), x["n"]), lambda i: F.array(*[F.when(i + (k - 1) <= x["n"], F.substr(x["text"], i, F.lit(k))) for k in range(1, longest + 1)])))
+    return F.get(F.transform(F.array(F.struct(text.alias("text"), F.length(text).alias("n"))), of), 0)
 
 
 def _entropy(grams: DataFrame, word: Column, name: str) -> DataFrame:
@@ -57,7 +50,7 @@ def lexicon(runs: DataFrame, longest: int = LONGEST, least: int = LEAST, cohesio
     Characters beside the begin or the end of a run count as standing beside that. Cohesion is the logarithm of n * N / (n1 * n2) for the likeliest cut in
     two, N being all characters; freedom is the smaller of the entropies of what stands before and after; weight is the logarithm of n / N.
     """
-    padded = F.concat(F.array(F.lit(BEGIN)), characters(F.col("run")), F.array(F.lit(END)))
+    padded = F.concat(F.lit(BEGIN), "run", F.lit(END))
     grams = runs.select("n", F.explode(_pieces(padded, longest + 1)).alias("word")).where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"))
     grams = written(grams.withColumn("k", F.length("word")))
     right = _entropy(grams, F.expr("substring(word, 1, k - 1)"), "after")
@@ -110,7 +103,9 @@ def segmented(runs: DataFrame, words: DataFrame, longest: int = LONGEST) -> Data
 
     The lattice of a run is joined from the lexicon, broadcast if counted small, and one column expression finds the best path through it.
     """
-    cells = runs.select("run", F.posexplode(_pieces(characters(F.col("run")), longest)).alias("p", "word"))
+    # dealt by run before they are spread, so that a run's cells meet again where they are unless the lexicon is shuffled too
+    dealt = runs.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "run")
+    cells = dealt.select("run", F.posexplode(_pieces(F.col("run"), longest)).alias("p", "word"))
     lattice = cells.join(bounded(words.select("word", "weight")), "word", "left").groupBy("run").agg(F.sort_array(F.collect_list(F.struct("p", "weight"))).alias("cells"))
     lattice = lattice.select("run", F.transform("cells", lambda c: c["weight"]).alias("weights"))
     path = best_path(F.col("weights"), (F.size("weights") / longest).cast("int"), longest)

@@ -97,3 +97,12 @@ def test_long_runs_and_many_bytes(spark):
     assert sum(len(k) * n for k, (n, _) in got.items()) == 1000 + 20 + 1 + 10
     assert all(p.replace(" ", "") == run for run, (_, p) in got.items())
     assert segment.word_pieces(df.limit(0)).count() == 0 and segment.found_words(df.limit(0)).count() == 0
+
+
+def test_cells_meet_without_another_shuffle(spark):
+    """The cells of a run, four a letter, are not sent once more: one exchange by run, before they are spread."""
+    runs = spark.createDataFrame([("abab",), ("b",), ("𝔸b𝔸",)], "run string")
+    words = spark.createDataFrame([("a", -1.0), ("b", -1.0), ("ab", -0.5), ("𝔸", -1.0), ("b𝔸", -0.5)], "word string, weight double")
+    out = segment.segmented(runs, words)
+    assert {r.run: list(r.words) for r in out.collect()} == {"abab": ["ab", "ab"], "b": ["b"], "𝔸b𝔸": ["𝔸", "b𝔸"]}
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
