@@ -86,3 +86,50 @@ def test_blocks_send_less_than_ties(spark):
         n_ties, n_sent = sum(len(r.ids) for r in rows) // 8, sum(len(r.terms) for r in rows) // 4
         assert n_ties > 1000 and len(rows) > (block == 20) and n_sent < n_ties / (1.2 if block == 20 else 5), (n_ties, n_sent)
     assert scores[0].keys() == scores[1].keys() and np.allclose([scores[0][k] for k in scores[0]], [scores[1][k] for k in scores[0]], atol=1e-9)
+
+
+def test_common_words_tie_too(spark, monkeypatch):
+    """Words of more than 64 sentences, and of all, tie them: a source of such words alone has its briefing, as plain code gives it without a bound."""
+    monkeypatch.setattr(briefing, "MOST", math.inf)
+    monkeypatch.setattr(briefing, "POOL", 10**9)  # of the plain code
+    rng = random.Random(5)
+    vocabulary = [f"{a}{b}" for a in "kstbdmpr" for b in ("ana", "eno", "ilo")]
+    docs = [(d, "common", "en", f"river {' '.join(sorted(rng.sample(vocabulary, k=9)))} always.") for d in range(300)]
+    got = [(r.sentence, r.score) for r in sorted(briefing.briefing(spark.createDataFrame(docs, SCHEMA)).collect(), key=lambda r: r["rank"])]
+    want = plain(docs)["common"]
+    assert [s for s, _ in got] == [s for s, _ in want] and len(got) > 1 and np.allclose([x for _, x in got], [x for _, x in want], atol=2e-6)
+
+
+def test_choice_goes_on_beyond_the_pool(spark, monkeypatch):
+    """Where the best sentences of a source are alike, the others that differ are found however far behind they are; other sources aren't touched."""
+    monkeypatch.setattr(briefing, "POOL", 10**9)  # of the plain code
+    alike = [f"river stone bridge castle market garden {chr(97 + d % 26)}{chr(97 + d // 26)}x." for d in range(60)]
+    behind = [f"river {a}{b}k {a}{b}l {a}{b}m." for a in "klmn" for b in "aeio"]
+    docs = [(d, None, "en", s) for d, s in enumerate(alike + behind)] + [(1000 + d, "t", "en", s) for d, s in enumerate(alike[:25])]
+    docs += [(2000 + d, "u", "en", " ".join(random.Random(d).choices(["kana", "seno", "tilo", "bana", "deno", "milo", "pana", "reno"], k=7)) + ".") for d in range(40)]
+    got = collections.defaultdict(list)
+    for r in sorted(briefing.briefing(spark.createDataFrame(docs, SCHEMA)).collect(), key=lambda r: r["rank"]):
+        got[r.source].append((r.sentence, r.score))
+    want = plain(docs)
+    assert got.keys() == want.keys() and len(want[None]) == 3 and len(want["t"]) == 1
+    assert all(s in behind for s, _ in want[None][1:])
+    for source in want:
+        assert [s for s, _ in got[source]] == [s for s, _ in want[source]] and np.allclose([x for _, x in got[source]], [x for _, x in want[source]], atol=2e-6)
+
+
+def test_a_word_of_all_sentences_is_sent_once_a_block(spark):
+    """Without a bound, sentences over many blocks, in blocks of their own and in shared ones score as in one, and a word that all hold is one number a block."""
+    rng = random.Random(7)
+    vocabulary = [f"{a}{b}{c}" for a in "kstb" for b in "aeiou" for c in "klmnr"]
+    docs = [(d, "large" if d < 400 else f"small{d % 9}", "en", f"river {' '.join(rng.choices(vocabulary, k=9))}.") for d in range(500)]
+    found = briefing.sentences(spark.createDataFrame(docs, SCHEMA))
+    scores = []
+    for block in (10_000, 50):
+        kept, tied = briefing.ties(found, most=math.inf, block=block)
+        scores.append({r.sentence: r.score for r in kept.join(briefing.ranked(tied), "id").collect()})
+        rows = tied.collect()
+        assert {r.alone for r in rows} == ({True} if block == 10_000 else {True, False})
+        assert len({r.p for r in rows if not r.alone}) == (0 if block == 10_000 else 8)
+        sent = collections.Counter(n for r in rows if not r.alone and r.q >= 0 for n in np.frombuffer(r.df, "i8"))
+        assert sent[400] == (0 if block == 10_000 else 8)
+    assert len(scores[0]) == 500 and scores[0].keys() == scores[1].keys() and np.allclose([scores[0][k] for k in scores[0]], [scores[1][k] for k in scores[0]], atol=1e-9)
